@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from folio.llm.packing import op3_best_fit_packing
+from folio.llm.secrets import op4_secret_scans
 from folio.llm.simhash import op9_simhash_near_dedup
+from folio.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
