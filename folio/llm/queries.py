@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from folio.llm.fingerprint import op10_edit_fingerprints
+from folio.llm.html import op7_html_extraction
+from folio.llm.mixing import op8_source_mix
 from folio.llm.packing import op3_best_fit_packing
 from folio.llm.secrets import op4_secret_scans
 from folio.llm.simhash import op9_simhash_near_dedup
@@ -11,7 +14,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_source_mix": op8_source_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
