@@ -8,12 +8,14 @@ from folio.llm.mixing import op8_source_mix
 from folio.llm.packing import op3_best_fit_packing
 from folio.llm.secrets import op4_secret_scans
 from folio.llm.simhash import op9_simhash_near_dedup
+from folio.llm.suffix_tree import op5_suffix_tree_scores
 from folio.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op5_suffix_tree_scores": op5_suffix_tree_scores,
     "op7_html_extraction": op7_html_extraction,
     "op8_source_mix": op8_source_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
