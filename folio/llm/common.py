@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,31 +48,23 @@ def _drop(spark: SparkSession, path: str) -> None:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives the loss of an executor.
 
-    The files go when the returned DataFrame's ``folio_table`` does, or with ``forget``; DataFrames
-    derived from it hold it through ``keep``.
+    The files stay for what is derived from the result, until ``forget`` or the end of the program.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    atexit.register(_drop, spark, path.rpartition("/")[0])
     out = spark.read.schema(df.schema).parquet(path)
     out.folio_path = path
     return out
 
 
 def forget(df: DataFrame) -> None:
-    """Remove what ``save`` wrote, when nothing reads it any more."""
+    """Remove what ``save`` wrote, where nothing reads it any more."""
     if path := getattr(df, "folio_path", None):
         _drop(df.sparkSession, path.rpartition("/")[0])
 
 
-def keep(out: DataFrame, *saved: DataFrame) -> DataFrame:
-    """Let go of the saved tables' files once ``out`` itself is gone."""
-    for df in saved:
-        if path := getattr(df, "folio_path", None):
-            weakref.finalize(out, _drop, out.sparkSession, path.rpartition("/")[0])
-    return out
-
-
 def held_out(key: Column, folds: int) -> Column:
     """crc32(key as text) mod folds = 0; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep, record, save, slices
+from folio.llm.common import record, save, slices
 from folio.llm.components import connected_components
-from folio.llm.simhash import keep_refs
 
 STATES, CLASSES, SAMPLES = 64, 32, 64
 _WIDE = CLASSES**3
@@ -166,7 +165,7 @@ def neighbours(marks: DataFrame, least: float = 0.8, band: int = 4, most_apart:
     links = dealt.join(lead, "band").where(F.col("rep") != F.col("to")).where(same >= least * SAMPLES).select(F.col("rep").alias("a"), F.col("to").alias("b"))
     roots = connected_components(links)
     classes = groups.join(roots, groups.rep == roots.node, "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    return keep_refs(marks.join(classes, "fingerprint", "left").select("doc_id", "component_id"), groups, roots)
+    return marks.join(classes, "fingerprint", "left").select("doc_id", "component_id")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -251,7 +250,7 @@ def with_edits(docs: DataFrame, seed: int = 42) -> DataFrame:
                 yield _compared([_Row(doc, text, mark(own)), _Row(None, text2, mark(mark2))], seed)
 
     closed = last.join(first, "next").select("doc_id", "text", "fingerprint", "text2", "mark2").mapInArrow(close, _DDL)
-    return keep(met.where("place is null").select(_OUT.names).unionByName(closed), met)
+    return met.where("place is null").select(_OUT.names).unionByName(closed)
 
 
 def op10_edit_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, keep, save
-from folio.llm.simhash import keep_refs
+from folio.llm.common import WORD, save
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -99,7 +98,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     got = lies.join(taken, ["rank", "block"]).groupBy("rank", "bucket", "nth").agg(F.sum(over * F.col("times")).alias("taken"))
     out = rows.join(got, ["rank", "bucket", "nth"], "left").join(parts.select("rank", "source_size", "target"), "rank")
     out = out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
-    return keep(out, sized, parts)
+    return out
 
 
 def resample(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -111,7 +110,7 @@ def resample(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     times = plan.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times"))
     named = docs.where("doc_id is not null").join(times.where("_times > 0"), "doc_id")
     named = named.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-    return keep_refs(named.select(docs.columns).unionByName(docs.where("doc_id is null")), plan)
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from folio.llm.chat import OP6_SQL, op6_tool_call_linking
 from folio.llm.fingerprint import op10_edit_fingerprints
 from folio.llm.html import op7_html_extraction
+from folio.llm.metric_join import op2_metric_range_join
 from folio.llm.mixing import op8_source_mix
 from folio.llm.packing import op3_best_fit_packing
 from folio.llm.secrets import op4_secret_scans
@@ -13,13 +15,15 @@ from folio.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_metric_range_join": op2_metric_range_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_suffix_tree_scores": op5_suffix_tree_scores,
+    "op6_tool_call_linking": op6_tool_call_linking,
     "op7_html_extraction": op7_html_extraction,
     "op8_source_mix": op8_source_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep, record, save, slices
+from folio.llm.common import record, save, slices
 from folio.llm.components import connected_components
 
 SPLIT = 2048
@@ -192,20 +192,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     groups = save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "groups")
     roots = connected_components(near_links(groups))
     classes = groups.join(roots, groups.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return keep(fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id"), fps, groups, roots)
+    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from folio.llm.common import table
 
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return keep_refs(out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), out)
-
-
-def keep_refs(out: DataFrame, *used: DataFrame) -> DataFrame:
-    """Hold on to DataFrames whose files ``out`` still reads."""
-    out.folio_uses = used
-    return out
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -216,4 +210,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     chosen = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return keep_refs(named.select(docs.columns).unionByName(docs.where("doc_id is null")), found)
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
