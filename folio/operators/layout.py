@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAGE = W.partitionBy("page_key")
-
 
 def rows_anchor(words: DataFrame, tenths: int = 6) -> DataFrame:
     """word to (page_key, wid, row_id): a word joins the row while it is within tolerance of the row's *first* word.
@@ -78,7 +76,7 @@ def density(words: DataFrame, bands: int = 40) -> DataFrame:
 
 def body_start(bands: DataFrame) -> DataFrame:
     """The first of two neighbouring bands that both hold at least 3 words and 2.5 % of the page's; null if there is none."""
-    w = PAGE.orderBy("band")
+    w = W.partitionBy("page_key").orderBy("band")
     dense = (F.col("n") >= 3) & (F.col("n") * 40 >= F.col("words"))
     rows = bands.withColumn("d", dense).withColumn("next", F.lead("d").over(w))
     return rows.groupBy("page_key").agg(F.min(F.when(F.col("d") & F.coalesce("next", F.lit(False)), F.col("band"))).alias("band"), F.max("page_h").alias("page_h")).select("page_key", (F.col("band") * F.col("page_h") / 40).alias("body_y"))
@@ -94,7 +92,7 @@ def grid_counts(words: DataFrame, n: int = 6) -> DataFrame:
 
 def phrase_hits(words: DataFrame, normed: Column, phrase: tuple[str, ...]) -> DataFrame:
     """(page_key, pos): the first place where consecutive normalised words start with the phrase's."""
-    w = PAGE.orderBy("wid")
+    w = W.partitionBy("page_key").orderBy("wid")
     rows = words.withColumn("n", normed)
     test = F.lit(True)
     for k, p in enumerate(phrase):
