@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import held_out, record, slices
+from folio.llm.common import held_out, record, save, slices
 
 PASSAGES = (1, 4, 16)
 WIDE = len(PASSAGES) + 2
@@ -125,8 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     pick = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = pick(known.where("fold <> 1 and toxic = 1"), per_class).unionByName(pick(known.where("fold <> 1 and toxic <> 1"), per_class)).unionByName(pick(known.where("fold = 1"), calibration))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(some.withColumn("toxic", (F.col("toxic") == 1).cast("int")), "doc_id").select("doc_id", "text", "toxic", "fold")
-    rows = rows.dropDuplicates(["doc_id", "text"])
+    # At most 2 * per_class + calibration numbers are broadcast, so no text but the sample's is shuffled.
+    rows = rows.join(F.broadcast(some.withColumn("toxic", (F.col("toxic") == 1).cast("int"))), "doc_id").select("doc_id", "text", "toxic", "fold")
+    rows = save(rows.dropDuplicates(["doc_id", "text"]), "sample")
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("df", pa.int64())])
