@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,3 +35,72 @@ def close_cells(cells: DataFrame, least: int = 5) -> DataFrame:
     near = cells.where("ink = 1").select("page_key", F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])).alias("p"))
     counts = near.groupBy("page_key", "p.r", "p.c").agg(F.count("*").alias("n"))
     return cells.join(counts, ["page_key", "r", "c"], "left").select("page_key", "r", "c", F.greatest("ink", (F.coalesce("n", F.lit(0)) >= least).cast("long")).alias("ink"))
+
+
+def col_dark(cells: DataFrame) -> DataFrame:
+    """(page_key, c, dark): ink share by column, of every second row."""
+    return cells.where("r % 2 = 0").groupBy("page_key", "c").agg((F.sum("ink") / F.count("*")).alias("dark"))
+
+
+def film_edges(columns: DataFrame, edge: float = 0.55) -> DataFrame:
+    """(page_key, x0, x1): the columns between the dark runs at both edges, half-open; both are the width if all are dark."""
+    paper = F.when(F.col("dark") <= edge, F.col("c"))
+    width = F.max("c") + 1
+    return columns.groupBy("page_key").agg(F.coalesce(F.min(paper), width).alias("x0"), F.coalesce(F.max(paper) + 1, width).alias("x1"))
+
+
+def gutters(columns: DataFrame, paper: float = 0.10, rule: float = 0.45) -> DataFrame:
+    """(page_key, kind, x0, x1): runs inside the film of paper, at least two wide, or of rule; half-open."""
+    kind = F.when(F.col("dark") <= paper, "paper").when(F.col("dark") >= rule, "rule")
+    rows = columns.join(film_edges(columns), "page_key").where("c >= x0 and c < x1").select("page_key", "c", kind.alias("kind")).where("kind is not null")
+    w = W.partitionBy("page_key", "kind").orderBy("c")
+    found = islands(rows.withColumn("_new", F.col("c") != F.lag("c").over(w) + 1), ["page_key", "kind"], ["c"], F.col("_new"))
+    found = found.groupBy("page_key", "kind", "island").agg(F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"))
+    return found.where("kind = 'rule' or x1 - x0 >= 2").drop("island")
+
+
+def vrules(cells: DataFrame, height: int, least: float, edge: float = 0.55) -> DataFrame:
+    """(page_key, x, y0, y1): columns' longest strokes of at least a share of the page, breaks bridged, merged when within two columns.
+
+    A stroke that ends inside the page ends at its last inked row; one that reaches the bottom ends after it.
+    """
+    gap, need = max(2, int(height * 0.004)), int(height * least)
+    dark = col_dark(cells).where(F.col("dark") <= edge).select("page_key", "c")
+    w = W.partitionBy("page_key", "c").orderBy("r")
+    rows = cells.where("ink = 1").join(dark, ["page_key", "c"], "left_semi").withColumn("_new", F.col("r") - F.lag("r").over(w) - 1 > gap)
+    runs_ = islands(rows, ["page_key", "c"], ["r"], F.col("_new")).groupBy("page_key", "c", "island").agg(F.min("r").alias("y0"), F.max("r").alias("_last"))
+    runs_ = runs_.withColumn("y1", F.col("_last") + F.when(height - 1 - F.col("_last") <= gap, 1).otherwise(0)).withColumn("_n", F.col("y1") - F.col("y0"))
+    best = runs_.groupBy("page_key", "c").agg(F.max_by(F.struct("y0", "y1", "_n"), F.struct("_n", -F.col("y0"))).alias("s")).select("page_key", "c", "s.*").where(F.col("_n") >= need)
+    w = W.partitionBy("page_key").orderBy("c")
+    merged = islands(best.withColumn("_new", F.col("c") - F.lag("c").over(w) > 2), ["page_key"], ["c"], F.col("_new"))
+    return merged.groupBy("page_key", "island").agg(F.floor(F.avg("c")).alias("x"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("island")
+
+
+def components(cells: DataFrame) -> DataFrame:
+    """(page_key, r, c, component): inked cells joined over their four sides; a component's number is its first cell's r * 10000 + c.
+
+    A grouped map: a page's grid bounds the group, and labels spread over any distance within it.
+    """
+
+    def label(page: pd.DataFrame) -> pd.DataFrame:
+        left = set(zip(page["r"].tolist(), page["c"].tolist()))
+        out = []
+        for cell in sorted(left):
+            if cell not in left:
+                continue
+            left.discard(cell)
+            reach = [cell]
+            for r, c in reach:
+                near = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & left
+                left -= near
+                reach.extend(near)
+            out += [(r, c, cell[0] * 10000 + cell[1]) for r, c in reach]
+        return pd.DataFrame(out, columns=["r", "c", "component"]).assign(page_key=page["page_key"].iloc[0])[["page_key", "r", "c", "component"]]
+
+    return cells.where("ink = 1").select("page_key", "r", "c").groupBy("page_key").applyInPandas(label, "page_key long, r long, c long, component long")
+
+
+def component_stats(labels: DataFrame) -> DataFrame:
+    """Area, extent and fill by component."""
+    out = labels.groupBy("page_key", "component").agg(F.count("*").alias("area"), F.min("c").alias("x0"), F.min("r").alias("y0"), F.max("c").alias("x1"), F.max("r").alias("y1"))
+    return out.withColumn("fill", F.col("area") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)))

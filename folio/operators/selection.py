@@ -24,3 +24,41 @@ def top_per(rows: DataFrame, keys: list[str], order: list[Column], n: int, name:
 def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last event of each key."""
     return top_per(log, keys, order, 1, "_rank").drop("_rank")
+
+
+def next_lane(posted: DataFrame, lanes: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """One row: the lane after the last post's, or by the number of posts where that lane is not in the rotation."""
+    one = posted.agg(F.count("*").alias("n"), F.max_by("lane", F.struct(*order)).alias("last"))
+    turns = F.array(*map(F.lit, lanes))
+    at = F.array_position(turns, F.col("last"))
+    return one.select(F.element_at(turns, (F.when(at > 0, at).otherwise(F.col("n")) % len(lanes) + 1).cast("int")).alias("lane"))
+
+
+def first_pass(judged: DataFrame, keys: list[str], order: list[Column], tries: int) -> DataFrame:
+    """The first PASS of each key's first ``tries`` candidates and those rejected before it, with their place."""
+    rows = top_per(judged, keys, order, tries, "pos")
+    won = F.min(F.when(F.col("outcome") == "PASS", F.col("pos"))).over(W.partitionBy(*keys))
+    return rows.withColumn("_won", won).where(F.col("_won").isNull() | (F.col("pos") <= F.col("_won"))).withColumn("chosen", F.coalesce(F.col("pos") == F.col("_won"), F.lit(False))).drop("_won")
+
+
+def search_candidates(hits: DataFrame, key: list[str], phrases: list[str], per_phrase: int) -> DataFrame:
+    """Hits by phrase in turn, each key once; a phrase takes whole decades until it has ``per_phrase`` new keys.
+
+    hits(phrase, decade, rank, *key). The few phrases are taken one after another, as what one leaves out the next may take.
+    """
+    taken = None
+    for phrase in phrases:
+        rows = top_per(hits.where(F.col("phrase") == phrase), key, [F.col("decade"), F.col("rank")], 1, "_k").drop("_k")
+        rows = rows if taken is None else rows.join(taken.select(*key), key, "left_anti")
+        decades = rows.groupBy("decade").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(W.orderBy("decade").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        kept = decades.withColumn("_before", before).where(F.col("_before") < per_phrase).select("decade")
+        rows = rows.join(F.broadcast(kept), "decade", "left_semi").select(*key, "phrase", "decade")  # a row per decade
+        taken = rows if taken is None else taken.unionByName(rows)
+    return taken
+
+
+def recent(posts: DataFrame, now: str, days: int, lanes: tuple[str, ...]) -> DataFrame:
+    """Posts of some lanes at most ``days`` before ``now``; a time that cannot be read drops its post."""
+    at = F.try_to_timestamp(F.col("at"))
+    return posts.where(F.col("lane").isin(*lanes) & (at >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")))
