@@ -30,3 +30,21 @@ def verdict(known: Column, postable: Column, date: Column, min_date: Column, geo
 
 def policies(spark) -> DataFrame:
     return spark.createDataFrame([(a, b, True) for a, b in POLICIES], "lane string, min_date string, page_gate boolean")
+
+
+def reminder(resolved: Column, snoozed: Column, last: Column, today: Column, not_before: str, repeat: int = 14) -> Column:
+    """'resolved', 'snoozed', 'early', 'recent' or 'due'; all but the first input are ISO dates as text, and one that cannot be read counts for nothing."""
+    day = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    now = day(today)
+    return (
+        F.when(is_(F.length(resolved) > 0), "resolved").when(is_(now < day(snoozed)), "snoozed").when(now < F.lit(not_before).cast("date"), "early")
+        .when(is_(F.datediff(now, day(last)) < repeat), "recent").otherwise("due")
+    )
+
+
+def best_of(judged: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The best candidate of each key: PASS before REVIEW before REFUSE, the first of equals."""
+    rank = F.element_at(F.create_map(F.lit("PASS"), F.lit(0), F.lit("REVIEW"), F.lit(1), F.lit("REFUSE"), F.lit(2)), F.col("outcome"))
+    rest = [c for c in judged.columns if c not in keys]
+    return judged.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(rank.alias("a"), order.alias("b"))).alias("_b")).select(*keys, "_b.*")

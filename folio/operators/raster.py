@@ -104,3 +104,24 @@ def component_stats(labels: DataFrame) -> DataFrame:
     """Area, extent and fill by component."""
     out = labels.groupBy("page_key", "component").agg(F.count("*").alias("area"), F.min("c").alias("x0"), F.min("r").alias("y0"), F.max("c").alias("x1"), F.max("r").alias("y1"))
     return out.withColumn("fill", F.col("area") / ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)))
+
+
+def thin_rules(profile: DataFrame, dark: float = 0.45, most: int = 2) -> DataFrame:
+    """(page_key, r): rows of printed rules, which are dark and in runs no taller than a rule."""
+    rows = runs(profile, "r", F.col("dark") >= dark).where(F.col("x1") - F.col("x0") < most)
+    return rows.select("page_key", F.explode(F.sequence("x0", "x1")).alias("r"))
+
+
+def clear_share(profile: DataFrame, paper: float = 0.02) -> DataFrame:
+    """(page_key, clear): the share of rows that are paper."""
+    return profile.groupBy("page_key").agg(F.avg((F.col("dark") <= paper).cast("double")).alias("clear"))
+
+
+def row_crossing(cells: DataFrame, stride: int, edge: float = 0.55) -> DataFrame:
+    """(page_key, r, share): columns inked both at a row and ``stride`` below it (at most the last row); columns of film's edge, unless they are over half, do not count."""
+    page, column = W.partitionBy("page_key"), W.partitionBy("page_key", "c")
+    down = column.orderBy("r")
+    last = F.max_by("ink", "r").over(column)
+    rows = cells.withColumns({"_then": F.coalesce(F.lead("ink", stride).over(down), last), "_kept": F.avg("ink").over(column) < edge})
+    rows = rows.withColumn("_few", F.avg(F.col("_kept").cast("double")).over(page) < 0.5).where("_kept or _few")
+    return rows.groupBy("page_key", "r").agg(F.avg(F.col("ink") * F.col("_then")).alias("share"))

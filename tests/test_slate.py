@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import decisions, layout, raster
-from folio.plans import editions, slate  # noqa: F401
+from folio.plans import editions, rounds, slate  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
