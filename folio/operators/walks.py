@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators import raster
+from folio.operators import layout, raster
 
 # Shares of a headline's height or of a page, body heights, and lines.
 DECK_LEAST, DECK_GAP, DECK_PAD, DECK_SIDE, DECK_MOST = 0.30, 1.5, 0.15, 0.02, 0.35
 TIGHT, INDENT, LINES, ARTICLE_MOST, DISPLAY = 0.6, 1.2, 10, 0.22, 1.6
 CROSSED, LEAST_SPAN = 0.08, 0.06
 NECK, NECK_RUN = 0.30, 3
+SPAN, CROSS, LINE, MARKS = 0.95, 0.25, 0.5, ".!?,;:”\""
 AREA, WIDE, HIGH, FILL, SKIP = 0.02, 0.10, 0.05, 0.35, 0.10
 
 
@@ -22,24 +23,30 @@ def deck_boxes(words: DataFrame, seeds: DataFrame, least: float = DECK_LEAST, ho
     """seed(page_key, seed, x0, x1, y0, y1) to (page_key, seed, x, y, w, h): the headline with the lines chained beneath it.
 
     A hop takes the words of sufficient height that begin within 1.5 headline heights and overlap the
-    headline in x. A hop that finds none leaves the bottom, so the hops after it find none either. A null box
-    is empty or deeper than 35 % of the page. One row a page while folding: its seeds and its words.
+    headline in x; one that finds none ends the chain. A null box is empty or deeper than 35 % of the page; a page without
+    words has no row. A grouped map by page, whose words are sorted once and searched for each hop.
     """
-    box = F.struct("x", "y", "w", "h")
-    page = words.groupBy("page_key").agg(F.collect_list(box).alias("ws"), F.max(F.col("x") + F.col("w")).alias("pw"), F.max(F.col("y") + F.col("h")).alias("ph"))
-    heads = seeds.groupBy("page_key").agg(F.collect_list(F.struct("seed", "x0", "x1", "y0", "y1")).alias("ss"))
 
-    def bottom(s):
-        high = s["y1"] - s["y0"]
-
-        def hop(cur, _):
-            near = F.filter("ws", lambda b: (b["y"] > cur) & (b["y"] <= cur + DECK_GAP * high) & (b["x"] + b["w"] > s["x0"]) & (b["x"] < s["x1"]) & (b["h"] >= least * high))
-            return F.coalesce(F.array_max(F.transform(near, lambda b: b["y"] + b["h"])), cur)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(hops)), s["y1"], hop)
-
-    ends = F.transform("ss", lambda s: F.struct(s.alias("s"), bottom(s).alias("end")))
-    rows = heads.join(page, "page_key").select("page_key", "pw", "ph", F.explode(ends).alias("e")).select("page_key", "pw", "ph", "e.s.*", "e.end")
+    def fold(ws: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        ws = ws.sort_values("y")
+        x, y, h = (ws[c].to_numpy() for c in "xyh")
+        right, under = x + ws["w"].to_numpy(), y + h
+        ends = []
+        for x0, x1, y0, y1 in ss[["x0", "x1", "y0", "y1"]].itertuples(index=False):
+            cur, high = y1, y1 - y0
+            for _ in range(hops):
+                a, b = np.searchsorted(y, [cur, cur + DECK_GAP * high], side="right")
+                met = (right[a:b] > x0) & (x[a:b] < x1) & (h[a:b] >= least * high)
+                if not met.any():
+                    break
+                cur = under[a:b][met].max()
+            ends.append(cur)
+        out = ss.assign(end=ends, pw=right.max(initial=0), ph=under.max(initial=0))
+        return out if len(ws) else out.iloc[:0]
+
+    boxes = seeds.select("page_key", "seed", "x0", "x1", "y0", "y1")
+    kind = "page_key long, seed long, x0 long, x1 long, y0 long, y1 long, end long, pw long, ph long"
+    rows = words.select("page_key", "x", "y", "w", "h").groupBy("page_key").cogroup(boxes.groupBy("page_key")).applyInPandas(fold, kind)
     pad, high = F.col("pw") * DECK_SIDE, F.col("y1") - F.col("y0")
     a, b = F.greatest(F.lit(0), (F.col("x0") - pad).cast("long")), F.least("pw", (F.col("x1") + pad).cast("long"))
     c, d = F.greatest(F.lit(0), (F.col("y0") - DECK_PAD * high).cast("long")), F.least("ph", (F.col("end") + DECK_PAD * high).cast("long"))
@@ -160,3 +167,48 @@ def picture_candidates(pieces: DataFrame, rows: int, columns: int, skip: float =
     got = got.where((F.col("n_") >= AREA * rows * columns) & (F.col("b_") - F.col("t_") + 1 >= HIGH * rows))
     order = W.partitionBy("page_key").orderBy(F.col("n_").desc(), "component", "piece")
     return got.select("page_key", F.row_number().over(order).cast("long").alias("rank"), (F.col("n_") / (rows * columns)).alias("area"), F.col("l_").alias("x"), F.col("t_").alias("y"), (F.col("e_") - F.col("l_") + 1).alias("w"), (F.col("b_") - F.col("t_") + 1).alias("h"))
+
+
+def bands(rules: DataFrame, boxes: DataFrame, least_rows: float = 2.0) -> DataFrame:
+    """Boxes cut at their full-width rules: (page_key, box, band, top, bottom), half-open, without bands under two text heights.
+
+    rule(page_key, box, y): rows of a rule, joined over breaks of up to two rows; box(page_key, box, y0, y1, med).
+    """
+    w = W.partitionBy("page_key", "box").orderBy("y")
+    runs = layout.islands(rules.withColumn("_new", F.col("y") - F.lag("y").over(w) > 3), ["page_key", "box"], ["y"], F.col("_new"))
+    runs = runs.groupBy("page_key", "box", "island").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    edges = runs.select("page_key", "box", "a", (F.col("b") + 1).alias("next")).unionByName(boxes.select("page_key", "box", F.col("y1").alias("a"), F.lit(None).cast("long").alias("next")))
+    w = W.partitionBy("page_key", "box").orderBy("a", F.col("next").asc_nulls_last())
+    rows = edges.join(boxes.select("page_key", "box", "y0", "med"), ["page_key", "box"]).withColumn("top", F.coalesce(F.lag("next").over(w), F.col("y0")))
+    rows = rows.where(F.col("a") - F.col("top") > least_rows * F.col("med"))
+    return rows.select("page_key", "box", F.row_number().over(W.partitionBy("page_key", "box").orderBy("a")).cast("long").alias("band"), "top", F.col("a").alias("bottom"))
+
+
+def column_text(words: DataFrame, boxes: DataFrame, cut_bands: DataFrame, rules: DataFrame, edge: int = 6) -> DataFrame:
+    """(page_key, box, text): a box read band by band, column by column and line by line; null text where no band has words.
+
+    word(page_key, wid, t, x, y, w, h), box(page_key, box, x0, x1, med), band as from ``bands``, vertical rule(page_key, x, y0, y1). A
+    rule parts columns where it spans 95 % of the band's text and no word reaches over it by more than a quarter of a
+    text height (two at least). Words begin a line where their centre is over half a text height below the one before. A
+    column that is not the last gets a period unless a mark ends it.
+    """
+    keys = ["page_key", "box", "band"]
+    met = words.join(boxes, "page_key").where((F.col("x") + F.col("w") / 2 >= F.col("x0")) & (F.col("x") + F.col("w") / 2 < F.col("x1")))
+    met = met.join(cut_bands, ["page_key", "box"]).where((F.col("y") + F.col("h") / 2 >= F.col("top")) & (F.col("y") + F.col("h") / 2 < F.col("bottom"))).drop("top", "bottom")
+    extent = met.groupBy(*keys).agg(F.min("y").alias("a"), F.max(F.col("y") + F.col("h")).alias("b"), *[F.first(c).alias(c) for c in ("x0", "x1", "med")])
+    lines = rules.select("page_key", F.col("x").alias("v"), F.col("y0").alias("v0"), F.col("y1").alias("v1"))
+    spans = F.least("v1", "b") - F.greatest("v0", "a") >= SPAN * (F.col("b") - F.col("a"))
+    cuts = extent.join(lines, "page_key").where((F.col("v") > F.col("x0") + edge) & (F.col("v") < F.col("x1") - edge) & spans).select(*keys, "v", F.greatest(F.lit(2.0), F.col("med") * CROSS).alias("slop"))
+    over = F.least(F.col("v") - F.col("x"), F.col("x") + F.col("w") - F.col("v")) > F.col("slop")
+    bad = met.select(*keys, "x", "w").join(cuts, keys).where(over).select(*keys, "v").distinct()
+    cuts = cuts.join(bad, [*keys, "v"], "left_anti").groupBy(*keys).agg(F.collect_set("v").alias("cuts"))
+    met = met.join(cuts, keys, "left")
+    centre = F.col("x") + F.col("w") / 2
+    met = met.withColumns({"col": F.coalesce(F.size(F.filter("cuts", lambda v: v <= centre)), F.lit(0)), "_c": 2 * F.col("y") + F.col("h")})
+    w = W.partitionBy(*keys, "col").orderBy("_c", "wid")
+    met = layout.islands(met.withColumn("_new", F.col("_c") - F.lag("_c").over(w) > 2 * LINE * F.col("med")), [*keys, "col"], ["_c", "wid"], F.col("_new"), "line")
+    read = F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "wid", "t"))), lambda s: s["t"])
+    pieces = met.groupBy(*keys, "col").agg(F.trim(F.regexp_replace(F.array_join(read, " "), r"\s+", " ")).alias("piece")).where("piece <> ''")
+    whole = pieces.groupBy("page_key", "box").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "col", "piece"))), lambda s: s["piece"]).alias("p"))
+    ended = F.transform("p", lambda p, i: F.when((i == F.size("p") - 1) | F.contains(F.lit(MARKS), F.substring(p, -1, 1)), p).otherwise(F.concat(p, F.lit("."))))
+    return boxes.select("page_key", "box").join(whole.select("page_key", "box", F.array_join(ended, " ").alias("text")), ["page_key", "box"], "left")

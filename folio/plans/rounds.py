@@ -180,3 +180,26 @@ def alternative_texts(spark, sf_dir):
     date = F.date_format(F.date_add(F.lit("1880-01-01").cast("date"), (k % 9000).cast("int")), "yyyy-MM-dd")
     alt = alt_text(lane, F.concat(F.lit("Page "), k, F.lit(".")), F.col("text"), F.lit("The Daily"), F.when(k % 4 != 0, " Macon"), "Georgia", date, F.lit(1), k % 2 == 0, k % 9 == 0, k % 3 == 0, F.when(k % 5 == 0, " Beneath, a picture."))
     return table(spark, sf_dir, "documents").select("doc_id", alt.alias("alt"))
+
+
+@query(f"""with {WORDS_SQL}, bx as (select doc_id as page_key, k as box, k * 330 as x0, (k + 1) * 330 as x1, 40 * k as y0, 400 + 40 * k as y1, 15.0 as med from documents, (select unnest([0, 1]) as k)),
+bd as (select page_key, box, 1 as band, y0 as top, 160 as bottom from bx union all select page_key, box, 2, 164, y1 from bx),
+vr as (select doc_id as page_key, v as x, 0 as y0, 300 + doc_id % 200 as y1 from documents, (select unnest([108, 215, 435, 545]) as v)),
+mw as (select w.*, box, band, x0, x1, med from word w join bx using (page_key) join bd using (page_key, box) where x + w / 2.0 >= x0 and x + w / 2.0 < x1 and y + h / 2.0 >= top and y + h / 2.0 < bottom),
+ex as (select page_key, box, band, min(y) as a, max(y + h) as b, max(x0) as x0, max(x1) as x1 from mw group by 1, 2, 3),
+ct as (select ex.page_key, box, band, vr.x as v from ex join vr using (page_key) where vr.x > x0 + 6 and vr.x < x1 - 6 and least(y1, b) - greatest(y0, a) >= 0.95 * (b - a)),
+ok as (select * from ct where not exists (select 1 from mw where mw.page_key = ct.page_key and mw.box = ct.box and mw.band = ct.band and least(v - mw.x, mw.x + mw.w - v) > 3.75)),
+cl as (select mw.page_key, mw.box, mw.band, mw.wid, any_value(t) as t, any_value(mw.x) as x, any_value(2 * y + h) as c, count(v) as col from mw left join ok on ok.page_key = mw.page_key and ok.box = mw.box and ok.band = mw.band and v <= mw.x + mw.w / 2.0 group by 1, 2, 3, 4),
+ln as (select *, coalesce(c - lag(c) over (partition by page_key, box, band, col order by c, wid) > 15, false)::int as nw from cl),
+li as (select *, sum(nw) over (partition by page_key, box, band, col order by c, wid) as line from ln),
+pc as (select page_key, box, band, col, string_agg(t, ' ' order by line, x, wid) as p from li group by 1, 2, 3, 4),
+en as (select *, case when row_number() over (partition by page_key, box order by band desc, col desc) = 1 or right(p, 1) in ('.', '!', '?', ',', ';', ':', '”', '"') then p else p || '.' end as q from pc),
+tx as (select page_key, box, string_agg(q, ' ' order by band, col) as text from en group by 1, 2)
+select page_key, box, text from bx left join tx using (page_key, box)""")
+def column_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_key"))
+    box = F.explode(F.array(F.lit(0), F.lit(1)))
+    boxes = docs.withColumn("box", box).select("page_key", "box", (F.col("box") * 330).alias("x0"), (F.col("box") * 330 + 330).alias("x1"), (F.col("box") * 40).alias("y0"), (F.col("box") * 40 + 400).alias("y1"), F.lit(15.0).alias("med"))
+    rows = boxes.select("page_key", "box", F.explode(F.array(F.lit(160), F.lit(163))).alias("y"))
+    rules = docs.select("page_key", F.explode(F.array(*map(F.lit, (108, 215, 435, 545)))).alias("x"), F.lit(0).alias("y0"), (F.col("page_key") % 200 + 300).alias("y1"))
+    return walks.column_text(words(spark, sf_dir), boxes.select("page_key", "box", "x0", "x1", "med"), walks.bands(rows, boxes), rules)
