@@ -212,3 +212,15 @@ def column_text(words: DataFrame, boxes: DataFrame, cut_bands: DataFrame, rules:
     whole = pieces.groupBy("page_key", "box").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "col", "piece"))), lambda s: s["piece"]).alias("p"))
     ended = F.transform("p", lambda p, i: F.when((i == F.size("p") - 1) | F.contains(F.lit(MARKS), F.substring(p, -1, 1)), p).otherwise(F.concat(p, F.lit("."))))
     return boxes.select("page_key", "box").join(whole.select("page_key", "box", F.array_join(ended, " ").alias("text")), ["page_key", "box"], "left")
+
+
+def heading_split(boxes: DataFrame, rules: DataFrame, height: int, share: float = 0.30) -> DataFrame:
+    """box(page_key, box, x0, x1, y1) to the same keys and (x0, x1) of its left part, for boxes that exactly one vertical rule parts.
+
+    The rule lies inside by more than four columns, reaches below the heading by more than 6 % of the page, and leaves
+    at least 30 % of the width on both sides; other boxes have no row.
+    """
+    inside = (F.col("x") > F.col("x0") + 4) & (F.col("x") < F.col("x1") - 4) & (F.col("_end") > F.col("y1") + LEAST_SPAN * height)
+    met = boxes.join(rules.select("page_key", "x", F.col("y1").alias("_end")), "page_key").where(inside)
+    one = met.groupBy("page_key", "box").agg(F.count("*").alias("n"), F.max("x").alias("v"), F.max("x0").alias("x0"), F.max("x1").alias("x1")).where("n = 1")
+    return one.where(F.least(F.col("v") - F.col("x0"), F.col("x1") - F.col("v")) >= share * (F.col("x1") - F.col("x0"))).select("page_key", "box", "x0", F.col("v").alias("x1"))

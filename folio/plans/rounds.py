@@ -203,3 +203,14 @@ def column_texts(spark, sf_dir):
     rows = boxes.select("page_key", "box", F.explode(F.array(F.lit(160), F.lit(163))).alias("y"))
     rules = docs.select("page_key", F.explode(F.array(*map(F.lit, (108, 215, 435, 545)))).alias("x"), F.lit(0).alias("y0"), (F.col("page_key") % 200 + 300).alias("y1"))
     return walks.column_text(words(spark, sf_dir), boxes.select("page_key", "box", "x0", "x1", "med"), walks.bands(rows, boxes), rules)
+
+
+@query("""with bx as (select doc_id as page_key, k as box, k * 300 as x0, k * 300 + 330 as x1, 100 + 50 * k as y1 from documents, (select unnest([0, 1, 2]) as k)),
+vr as (select doc_id as page_key, v as x, (doc_id * 7 + v) % 400 as b from documents, (select unnest([108, 215, 435, 545, 700]) as v)),
+m as (select page_key, box, count(*) as n, max(x) as v, max(x0) as x0, max(x1) as x1 from bx join vr using (page_key) where x > x0 + 4 and x < x1 - 4 and b > y1 + 60 group by 1, 2)
+select page_key, box, x0, v as x1 from m where n = 1 and least(v - x0, x1 - v) >= 0.3 * (x1 - x0)""")
+def heading_splits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_key"))
+    boxes = docs.withColumn("box", F.explode(F.array(*map(F.lit, range(3))))).withColumns({"x0": F.col("box") * 300, "x1": F.col("box") * 300 + 330, "y1": F.col("box") * 50 + 100})
+    rules = docs.select("page_key", F.explode(F.array(*map(F.lit, (108, 215, 435, 545, 700)))).alias("x")).withColumn("y1", (F.col("page_key") * 7 + F.col("x")) % 400)
+    return walks.heading_split(boxes, rules, 1000)
