@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of the one before, and is written as Parquet and read
 again before the next. All but the last give the columns of documents; the last gives a row per piece.
-Toxicity: documents that score 0.5 or more go. SimHash near-dedup: the smallest doc_id of each class stays.
+Toxicity: documents that score 0.5 or more go. SimHash near-dedup: the smallest doc_id of each
+class of documents with 5-word shingle sets 0.8 alike stays.
 Secret scans: secrets are masked in the text; no document goes. Mixing: a document comes as often as the
 mix takes it, none to two times. Packing: pieces with their sequence and offset.
 """
@@ -26,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicate(docs)
+    return deduplicate(docs, words=5, least=0.8)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,5 +82,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def cells(dealt: DataFrame, by: str, split: int) -> DataFrame:
+    """Rows (bucket, n, ...) with ``sub``: buckets of n > split rows are dealt to pairs of blocks, so that any two rows still meet."""
+    k = F.ceil(F.col("n") / split)
+    own = F.pmod(F.xxhash64(by), k)
+    subs = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda x: F.least(x, own) * k + F.greatest(x, own))
+    return dealt.withColumn("sub", F.explode(subs))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of longs (bucket, sub, ...), in order of both, as columns, and how many rows of its group follow each; some whole groups at once."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        ends = np.append(new, rows.shape[1])
+        return rows, np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - 1 - np.arange(rows.shape[1])
+
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        size += b.num_rows
+        if size >= least:
+            rows = np.concatenate(held, axis=1)
+            cut = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield whole(np.ascontiguousarray(rows[:, :cut]))
+            held = [rows[:, cut:]]
+            size = rows.shape[1] - cut
+    if size:
+        yield whole(np.ascontiguousarray(np.concatenate(held, axis=1)))
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

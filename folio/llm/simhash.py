@@ -8,6 +8,8 @@ bucket can hold more than 65,536. Within a batch of buckets, bit planes are stor
 members are compared with those at every shift in the order at once, and carry-save counters keep
 the distances; words of 64 lanes are abandoned as soon as each lane is past the radius.
 
+Pipelines take ``deduplicate`` with its own shingles and similarity instead of the two bits: see ``alike``.
+
 A fingerprint has at most 64 + 2,016 others within two bits, so links grow with the rows; only
 spanning links leave a task.
 """
@@ -23,12 +25,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import record, save, slices
+from folio.llm.common import cells, grouped, record, save, slices
 from folio.llm.components import connected_components
 
 SPLIT = 2048
 BATCH = 1 << 18
 RADIUS = 2
+#: SimHashes of sets whose Jaccard similarity is 0.8 differ in about 10 bits, in more than 22 once in 10,000 pairs or less.
+WIDE = 22
+#: Bands of min-hashes: at a similarity of 0.8 one of 16 bands of 4 agrees for all but 2 in 10,000 pairs.
+BANDS, WIDTH = 16, 4
+_rng = np.random.default_rng(9)
+_MIX = _rng.integers(0, 2**64, BANDS * WIDTH, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 2**64, BANDS * WIDTH, dtype=np.uint64)
 #: The bits of each byte, lowest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -64,6 +73,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _fingerprinted(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, same, text) to (doc_id, same, fp)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield record(schema, b.column(0), b.column(1), np.array([simhash(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64))
+
+    return rows.mapInArrow(run, "doc_id long, same long, fp long")
+
+
 def _blocks(c: Column, of: list[int], width: int) -> list[Column]:
     """The values of pairs of the blocks at these bits."""
     block = lambda at: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
@@ -77,9 +97,8 @@ def _rest(c: Column) -> Column:
     return F.array(*[F.array(*_blocks(F.shiftleft(block(p), 16).bitwiseOR(block(q)), [0, 8, 16, 24], 8)) for x, y in pairs for p, q in [[z for z in (0, 16, 32, 48) if z not in (x, y)]]])
 
 
-def _within(fp: np.ndarray, rest: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of positions with j - i <= rest[i] whose fingerprints differ in at most two bits."""
-    assert radius == 2, "the counters hold two bits and an overflow"
+def _found(fp: np.ndarray, rest: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of positions with j - i <= rest[i] whose fingerprints differ in at most ``radius`` bits, shift by shift."""
     n = len(fp)
     words = (n + 63) // 64
     padded = np.zeros(words * 64, np.uint64)
@@ -90,39 +109,52 @@ def _within(fp: np.ndarray, rest: np.ndarray, radius: int = RADIUS) -> tuple[np.
     del bits
     left = np.full(words * 64, 0, np.int64)
     left[:n] = rest
-    live, found_i, found_j = np.flatnonzero(left >= 1), [], []
+    live = np.flatnonzero(left >= 1)
+
+    def past(count: np.ndarray) -> np.ndarray:
+        """Lanes whose counters, lowest plane first and the overflow last, are beyond the radius."""
+        more, even = count[-1].copy(), np.full(count.shape[1], 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for k in range(len(count) - 2, -1, -1):
+            if radius >> k & 1:
+                even &= count[k]
+            else:
+                more |= even & count[k]
+                even &= ~count[k]
+        return more
+
     for s in range(1, int(left.max(initial=0)) + 1):
         live = live[left[live] >= s]
         at = np.unique(live >> 6)
-        lanes = np.packbits(left.reshape(-1, 64)[at] >= s, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        count = np.zeros((radius.bit_length() + 1, len(at)), np.uint64)
+        count[-1] = ~np.packbits(left.reshape(-1, 64)[at] >= s, axis=1, bitorder="little").view(np.uint64)[:, 0]
         off, bit = s >> 6, np.uint64(s & 63)
-        ones = np.zeros(len(at), np.uint64)
-        twos, over = ones.copy(), ~lanes
         for b in range(64):
             row = planes[b]
             other = row[at + off] >> bit
             if bit:
                 other |= row[at + off + 1] << (np.uint64(64) - bit)
             d = row[at] ^ other
-            carry = ones & d
-            ones ^= d
-            over |= twos & carry
-            twos ^= carry
+            for k in range(len(count) - 1):
+                carry = count[k] & d
+                count[k] ^= d
+                d = carry
+            count[-1] |= d
             if b % 8 == 7:
-                keep_ = (over | (ones & twos)) != np.uint64(0xFFFFFFFFFFFFFFFF)
+                keep_ = past(count) != np.uint64(0xFFFFFFFFFFFFFFFF)
                 if not keep_.all():
-                    at, ones, twos, over = at[keep_], ones[keep_], twos[keep_], over[keep_]
+                    at, count = at[keep_], count[:, keep_]
                     if not len(at):
                         break
         if len(at):
-            ok = ~(over | (ones & twos))
+            ok = ~past(count)
             w, lane = np.nonzero(np.unpackbits(ok.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = at[w] * 64 + lane
-            found_i.append(i)
-            found_j.append(i + s)
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+            yield i, i + s
+
+
+def _within(fp: np.ndarray, rest: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_found(fp, rest, radius)]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -141,31 +173,11 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, sub, fp, rep), in order of bucket and sub, to spanning links between reps."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        ends = np.append(new, rows.shape[1])
-        rest = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - 1 - np.arange(rows.shape[1])
+    for rows, rest in grouped(batches, BATCH):
         i, j = _within(rows[2].view(np.uint64), rest)
         root = spanning(rows.shape[1], i, j)
         far = np.flatnonzero(root != np.arange(len(root)))
-        return record(_EDGE, rows[3][far], rows[3][root[far]])
-
-    for b in batches:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-        size += b.num_rows
-        if size >= BATCH:
-            rows = np.concatenate(held, axis=1)
-            cut = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            if cut:
-                yield links(np.ascontiguousarray(rows[:, :cut]))
-            held = [rows[:, cut:]]
-            size = rows.shape[1] - cut
-    if size:
-        yield links(np.ascontiguousarray(np.concatenate(held, axis=1)))
+        yield record(_EDGE, rows[3][far], rows[3][root[far]])
 
 
 def near_links(groups: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -202,12 +214,121 @@ def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is in the same component; all columns stay.
+def _marks(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(w) - words + 1)
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[words - 1 :].tolist() or [len(joined)]
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets in order; 1 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sketch(marks: np.ndarray) -> tuple[int, int, list[int]]:
+    """A number for the set, the SimHash of its shingles and a key for each of its min-hash bands."""
+    node = xxhash.xxh64_intdigest(marks.tobytes(), 7)
+    if not len(marks):
+        return node, 0, []
+    ones, least = np.zeros(64, np.int64), np.full(BANDS * WIDTH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(marks), 4096):
+        part = marks[i : i + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        mixed = _MIX[:, None] * (part ^ (part >> np.uint64(31))) + _ADD[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    fp = int(np.packbits(2 * ones > len(marks), bitorder="little").view(np.uint64)[0])
+    return node, fp, [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDTH))]
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, same, text) to (doc_id, same, node, fp, bands)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    Rows that repeat a kept doc_id with the same text collapse to one; a null doc_id stays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = [_sketch(_marks(t, words)) for t in b.column(2).to_pylist()]
+            yield record(schema, b.column(0), b.column(1), [signed(n) for n, _, _ in got], [signed(f) for _, f, _ in got], [[signed(x) for x in k] for _, _, k in got])
+
+    return rows.mapInArrow(run, "doc_id long, same long, node long, fp long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """pairs(a, b) of nodes and texts(node, text) to the pairs whose shingle sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            held: dict = {}
+            nodes, texts_ = [c.to_pylist() for c in b.columns[:2]], [c.to_pylist() for c in b.columns[2:]]
+            for side in (0, 1):
+                for n, t in zip(nodes[side], texts_[side]):
+                    if n not in held:
+                        held[n] = _marks(t, words)
+            ok = [jaccard(held[x], held[y]) >= least for x, y in zip(*nodes)]
+            yield record(_EDGE, [x for x, k in zip(nodes[0], ok) if k], [y for y, k in zip(nodes[1], ok) if k])
+
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, sub, fp, node, root), in order of bucket and sub, to pairs of nodes of different roots that SimHash finds near."""
+    for rows, rest in grouped(batches, BATCH):
+        for i, j in _found(rows[2].view(np.uint64), rest, WIDE):
+            i, j = (x[rows[4][i] != rows[4][j]] for x in (i, j))
+            if len(i):
+                a, b = rows[3][i], rows[3][j]
+                yield record(_EDGE, np.maximum(a, b), np.minimum(a, b))
+
+
+def alike(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, same, text) to (doc_id, same, root): classes linked by Jaccard similarity of distinct shingles of at least ``least``.
+
+    Rows with equal shingle sets are one node. Blocks of SimHash bits can't select at such a similarity (at 0.8 about
+    10 of 64 bits differ), so nodes meet where a band of min-hashes agrees, those of a bucket are compared bit-sliced by
+    SimHash within ``WIDE`` bits, and what is left is verified by the shingles of the texts. First each node is
+    verified against one other; then all pairs of a bucket that this leaves in different classes are compared.
+    """
+    spark_rows = save(_sketches(docs, words), "sketches")
+    nodes = save(spark_rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "same")).alias("rep")), "nodes")
+    dealt = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
+    dealt = save(dealt.join(dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "bucket"), "buckets")
+    met = dealt.select("node").distinct().join(nodes.select("node", "rep.*"), "node")
+    texts = save(docs.join(met, ["doc_id", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    pairs = dealt.where("node <> lead").groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
+    first = save(_verified(pairs, texts, words, least), "links")
+    roots = connected_components(first)
+    rooted = dealt.join(roots, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rest = cells(rooted.join(split, "bucket"), "node", SPLIT).select("bucket", "sub", "fp", "node", "root")
+    pairs = rest.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_candidates, "a long, b long").distinct()
+    roots = connected_components(first.union(_verified(pairs, texts, words, least)))
+    return spark_rows.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicate(docs: DataFrame, words: int = 3, least: float | None = None) -> DataFrame:
+    """The documents of which none with a smaller doc_id is in the same component; all columns stay.
+
+    Components are those of fingerprints within two bits or, with ``least``, of shingle sets so alike. Rows that repeat a
+    doc_id with the same text collapse to one, those with different texts are documents apiece; a null doc_id stays.
     """
-    found = near_duplicates(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_same": F.xxhash64(F.col("text").cast("string"))})
+    plain = rows.select(F.col("_id").alias("doc_id"), F.col("_same").alias("same"), F.col("text").cast("string").alias("text"))
+    if least is None:
+        fps = save(_fingerprinted(plain, words), "fingerprints")
+        roots = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")).distinct()))
+        found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "same", F.coalesce("root", "fp").alias("root"))
+    else:
+        found = alike(plain, words, least)
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.same").alias("_same"))
+    named = rows.join(chosen, ["_id", "_same"], "left_semi").dropDuplicates(["_id", "_same"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
