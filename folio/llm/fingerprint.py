@@ -17,6 +17,7 @@ equal ones.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import record, save, slices
+from folio.llm.common import cells, grouped, record, save, slices
 from folio.llm.components import connected_components
+from folio.llm.simhash import spanning
 
 STATES, CLASSES, SAMPLES = 64, 32, 64
+#: Distinct fingerprints in a block of a bucket, and rows that a task compares at once.
+SPLIT, BATCH = 1024, 1 << 15
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _WIDE = CLASSES**3
 
 
@@ -149,23 +154,52 @@ def fingerprints(docs: DataFrame, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def neighbours(marks: DataFrame, least: float = 0.8, band: int = 4, most_apart: float = 0.2) -> DataFrame:
-    """(doc_id, fingerprint) to doc_id, component_id: classes of documents linked by banding and verification.
+def _alike(least: float):
+    """Rows (bucket, sub, node, eight longs of a fingerprint), in order of bucket and sub, to spanning links between nodes."""
+    need = math.ceil(least * SAMPLES - 1e-9)
 
-    ``SAMPLES // band`` bands of ``band`` sampled bytes. Equal fingerprints are one node; within a band each
-    fingerprint meets the smallest doc_id of its bucket, which is verified against the whole
-    fingerprints, so a bucket of any size gives links in proportion to its rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, rest in grouped(batches, BATCH):
+            marks = np.ascontiguousarray(rows[3:].T).view(np.uint8)
+            found, live = [np.zeros((2, 0), np.int64)], np.flatnonzero(rest >= 1)
+            for s in range(1, int(rest.max(initial=0)) + 1):
+                live = live[rest[live] >= s]
+                for k in range(0, len(live), 1 << 16):
+                    i = live[k : k + (1 << 16)]
+                    i = i[np.count_nonzero(marks[i] == marks[i + s], axis=1) >= need]
+                    found.append(np.stack([i, i + s]))
+                if sum(x.shape[1] for x in found) > 1 << 21:  # only what spans need be held
+                    root = spanning(len(marks), *np.concatenate(found, axis=1))
+                    found = [np.stack([np.arange(len(root)), root])]
+            i, j = np.concatenate(found, axis=1)
+            root = spanning(len(marks), i, j)
+            far = np.flatnonzero(root != np.arange(len(root)))
+            yield record(_EDGE, rows[2][far], rows[2][root[far]])
+
+    return run
+
+
+def neighbours(marks: DataFrame, least: float = 0.8, band: int = 4, split: int = SPLIT) -> DataFrame:
+    """(doc_id, fingerprint, ...) with component_id: the least doc_id of the class linked by banding and verification.
+
+    ``SAMPLES // band`` bands of ``band`` sampled bytes. Equal fingerprints are one node; all nodes of a band's bucket are
+    compared with each other by whole fingerprints, large buckets block by block, so no link within a bucket is lost.
+    A row whose doc_id is null links nothing by itself; its component_id is null where no other row has its fingerprint.
     """
-    assert abs(least + most_apart - 1) < 1e-9
-    groups = save(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "marks")
-    bands = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 2 * band * k + 1, 2 * band)) for k in range(SAMPLES // band)])
-    dealt = groups.select("rep", "fingerprint", F.explode(bands).alias("band"))
-    lead = dealt.groupBy("band").agg(F.min(F.struct("rep", "fingerprint")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead.*").toDF("band", "to", "other")
-    same = sum((F.substring("fingerprint", 2 * k + 1, 2) == F.substring("other", 2 * k + 1, 2)).cast("int") for k in range(SAMPLES))
-    links = dealt.join(lead, "band").where(F.col("rep") != F.col("to")).where(same >= least * SAMPLES).select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    node = F.xxhash64("fingerprint")
+    groups = save(marks.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).withColumn("node", node), "marks")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", 2 * band * k + 1, 2 * band)) for k in range(SAMPLES // band)])
+    dealt = groups.select("node", F.explode(bands).alias("bucket"))
+    dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    # As longs: two halves of 32 bits each, as conv stops at 63.
+    half = lambda k: F.conv(F.substring("fingerprint", k, 8), 16, 10).cast("long")
+    longs = [F.shiftleft(half(16 * k + 1), 32).bitwiseOR(half(16 * k + 9)).alias(f"m{k}") for k in range(SAMPLES // 8)]
+    rows = cells(dealt, "node", split).join(groups.select("node", *longs), "node").select("bucket", "sub", "node", *[f"m{k}" for k in range(SAMPLES // 8)])
+    links = rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_alike(least), "a long, b long")
     roots = connected_components(links)
-    classes = groups.join(roots, groups.rep == roots.node, "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    return marks.join(classes, "fingerprint", "left").select("doc_id", "component_id")
+    found = groups.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("fingerprint", "rep", F.coalesce("root", "node").alias("root"))
+    least_doc = found.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return marks.join(found.join(least_doc, "root").select("fingerprint", "component_id"), "fingerprint", "left").select(*marks.columns, "component_id")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -256,4 +290,4 @@ def with_edits(docs: DataFrame, seed: int = 42) -> DataFrame:
 def op10_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
     from folio.llm.common import table
 
-    return with_edits(table(spark, sf_dir, "documents"))
+    return neighbours(save(with_edits(table(spark, sf_dir, "documents")), "edits"))

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from folio.llm import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +51,34 @@ def test_stage_finds_near_copies(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS)
     kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == set(root) and len(kept) < 110
+
+
+@pytest.mark.parametrize("split", [3, 1024])
+def test_neighbours_against_brute_force(spark, split):
+    r = np.random.default_rng(5)
+    shared = r.integers(0, 256, 8, dtype=np.uint8)
+    marks = r.integers(0, 256, (40, 64), dtype=np.uint8)
+    marks[:, :8] = shared  # two bands that all share
+    near = np.repeat(marks, 3, axis=0)
+    for k in range(len(near)):
+        near[k, 8 + r.permutation(56)[: r.integers(0, 12)]] ^= 1
+    marks = np.concatenate([near, near[:5]])
+    ids = [int(k) for k in r.permutation(len(marks))]
+    rows = [(ids[k], m.tobytes().hex()) for k, m in enumerate(marks)] + [(None, near[0].tobytes().hex()), (None, "00" * 64)]
+    got = fingerprint.neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string"), split=split).collect()
+    by_id = marks[np.argsort(ids)]
+    pairs = [(a, b) for a in range(len(marks)) for b in range(a) if (by_id[a] == by_id[b]).mean() >= 0.8]
+    root = components(len(marks), pairs)
+    assert len(set(root)) > 30 and {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None} == dict(enumerate(root))
+    assert sorted([x["component_id"] for x in got if x["doc_id"] is None], key=str) == sorted([root[ids[0]], None], key=str)
+
+
+def test_op10_reaches_neighbours(spark):
+    got = fingerprint.op10_edit_fingerprints(spark, "/root/testdata/sf0.001")
+    assert "component_id" in got.columns
+    rows = got.collect()
+    marks = np.array([list(bytes.fromhex(x["fingerprint"])) for x in rows], np.uint8)
+    order = np.argsort([x["doc_id"] for x in rows])
+    ids, marks = [rows[k]["doc_id"] for k in order], marks[order]
+    root = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (marks[a] == marks[b]).mean() >= 0.8 and any((marks[a][k : k + 4] == marks[b][k : k + 4]).all() for k in range(0, 64, 4))])
+    assert {x["doc_id"]: x["component_id"] for x in rows} == {ids[k]: ids[v] for k, v in enumerate(root)}
