@@ -2,8 +2,9 @@
 
 Two word-bigram models, one per class, are interpolated with absolute discounting. Both back off to
 their class's continuation counts, where the contexts that are counted are documents, and pairs too
-count once a document, so that what one document repeats says no more; and these to the continuation counts that the classes share.
-Words and pairs rarer than ``min_df`` say nothing. A passage's score is the length-normalised
+count once a document, so that what one document repeats says no more; and these to the continuation counts that the classes share,
+with one document more at either level for both classes alike, so that a rare word says little in a class of few documents.
+Words and pairs that are in a single document of a class, at most, back off; all others count. A passage's score is the length-normalised
 toxic minus ordinary log-likelihood; a document has those of its strongest passages of 1, 4 and 16 words
 and of the whole, which a logistic curve, fitted on a fold of the training rows that the counts leave out, turns into a
 score from 0 to 1.
@@ -36,7 +37,10 @@ DISCOUNT = 0.75
 FOLDS = 5
 PER_CLASS = 8_000
 CALIBRATION = 16_000
-MIN_DF, MIN_SHARE = 4, 0.002
+#: Documents of either class that a word or pair must be in; by neither the input's nor the sample's size.
+MIN_DF = 2
+#: Documents of the last level, which the classes share evenly, by word and by pair.
+EVEN = 1.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,9 +68,12 @@ class Model:
             low.append(unigram)
             gap.append(rest)
             found.append(seen + rest[first] * unigram[second])
-        self.low = np.log(low[1]) - np.log(low[0])
+        # The classes' last level is one they share evenly, so that few documents of a small class say little.
+        even = EVEN / max(df.sum(), 1.0)
+        self.low = np.log(low[1] + even) - np.log(low[0] + even)
         self.gap = np.log(gap[1]) - np.log(gap[0])
-        self.found = np.log(found[1]) - np.log(found[0])
+        even = EVEN / np.maximum(uni.sum(axis=0), 1.0)[first]
+        self.found = np.log(found[1] + even) - np.log(found[0] + even)
         self.curve: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -146,15 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     ordinary, toxic = (int(rare[0]), int(rare[1])) if rare else (0, 0)
     if not ordinary or not toxic:
         return float(toxic > 0)
-    # Words of fewer documents are one symbol: by the definition of df they are at most sample tokens / min_df, and in practice some thousands.
-    min_df = max(MIN_DF, round(MIN_SHARE * (ordinary + toxic)))
-    kept = totals.where((F.col("df0") + F.col("df1") >= min_df) & (F.col("word") != "")).orderBy("word").toPandas()
+    # Words of fewer documents in both classes are one symbol; the sample is bounded, so what is kept is.
+    kept = totals.where((F.greatest("df0", "df1") >= MIN_DF) & (F.col("word") != "")).orderBy("word").toPandas()
     vocabulary = {w: k + 1 for k, w in enumerate(kept["word"])}
     size = len(vocabulary) + 1
     df = np.zeros((2, size))
     for c in range(2):
         df[c, 1:], df[c, 0] = kept[f"df{c}"], (ordinary, toxic)[c]
-    shared = spark.sparkContext.broadcast(vocabulary)  # some thousand words of the bounded sample
+    shared = spark.sparkContext.broadcast(vocabulary)  # words of the bounded sample
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("toxic", pa.int64()), ("n", pa.int64())])
@@ -175,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     uni = np.zeros((2, size))
     for c in range(2):
         uni[c, tokens["first"].to_numpy(np.int64)] = tokens[f"n{c}"]
-    bigrams = bigrams.where(F.col("n0") + F.col("n1") >= min_df).orderBy("key").toPandas()  # rarer ones back off; of the bounded sample
+    bigrams = bigrams.where(F.greatest("n0", "n1") >= MIN_DF).orderBy("key").toPandas()  # rarer ones back off; of the bounded sample
     model = Model(vocabulary, uni, df, bigrams["key"].to_numpy(np.int64), np.array([bigrams["n0"], bigrams["n1"]], np.float64))
     held = spark.sparkContext.broadcast(model)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from folio.llm import fingerprint
+from folio.llm import fingerprint, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +82,15 @@ def test_op10_reaches_neighbours(spark):
     ids, marks = [rows[k]["doc_id"] for k in order], marks[order]
     root = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (marks[a] == marks[b]).mean() >= 0.8 and any((marks[a][k : k + 4] == marks[b][k : k + 4]).all() for k in range(0, 64, 4))])
     assert {x["doc_id"]: x["component_id"] for x in rows} == {ids[k]: ids[v] for k, v in enumerate(root)}
+
+
+def test_toxic_words_of_a_small_class(spark):
+    texts = lexicon_texts(4000, 30, 8)
+    bad = {k for k in range(4000) if k % 40 == 0}
+    # Each of the few toxic documents shows one of four words that no ordinary one has.
+    texts = [t + f" {('slurxa', 'slurxb', 'slurxc', 'slurxd')[k // 40 % 4]}" if k in bad else t for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in range(4000)], "doc_id long, toxic int")
+    rows = spark.createDataFrame([(k, f"{t} slurx{c}") for k, (t, c) in enumerate(zip(lexicon_texts(40, 30, 9), "abcd" * 10))] + [(100 + k, t) for k, t in enumerate(lexicon_texts(40, 30, 10))], "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs.unionByName(rows.selectExpr("doc_id + 100000 as doc_id", "text")), labels).collect()}
+    assert sum(got[100000 + k] >= 0.5 for k in range(40)) >= 36 and sum(got[100100 + k] >= 0.5 for k in range(40)) <= 2
