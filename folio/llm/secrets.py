@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-A run of at least ``MIN_RUN`` base64-like characters that mixes letters and digits is random where a
+A run of at least ``MIN_RUN`` base64-like characters, letters among them, is random where a
 byte-level BPE vocabulary, read by tiktoken, needs a token for fewer than ``RATIO`` characters: words and
 identifiers take far more characters a token. Known digests (bare hex of the usual lengths), UUIDs,
-hexadecimal numbers, ISO times, dotted versions and identifiers made of words are left out first.
+hexadecimal numbers, ISO times and dotted versions are left out first, and identifiers where the vocabulary knows their parts as words.
 
 Every whole text is read; a null text is empty. Positions are code points, ends exclusive. Base spans
 stay as they are; a random span is added only where no base span overlaps it.
@@ -29,11 +29,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RUN = 20
+MIN_RUN = 16
 RATIO = 2.4
+#: For runs of letters alone: long words of other languages take about 2.4 characters a token, random letters 1.7.
+LETTERS = 2.2
 MASK = "[secret]"
 RANKS = "byte_bpe_50k.tiktoken"
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -41,6 +43,9 @@ _KNOWN = re.compile(
     r"|\d[\d/_+-]*|0[xX][0-9a-fA-F]+|\d{4}-\d\d-\d\d[T_]?\d{0,6}Z?)=*"
 )
 _WORDY = re.compile(r"(?:[A-Z]{2,}|[A-Z]?[a-z]{2,})(?:\d{0,4}[/_+-]*(?:[A-Z]{2,}|[A-Z]?[a-z]{2,}))*\d{0,4}")
+_PART = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Z]?[a-z]+|[A-Z]+")
+#: Characters a token that make a part of three letters or more a word.
+WORD_RATIO = 3.0
 _encodings: dict = {}
 
 
@@ -73,19 +78,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _tokens(text: str, path: str) -> int:
+    return len(_encoding(path).encode_ordinary(text))
+
+
+def identifier(core: str, path: str) -> bool:
+    """Whether a run is shaped like an identifier and its parts are words by the vocabulary, short ones being the lesser part."""
+    if not _WORDY.fullmatch(core):
+        return False
+    parts = _PART.findall(core)
+    long = [p.lower() for p in parts if len(p) > 2]
+    if 3 * sum(map(len, long)) < 2 * sum(map(len, parts)):
+        return False
+    return all(len(p) >= WORD_RATIO * min(_tokens(p, path), _tokens(" " + p, path)) for p in long)
+
+
 def random_spans(text: str, path: str, taken: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
         core = run.strip("=-_/+")
-        if len(core) < MIN_RUN or not re.search(r"\d", core) or not re.search(r"[A-Za-z]", core):
+        if len(core) < MIN_RUN or not re.search(r"[A-Za-z]", core):
             continue
-        if _KNOWN.fullmatch(run) or _KNOWN.fullmatch(core) or _WORDY.fullmatch(core):
+        if _KNOWN.fullmatch(run) or _KNOWN.fullmatch(core):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
         pieces = [core[i : i + 4096] for i in range(0, len(core), 4096)]  # a token never needs more at once
-        if len(core) < ratio * sum(len(_encoding(path).encode_ordinary(p)) for p in pieces):
+        least = min(ratio, LETTERS) if core.isalpha() else ratio
+        if len(core) < least * sum(_tokens(p, path) for p in pieces) and not identifier(core, path):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -1,12 +1,13 @@
 """Whole results where the operators once gave less."""
 
 import random
+import string
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from folio.llm import fingerprint, toxicity
+from folio.llm import fingerprint, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -84,6 +85,16 @@ def test_op10_reaches_neighbours(spark):
     assert {x["doc_id"]: x["component_id"] for x in rows} == {ids[k]: ids[v] for k, v in enumerate(root)}
 
 
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_lowercase + string.digits, string.ascii_lowercase])
+def test_random_runs_are_tested(letters):
+    r, path = random.Random(7), secrets.vocabulary_path()
+    for n in (16, 20, 40):
+        runs = ["".join(r.choice(letters) for _ in range(n)) for _ in range(200)]
+        assert sum(bool(secrets.random_spans(f"see {x} now", path, [])) for x in runs) >= 190
+    words = ["internationalization", "getUserNameFromId2", "state-of-the-art", "/usr/local/lib/python3", "Geschwindigkeitsbegrenzung", "well_known_example_12"]
+    assert not [x for x in words if secrets.random_spans(x, path, [])]
+
+
 def test_toxic_words_of_a_small_class(spark):
     texts = lexicon_texts(4000, 30, 8)
     bad = {k for k in range(4000) if k % 40 == 0}
