@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from folio.llm import fingerprint, secrets, toxicity
+from folio.llm import fingerprint, mixing, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +105,23 @@ def test_toxic_words_of_a_small_class(spark):
     rows = spark.createDataFrame([(k, f"{t} slurx{c}") for k, (t, c) in enumerate(zip(lexicon_texts(40, 30, 9), "abcd" * 10))] + [(100 + k, t) for k, t in enumerate(lexicon_texts(40, 30, 10))], "doc_id long, text string")
     got = {x["doc_id"]: x["score"] for x in toxicity.score(docs.unionByName(rows.selectExpr("doc_id + 100000 as doc_id", "text")), labels).collect()}
     assert sum(got[100000 + k] >= 0.5 for k in range(40)) >= 36 and sum(got[100100 + k] >= 0.5 for k in range(40)) <= 2
+
+
+def test_small_sources_come_near_their_targets(spark):
+    r = random.Random(2)
+    sizes = [10, 30, 100, 100, 257, 300, 700] * 12 + [60000, 90000]
+    rows = []
+    for k, n in enumerate(sizes):
+        while n:
+            size = min(n, r.randint(1, 40))
+            rows.append((len(rows), "w " * size, f"s{k:03}"))
+            n -= size
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = {}, {}
+    for x in mixing.mix(docs).collect():
+        taken[x["source"]] = taken.get(x["source"], 0) + x["taken"]
+        target[x["source"]] = x["target"]
+        assert 0 <= x["taken"] <= 2 * x["size"]
+    for s, size in zip(sorted(target), sizes):
+        whole = target[s] == 2 * size
+        assert abs(taken[s] - target[s]) <= (0 if whole else 2) + (256 if not whole else 0), (s, size, taken[s], target[s])
