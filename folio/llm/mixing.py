@@ -116,11 +116,11 @@ def _mix(docs: DataFrame, block: int) -> DataFrame:
 def resample(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents: each as often as it is taken whole, and once more from half of its size on; columns stay.
 
-    Rows that share a doc_id are taken as the mean of them; rows with a null doc_id are kept once.
+    Rows that share doc_id and text are taken as the mean of them; rows with a null doc_id are kept once.
     """
-    plan = mix(docs, block)
-    times = plan.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times"))
-    named = docs.where("doc_id is not null").join(times.where("_times > 0"), "doc_id")
+    plan = _mix(docs, block)
+    times = plan.where("size > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times"))
+    named = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_same": F.xxhash64(F.col("text").cast("string"))}).join(times.where("_times > 0"), ["_id", "_same"])
     named = named.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -125,3 +125,17 @@ def test_small_sources_come_near_their_targets(spark):
     for s, size in zip(sorted(target), sizes):
         whole = target[s] == 2 * size
         assert abs(taken[s] - target[s]) <= (0 if whole else 2) + (256 if not whole else 0), (s, size, taken[s], target[s])
+
+
+def test_doc_id_with_two_texts(spark):
+    a, b, c = lexicon_texts(3, 60, 4)
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, c, "en", "s", 1), (3, b, "en", "s", 1)], DOCS)
+    for again in (docs, docs.repartition(3)):
+        assert sorted(x["text"] for x in corpus_pipeline.near_dedup(spark, again, "").collect()) == sorted([a, b, c])
+
+
+def test_resample_tells_texts_apart(spark):
+    # One doc_id has a text in a source that is taken twice and one of no words.
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, " ", "en", "s", 1), (2, "d e f", "en", "t", 5)], DOCS)
+    got = [x["text"] for x in mixing.resample(docs).collect()]
+    assert " " not in got and "a b c" in got
