@@ -5,8 +5,9 @@ and the tags of each and the path of elements it stands in. Lines inside element
 article (menus, headers, footers, sidebars, forms, scripts, styles and the like, by name, role or a word
 of class or id) are boilerplate. The text-to-tag ratios of the lines are smoothed by a Gaussian and split at
 their standard deviation or, on short pages, their mean; the lines above make the content cluster. The region is the
-innermost element around most of the cluster's text: an article or main element where there is one, else the
-element that the cluster's lines share. All lines of the region that are not boilerplate are the text: within
+innermost element around all of the cluster's text: an article or main element where there is one, else the
+element that the cluster's lines share. A class or id marks nothing where it negates its word or gives a state
+(no-sidebar, comments-open) or stands around most of the text. All lines of the region that are not boilerplate are the text: within
 the region nothing short is dropped.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
@@ -37,19 +38,23 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing comment comments commentlist respond reply replies discussion disqus related recommended recommendations widget pagination pager login legal copyright disclaimer toolbar skip".split()
 )
+#: Words that make one of WORDS beside them, in the same name, the state of what the page shows.
+STATES = frozenset("no not non without has have with open opened closed enabled disabled off on is".split())
 ENDS_P = BLOCK - frozenset("br head body html title option optgroup caption tbody td tfoot th thead tr li dd dt".split())
 #: An open element that a start tag ends, and what it may not cross.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 SIGMA = 1.5
 
 
-def _marked(tag: str, attrs: list, inside: bool) -> bool:
+def _marked(tag: str, attrs: list, inside: bool) -> bool | None:
+    """Whether an element never holds the article; None where only a word of its class or id says so."""
     if tag in DROPPED:
         return True
     if tag == "header":
         return not inside  # a page's header, not the article's own
     if tag in ("html", "body", "main", "article"):
         return False
+    named = None if any(k in ("class", "id") and v and _named(v) for k, v in attrs) else False
     for k, v in attrs:
         if not v:
             continue
@@ -57,9 +62,12 @@ def _marked(tag: str, attrs: list, inside: bool) -> bool:
             return True
         if k in ("hidden",) or (k == "aria-hidden" and v.strip().lower() == "true"):
             return True
-        if k in ("class", "id") and not WORDS.isdisjoint(_words(v)):
-            return True
-    return any(k == "hidden" for k, _ in attrs)
+    return True if any(k == "hidden" for k, _ in attrs) else named
+
+
+def _named(value: str) -> bool:
+    """Whether a class or id holds one of WORDS, other than with a word that negates it or gives a page's state."""
+    return any(not WORDS.isdisjoint(w) and STATES.isdisjoint(w) for w in map(_words, value.split()))
 
 
 def _words(value: str) -> list[str]:
@@ -72,6 +80,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, boilerplate
+        self.named: set[int] = set()  # elements that a word of class or id marks
         self.number, self.lines, self.text, self.tags, self.kinds = 0, [], [], 0, {}
 
     def flush(self) -> None:
@@ -93,7 +102,10 @@ class Lines(HTMLParser):
             if tag in ("article", "main"):
                 self.kinds[self.number] = tag
             within = any(t in ("article", "main") for t, _, _ in self.open) if tag == "header" else False
-            self.open.append((tag, self.number, bool(self.open) and self.open[-1][2] or _marked(tag, attrs, within)))
+            mark = _marked(tag, attrs, within)
+            if mark is None:
+                self.named.add(self.number)
+            self.open.append((tag, self.number, bool(self.open) and self.open[-1][2] or bool(mark)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
@@ -138,6 +150,14 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if x[0]]
+    # A name that stands around most of what is no boilerplate by element or role marks nothing.
+    held: dict[int, int] = {}
+    for text, _, bad, path in lines:
+        for n in () if bad else parser.named.intersection(path):
+            held[n] = held.get(n, 0) + len(text)
+    most = sum(len(x[0]) for x in lines if not x[2])
+    marks = {n for n in parser.named if 2 * held.get(n, 0) <= most}
+    lines = [(text, tags, bad or not marks.isdisjoint(path), path) for text, tags, bad, path in lines]
     good = [x for x in lines if not x[2]]
     if not good:
         return ""
@@ -150,7 +170,7 @@ def extract(html: str | None) -> str:
         for n in path:
             share[n] = share.get(n, 0) + len(text)
     total = sum(len(x[0]) for x in cluster)
-    named = [n for n in share if n in parser.kinds and 2 * share[n] >= total]
+    named = [n for n in share if n in parser.kinds and share[n] == total]
     around = [n for n in share if share[n] == total]
     region = max(named or around, default=0)  # the innermost: numbers grow inwards
     return " ".join(text for text, _, _, path in good if not region or region in path)

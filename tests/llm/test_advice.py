@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from folio.llm import fingerprint, mixing, secrets, toxicity
+from folio.llm import fingerprint, html, mixing, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -139,3 +139,12 @@ def test_resample_tells_texts_apart(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, " ", "en", "s", 1), (2, "d e f", "en", "t", 5)], DOCS)
     got = [x["text"] for x in mixing.resample(docs).collect()]
     assert " " not in got and "a b c" in got
+
+
+def test_html_keeps_the_whole_article():
+    a, b = "First part of the long article text. " * 6, "Second part of the article, less long. " * 4
+    want = " ".join((a + b).split())
+    assert html.extract(f"<body><main><article><p>{a}</p></article><article><p>{b}</p></article></main></body>") == want
+    assert html.extract(f"<body><main><article><p>{a}</p></article><p>{b}</p></main><div class='sidebar'>Menu words here</div></body>") == want
+    for name in ("content no-sidebar", "comments-open", "sidebar", "hasSidebar"):
+        assert html.extract(f"<body><nav>Home</nav><div class='{name}'><p>{a}</p><p>{b}</p></div><div class='comments'>Great one</div></body>") == want
