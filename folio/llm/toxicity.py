@@ -154,12 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     if not ordinary or not toxic:
         return float(toxic > 0)
     # Words of fewer documents in both classes are one symbol; the sample is bounded, so what is kept is.
-    kept = totals.where((F.greatest("df0", "df1") >= MIN_DF) & (F.col("word") != "")).orderBy("word").toPandas()
-    vocabulary = {w: k + 1 for k, w in enumerate(kept["word"])}
+    kept = totals.where((F.greatest("df0", "df1") >= MIN_DF) & (F.col("word") != "")).toArrow().sort_by("word")  # as Arrow, so that no row is an object on the driver
+    vocabulary = {w: k + 1 for k, w in enumerate(kept["word"].to_pylist())}
     size = len(vocabulary) + 1
     df = np.zeros((2, size))
     for c in range(2):
-        df[c, 1:], df[c, 0] = kept[f"df{c}"], (ordinary, toxic)[c]
+        df[c, 1:], df[c, 0] = kept[f"df{c}"].to_numpy(), (ordinary, toxic)[c]
     shared = spark.sparkContext.broadcast(vocabulary)  # words of the bounded sample
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
                     yield record(schema, key, np.full(len(key), c), n)
 
     bigrams = rows.mapInArrow(pairs, "key long, toxic long, n long").groupBy("key").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n"))).alias(f"n{c}") for c in (0, 1)]).fillna(0)
-    tokens = bigrams.groupBy(F.floor(F.col("key") / size).alias("first")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    tokens = bigrams.groupBy(F.floor(F.col("key") / size).alias("first")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     uni = np.zeros((2, size))
     for c in range(2):
-        uni[c, tokens["first"].to_numpy(np.int64)] = tokens[f"n{c}"]
-    bigrams = bigrams.where(F.greatest("n0", "n1") >= MIN_DF).orderBy("key").toPandas()  # rarer ones back off; of the bounded sample
-    model = Model(vocabulary, uni, df, bigrams["key"].to_numpy(np.int64), np.array([bigrams["n0"], bigrams["n1"]], np.float64))
+        uni[c, tokens["first"].to_numpy()] = tokens[f"n{c}"].to_numpy()
+    bigrams = bigrams.where(F.greatest("n0", "n1") >= MIN_DF).toArrow().sort_by("key")  # rarer ones back off; of the bounded sample
+    model = Model(vocabulary, uni, df, bigrams["key"].to_numpy(), np.array([bigrams["n0"].to_numpy(), bigrams["n1"].to_numpy()], np.float64))
     held = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
