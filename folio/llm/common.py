@@ -82,6 +82,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 4096, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and about so many characters of the column ``text``."""
+    for b in slices(batches, rows):
+        sizes = np.cumsum([len(t or "") for t in b.column(text).to_pylist()])
+        at = 0
+        while at < b.num_rows:
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + chars, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def cells(dealt: DataFrame, by: str, split: int) -> DataFrame:
     """Rows (bucket, n, ...) with ``sub``: buckets of n > split rows are dealt to pairs of blocks, so that any two rows still meet."""
     k = F.ceil(F.col("n") / split)

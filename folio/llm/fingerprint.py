@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import cells, grouped, record, save, slices
+from folio.llm.common import cells, grouped, record, save, slices, text_slices
 from folio.llm.components import connected_components
 from folio.llm.simhash import spanning
 
@@ -128,27 +128,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-#: Texts of about so many characters walk together.
-CHARS = 4_000_000
-
-
-def _batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 4096):
-        sizes = np.cumsum([len(t or "") for t in b.column(text).to_pylist()])
-        at = 0
-        while at < b.num_rows:
-            done = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, done + CHARS, "right")))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def fingerprints(docs: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, text) to doc_id and fingerprint (hexadecimal)."""
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches, "text"):
+        for b in text_slices(batches, "text"):
             yield record(schema, b.column(0), [x.tobytes().hex() for x in walk(seed)([t or "" for t in b.column(1).to_pylist()])])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -254,7 +239,7 @@ def with_edits(docs: DataFrame, seed: int = 42) -> DataFrame:
             r = held[0]
             return record(ends, [r.doc], [len(r.text)], [None], [r.mark.tobytes().hex()], [None], [None], [None], [part], [place], [r.text])
 
-        for b in _batches(batches, "text"):
+        for b in text_slices(batches, "text"):
             texts = b.column(1).to_pylist()
             begins = not held
             held += [_Row(d, t, m) for d, t, m in zip(b.column(0).to_pylist(), texts, walk(seed)(texts))]

@@ -1,24 +1,23 @@
-"""LM scoring with a probabilistic suffix tree.
-
-Symbols are the bytes of lower-cased tokens: each word's bytes and a space that ends it, and one symbol for the
-end of the text. A context is what came before in the token, from the space before it; tokens are scored one
-by one, so a text's log-probability is the sum of its tokens'. Contexts of 1 to ``DEPTH`` bytes are grown
-level by level from those that make up at least ``LEAST`` of all contexts (so a level has at most
-1 / LEAST of them), and kept where the next symbols diverge from those after the shorter context: count
-times Kullback-Leibler divergence of at least ``GAIN`` nats; what leads to a kept one stays too.
-Next-symbol distributions are smoothed by the shorter context's (Witten-Bell), down to uniform over bytes.
-Each symbol is scored in the state of the longest kept suffix.
-
-There is a tree for each of the training texts' main languages and one for all texts, and a text's probability
-is their mixture, weighted by their share of training texts: a text need not say its language to be scored.
-
-All counts cover every training document. The tree is learnt from the table of distinct words with
-counts, as a word gives the same contexts wherever it stands. The score of a word depends on the word
-alone, so each distinct word is scored once; documents get the scores back by a hash join: words that make
-up at least 1/65,536 of tokens (at most 65,536 of them) are broadcast, the others go to buckets by hash in
-packed blocks, so no bucket depends on how often a word occurs. Words meet by 64-bit hashes.
-
-A null text is empty: it has the end token alone. With no training rows all counts are zero.
+"""LM scoring with a probabilistic suffix tree over words.
+
+Symbols are the lower-cased words and one for the end of the text. Words of at least 1/65,536 of the tokens are symbols of their
+own, all others are dealt by a hash to ``CLASSES`` classes, and a word's probability is its class's in context times its own in
+its class, so the table of single symbols is bounded and the contexts are not. A context is the up to ``DEPTH`` symbols before, over
+all borders of words, from the beginning of the text, which is a symbol too. Contexts that the training texts have twice
+or more are kept where the next symbols diverge from those that the shorter context foretells: count times
+Kullback-Leibler divergence of at least ``GAIN`` nats; what is a suffix of a kept one stays too. A context's next-symbol distribution is smoothed
+by the shorter one's (Witten-Bell, the shorter one weighing ``WEIGHT`` times the number of distinct next symbols), down to single symbols, each
+with 0.1 added. A symbol is scored in the state of the longest kept suffix. In its class a word has its share, next to
+one part for each distinct word that goes to words never seen in training, which are spelt by a suffix tree over bytes, learnt from the distinct words.
+
+No tree is gathered: of a text only its positions travel, packed, each to the cell of the symbol before it, where all contexts
+that end in this symbol have all their counts; the cell tests, smooths and scores, and sends back sums by document. A symbol that is
+before more than ``room`` / 2 positions has no cell: its positions go to those of (symbol, next symbol), which count these pairs, and with the counts on to
+those of (two symbols before, symbol). Such a symbol stays a state for the longer contexts' sake. So a cell holds at most what one symbol of middling
+frequency has or one pair; and rows are packed blocks, with the bucket of a cell as a key.
+
+A text's rarer words get their counts by a hash join: distinct words and what batches of documents ask of them meet in buckets. Words meet by 64-bit hashes.
+A null text is empty: it has the end token alone. With no training rows all counts are zero and all words are new.
 """
 
 from __future__ import annotations
@@ -34,20 +33,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import held_out, record, save, shuffles, slices
+from folio.llm.common import held_out, record, save, shuffles, slices, text_slices
 
-DEPTH = 6
-LEAST = 2.0**-16
+DEPTH = 3
 GAIN = 4.0
-HEAVY = 65_536
-#: Trees: the pooled one, and at most so many languages that have at least this share of training texts.
-LANGUAGES, SHARE = 7, 0.02
+WEIGHT = (3.0, 2.0, 1.0)
 FOLDS = 10
-SPACE, END = 32, 10
-#: Words that a task counts before it hands them on, and distinct words in a bucket.
-HELD, BUCKET = 400_000, 250_000
+HEAVY, CLASSES = 65_536, 1 << 20
+#: Symbols: heavy words by rank, the end of a text, what is before its beginning, the classes.
+STOP, START, FIRST = HEAVY, HEAVY + 1, HEAVY + 2
+SYMBOLS, BITS = FIRST + CLASSES, 21
+ADDED = 0.1
+#: Positions in a cell's bucket, on average; words that a task counts before it hands them on; distinct words in a bucket.
+ROOM, HELD, BUCKET = 500_000, 400_000, 250_000
+#: The spelling of words outside the vocabulary: contexts of so many bytes, of at least this share of all, and pairs of context and byte.
+SPELT, LEAST, PAIRS = 4, 2.0**-16, 2.0**-20
+SPACE = 32
 _RNG = np.random.default_rng(20240229)
-_AT = _RNG.integers(0, 2**63, (DEPTH + 1, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_AT = _RNG.integers(0, 2**63, (SPELT + 1, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NEXT = _RNG.integers(0, 2**63, 257, dtype=np.uint64) * np.uint64(2)
 
 
@@ -159,212 +162,341 @@ class Tree:
         p = Positions(words)
         return np.bincount(p.word, self.logs(p), len(words)) if len(words) else np.zeros(0)
 
-    def end(self) -> float:
-        """log10 of the probability that the text ends, at the start of a token."""
-        p = Positions([b""])
-        p.symbol = np.array([END])
-        return float(self.logs(p)[0])
 
-
-def count_words(rows: DataFrame, trees: int) -> DataFrame:
-    """(text, tree int, out boolean) to (word binary, n0 ... long): occurrences in the training texts of each tree.
-
-    Tree 0 pools all; words of held-out texts alone have zeros.
-    """
-    schema = pa.schema([("word", pa.binary()), ("tree", pa.int32()), ("n", pa.int64())])
+def count_words(rows: DataFrame) -> DataFrame:
+    """(text, out boolean) to (word binary, n): occurrences in the training texts; words of held-out texts alone have zero."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter] = [Counter() for _ in range(trees)]
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            for k, c in enumerate(held):
-                if c:
-                    yield record(schema, list(c), np.full(len(c), k, np.int32), list(c.values()))
-                    c.clear()
-
+        held: Counter = Counter()
         for b in slices(batches, 256):
-            for text, tree, out in zip(*[b.column(x).to_pylist() for x in ("text", "tree", "out")]):
+            for text, out in zip(b.column("text").to_pylist(), b.column("out").to_pylist()):
                 if out:
                     for w in set(tokens_of(text)):
-                        held[0][w] += 0
+                        held[w] += 0
                 else:
-                    held[tree].update(tokens_of(text))
-            if sum(map(len, held)) > HELD:
-                yield from counted()
-        yield from counted()
+                    held.update(tokens_of(text))
+            if len(held) > HELD:
+                yield record(schema, list(held), list(held.values()))
+                held.clear()
+        if held:
+            yield record(schema, list(held), list(held.values()))
 
-    found = rows.select("text", "tree", "out").mapInArrow(run, "word binary, tree int, n long")
-    sums = [F.sum("n").alias("n0"), *[F.sum(F.when(F.col("tree") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(1, trees)]]
-    return found.groupBy("word").agg(*sums)
+    return rows.select("text", "out").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _grow(words: DataFrame, depths: list[int], known: list[np.ndarray]) -> DataFrame:
-    """Counts (tree, depth, ctx, symbol, shorter, n) at these depths, after contexts of the depth before that are known."""
-    schema = pa.schema([("tree", pa.int32()), ("depth", pa.int32()), ("ctx", pa.int64()), ("shorter", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64())])
-    held = words.sparkSession.sparkContext.broadcast(known)  # at most 1 / LEAST hashes a tree
+def _grow(words: DataFrame, depth: int, known: np.ndarray) -> DataFrame:
+    """Counts (ctx, symbol, shorter, n) at a depth, once a distinct word, after contexts of the depth before that are known."""
+    schema = pa.schema([("ctx", pa.int64()), ("shorter", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64())])
+    held = words.sparkSession.sparkContext.broadcast(known)  # at most 1 / LEAST hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 65536):
             p = Positions(b.column(0).to_pylist())
-            hashes = {k: p.contexts(k) for k in range(depths[0] - 1, depths[-1] + 1)}
-            for tree, names in enumerate(held.value):
-                n = b.column(tree + 1).to_numpy()[p.word]
-                go = np.flatnonzero((n > 0) & (p.off >= depths[0]))
-                if depths[0] > 1:
-                    go = go[member(hashes[depths[0] - 1][go], names) >= 0]
-                for k in depths:
-                    at = go[p.off[go] >= k]
-                    if not len(at):
-                        continue
-                    key = hashes[k][at] ^ _NEXT[p.symbol[at]]
-                    order = np.argsort(key)
-                    new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-                    one = at[order[new]]
-                    yield record(schema, np.full(len(new), tree, np.int32), np.full(len(new), k, np.int32), hashes[k][one].view(np.int64), hashes[k - 1][one].view(np.int64), p.symbol[one].astype(np.int32), np.add.reduceat(n[at][order], new))
-
-    found = words.mapInArrow(run, "tree int, depth int, ctx long, shorter long, symbol int, n long")
-    return found.groupBy("tree", "depth", "ctx", "symbol").agg(F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
-
-
-def learn(words: DataFrame, texts: list[int]) -> list[Tree]:
-    """The trees from (word, n0 ...) and the number of training texts of each."""
-    some = words.where("n0 > 0")
-    schema = pa.schema([("tree", pa.int32()), ("symbol", pa.int32()), ("n", pa.int64())])
-    trees = range(len(texts))
+            own, shorter = p.contexts(depth), p.contexts(depth - 1)
+            at = np.flatnonzero(p.off >= depth)
+            if depth > 1:
+                at = at[member(shorter[at], held.value) >= 0]
+            if len(at):
+                _, first, n = np.unique(own[at] ^ _NEXT[p.symbol[at]], return_index=True, return_counts=True)
+                one = at[first]
+                yield record(schema, own[one].view(np.int64), shorter[one].view(np.int64), p.symbol[one].astype(np.int32), n)
+
+    return words.select("word").mapInArrow(run, "ctx long, shorter long, symbol int, n long").groupBy("ctx", "symbol").agg(F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
+
+
+def spelling(words: DataFrame) -> Tree:
+    """The byte tree of the distinct words of (word, n) with n > 0: of a size that LEAST and PAIRS bound."""
+    some = words.where("n > 0")
+    schema = pa.schema([("symbol", pa.int32()), ("n", pa.int64())])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 65536):
-            p = Positions(b.column(0).to_pylist())
-            for t in trees:
-                got = np.bincount(p.symbol, b.column(t + 1).to_numpy()[p.word], 256)
-                hit = np.flatnonzero(got)
-                yield record(schema, np.full(len(hit), t, np.int32), hit.astype(np.int32), got[hit].astype(np.int64))
-
-    root = np.zeros((len(texts), 257))
-    for t, symbol, n in some.mapInArrow(single, "tree int, symbol int, n long").groupBy("tree", "symbol").agg(F.sum("n")).collect():
-        root[t, symbol] = n
-    root[:, END] += texts
-    floors = F.element_at(F.array(*[F.lit(max(1, math.ceil(LEAST * root[t].sum()))) for t in trees]), F.col("tree") + 1)
-    levels, known = [[] for _ in trees], [np.zeros(0, np.uint64) for _ in trees]
-    for depths in ([1, 2, 3], *[[k] for k in range(4, DEPTH + 1)]):
-        grown = _grow(some, depths, known)
-        kept = grown.groupBy("tree", "depth", "ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= floors)
-        rows = grown.join(kept.select("tree", "depth", "ctx"), ["tree", "depth", "ctx"]).toPandas()  # at most 1 / LEAST contexts a level
-        for t in trees:
-            for k in depths:
-                own = rows[(rows["depth"] == k) & (rows["tree"] == t)]
-                level = [own["ctx"].to_numpy(np.int64).view(np.uint64), own["shorter"].to_numpy(np.int64).view(np.uint64), own["symbol"].to_numpy(np.int64), own["n"].to_numpy(np.int64)]
-                if k == 1 and texts[t]:
-                    level = [np.append(a, np.array([v], a.dtype)) for a, v in zip(level, (_AT[1][SPACE], 0, END, texts[t]))]
-                levels[t].append(level)
-            known[t] = np.unique(levels[t][-1][0])
-        if not any(map(len, known)):
+            got = np.bincount(Positions(b.column(0).to_pylist()).symbol, minlength=256)
+            yield record(schema, np.flatnonzero(got).astype(np.int32), got[got > 0])
+
+    root = np.zeros(256)
+    for symbol, n in some.select("word").mapInArrow(single, "symbol int, n long").groupBy("symbol").agg(F.sum("n")).collect():
+        root[symbol] = n
+    levels, known = [], np.zeros(0, np.uint64)
+    for depth in range(1, SPELT + 1):
+        grown = _grow(some, depth, known).where(F.col("n") >= max(1.0, PAIRS * root.sum()))
+        kept = grown.groupBy("ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= max(1.0, LEAST * root.sum()))
+        rows = grown.join(kept.select("ctx"), "ctx").select("ctx", "shorter", "symbol", "n").toArrow()  # at most 1 / PAIRS rows
+        ctx, shorter, symbol, n = (c.to_numpy() for c in rows.columns)
+        if not len(n):
             break
-    return [Tree(root[t], levels[t]) for t in trees]
+        levels.append((ctx.view(np.uint64), shorter.view(np.uint64), symbol.astype(np.int64), n))
+        known = np.unique(levels[-1][0])
+    return Tree(root, levels)
 
 
-_REQUEST = "bucket long, kind int, batch long, hashes binary, a binary, b binary"
-_REQ = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-WORDS, ASK, OWN, ANSWER = range(4)
+def state_logs(codes: np.ndarray, train: np.ndarray, single: np.ndarray, first: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of each position's symbol in the state of its longest kept suffix.
+
+    codes: the symbols one, two and three before and the symbol itself; the positions are all those of their first symbols, or
+    where ``first`` gives (count of symbol and next, count of symbol, distinct next ones), all those of their first two.
+    """
+    h, n = codes.astype(np.int64), codes.shape[1]
+    low, ctx = single[h[3]], np.zeros(n, np.int64)
+    chain, kept = [low], []
+    for d in range(DEPTH):
+        ctx = np.unique(ctx << BITS | h[d], return_inverse=True)[1]
+        if d == 0 and first is not None:
+            with_next, total, kinds = first
+            stays = np.ones(int(ctx.max(initial=-1)) + 1, bool)
+        else:
+            _, one, gram = np.unique(ctx << BITS | h[3], return_index=True, return_inverse=True)
+            grams, totals = np.bincount(gram, train), np.bincount(ctx, train)
+            distinct = np.bincount(ctx[one], grams > 0, len(totals))
+            with_next, total, kinds = grams[gram], totals[ctx], distinct[ctx]
+            gain = np.zeros(n)
+            gain[train] = np.log(with_next[train] / total[train] / low[train])
+            stays = (totals >= 2) & (np.bincount(ctx, gain) >= GAIN)
+        rest = WEIGHT[d] * kinds
+        low = np.where(total > 0, (with_next + rest * low) / np.maximum(total + rest, 1), low)
+        chain.append(low)
+        kept.append((ctx, stays))
+    out, below, open_ = chain[0].copy(), np.zeros(n, bool), np.ones(n, bool)
+    for d in range(DEPTH - 1, -1, -1):
+        ctx, stays = kept[d]
+        if n:
+            stays = stays | (np.bincount(ctx, below) > 0)
+        below = stays[ctx]
+        go = below & open_
+        out[go], open_ = chain[d + 1][go], open_ & ~below
+    return np.log10(out)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed, behind the number of values."""
+    x = np.ascontiguousarray(x)
+    return len(x).to_bytes(4, "little") + pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _values(packed: bytes, kind: type) -> np.ndarray:
+    n, wide = int.from_bytes(packed[:4], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(packed[4:], n * wide, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(wide, n).T).view(kind).reshape(n)
+
+
+_ROW = "bucket long, kind int, batch long, keys binary, a binary, b binary"
+_ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+WORDS, ASK, NEAR, PAIR, OWN, KINDS, PASSED, ANSWER = range(8)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def _dealt(a: np.ndarray, b: np.ndarray | int, buckets: int) -> np.ndarray:
+    """Buckets of symbols or pairs of symbols."""
+    x = (a.astype(np.uint64) << np.uint64(BITS) | np.asarray(b, np.uint64)) * _ODD
+    return ((x ^ x >> np.uint64(29)) * _ODD >> np.uint64(24)).astype(np.int64) % buckets
+
+
+def _split(at: np.ndarray) -> list[np.ndarray]:
+    """Positions with equal values, in order."""
+    order = np.argsort(at, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+
+
+def _sent(kind: int, at: np.ndarray, batch: int, codes: np.ndarray, docs: np.ndarray, more: tuple[np.ndarray, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Positions packed by bucket."""
+    out = []
+    for part in _split(at):
+        extra = [_squeezed(x[part]) for x in more]
+        out.append((int(at[part[0]]), kind, batch, _squeezed(codes[:, part].reshape(-1)), _squeezed(docs[part]), b"".join(len(x).to_bytes(4, "little") + x for x in extra) or None))
+    if out:
+        yield record(_ROWS, *zip(*out))
+
+
+def _sums(batch: np.ndarray, docs: np.ndarray, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the positions add to documents, for each batch."""
+    order = np.lexsort((docs, batch))
+    batch, docs, logs = batch[order], docs[order], logs[order]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(batch) != 0) | (np.diff(docs) != 0)))) if len(docs) else np.zeros(0, np.int64)
+    if len(new):
+        total, batch, docs = np.add.reduceat(logs, new), batch[new], docs[new]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(batch)) + 1, [len(batch)]))
+        out = [(0, ANSWER, int(batch[a]), _squeezed(docs[a:b]), None, total[a:b].astype(np.float32).tobytes()) for a, b in zip(cuts, cuts[1:])]
+        yield record(_ROWS, *zip(*out))
+
+
+def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("out", held_out(F.col("doc_id"), FOLDS))
     texts = rows.where("not out").count()
-    main = rows.where("not out and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= SHARE * texts).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    tree = F.lit(0)
-    for k, (name, _) in enumerate(main, 1):
-        tree = F.when(F.col("lang") == name, F.lit(k)).otherwise(tree)
-    rows = rows.withColumn("tree", tree.cast("int")).drop("lang")
-    sizes = [texts, *[n for _, n in main]]
-    words = save(count_words(rows, len(sizes)), "words")
-    sums = words.agg(F.sum("n0"), F.count_if(F.col("n0") > 0), F.count("*")).first()
+    words = save(count_words(rows), "words")
+    sums = words.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.count("*")).first()
     total, kinds = (sums[0] or 0) + texts, sums[1] + (texts > 0)
     base = lambda c: np.log10((np.asarray(c, float) + 0.1) / (total + 0.1 * (kinds + 1)))
-    trees = learn(words, sizes)
-    shared = spark.sparkContext.broadcast(trees)  # of a size that LEAST bounds
-    weights = np.log10(np.maximum(np.array(sizes, float), 1) / max(sum(sizes), 1))
-    wide = 2 + len(trees)  # known, base and each tree's logs
-
-    heavy = words.where(F.col("n0") * HEAVY >= max(total, 1)).orderBy("word").select("word", "n0").toPandas()  # at most HEAVY rows
-    names = [bytes(w) for w in heavy["word"]]
-    table = (dict(zip(names, range(len(names)))), np.stack([np.ones(len(names)), base(heavy["n0"]), *[t.words(names) for t in trees]], axis=1))
-    near = spark.sparkContext.broadcast(table)
-    buckets = max(shuffles(spark), -(-sums[2] // BUCKET))
-    end = np.array([float(texts > 0), float(base(texts)), *[t.end() for t in trees]])
+    is_heavy = F.col("n") * HEAVY >= max(total, 1)
+    heavy = words.where(is_heavy).orderBy("word").select("word", "n").toArrow()  # at most HEAVY rows
+    names = heavy["word"].to_pylist()
+
+    # Single symbols: their counts, a table of SYMBOLS numbers.
+    signed = lambda h: h.astype(np.uint64) % np.uint64(CLASSES)
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("distinct", pa.int64())])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 65536):
+            at = signed(np.fromiter(map(_hash, b.column(0).to_pylist()), np.uint64, b.num_rows)).astype(np.int64)
+            got = np.unique(at)
+            n = np.bincount(at, b.column(1).to_numpy(), CLASSES)[got].astype(np.int64)
+            yield record(schema, got, n, np.bincount(at, minlength=CLASSES)[got])
+
+    got = words.where(~is_heavy & (F.col("n") > 0)).mapInArrow(classed, "class long, n long, distinct long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toArrow()
+    counts, distinct = np.zeros(SYMBOLS, np.int64), np.zeros(CLASSES, np.int64)
+    counts[: len(names)], counts[STOP] = heavy["n"].to_numpy(), texts
+    counts[FIRST + got["class"].to_numpy()], distinct[got["class"].to_numpy()] = got["n"].to_numpy(), got["distinct"].to_numpy()
+    single = (counts + ADDED) / (total + ADDED * (len(names) + 1 + CLASSES))
+    before = counts.copy()  # as what is before a symbol: the end never is, the beginning is once a text
+    before[STOP], before[START] = 0, texts
+    buckets = max(shuffles(spark), -(-total // room), -(-sums[2] // BUCKET))
+    hot = np.flatnonzero(before > room // 2)
+    held = spark.sparkContext.broadcast((dict(zip(names, range(len(names)))), base(heavy["n"].to_numpy()), single, counts[FIRST:], distinct, hot, spelling(words)))
+    end = (float(texts > 0), float(base(texts)))
 
     def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words and their logs, packed by bucket."""
+        """Words with whether they are known, the base's log and the log of their share of their class, packed by bucket."""
+        _, _, _, of_class, kinds_, _, tree = held.value
         for b in slices(batches, 65536):
             w, n = b.column(0).to_pylist(), b.column(1).to_numpy()
             h = np.fromiter(map(_hash, w), np.uint64, len(w))
-            own = np.stack([(n > 0).astype(float), base(n), *[t.words(w) for t in shared.value]], axis=1)
-            yield from packed(h, None, own, WORDS, 0)
-
-    def packed(h: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, kind: int, batch: int) -> Iterator[pa.RecordBatch]:
-        at = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        cuts = np.flatnonzero(np.diff(at[order])) + 1
-        out = []
-        for part in np.split(order, cuts) if len(order) else []:
-            out.append((int(at[part[0]]), kind, batch, h[part].tobytes(), None if a is None else a[part].tobytes(), None if b is None else b[part].tobytes()))
-        if out:
-            yield record(_REQ, *zip(*out))
+            at = signed(h).astype(np.int64)
+            whole = of_class[at] + kinds_[at]
+            share = np.log10(np.where(n > 0, n, np.maximum(kinds_[at], 1)) / np.maximum(whole, 1))
+            new = np.flatnonzero(n == 0)
+            share[new] += np.minimum(0, tree.words([w[k] for k in new]) + math.log10(CLASSES))  # of all spellings, a class has one in CLASSES
+            own = np.stack([(n > 0).astype(float), base(n), share], axis=1)
+            to = (h >> np.uint64(32)).astype(np.int64) % buckets
+            out = [(int(to[part[0]]), WORDS, 0, h[part].tobytes(), None, own[part].tobytes()) for part in _split(to)]
+            if out:
+                yield record(_ROWS, *zip(*out))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch of documents: sums over heavy words of its own, and the hashes of its other words."""
+        """Each batch of documents: what is known of it here, the hashes of its rarer words, and its positions."""
         number = TaskContext.get().partitionId() << 32
-        places, logs = near.value
-        for b in slices(batches, 2048):
-            size, far, hashes = [], [], []
-            sums_ = np.zeros((b.num_rows, wide))
+        places, logs, _, _, _, hot_, _ = held.value
+        for b in text_slices(batches, "text", 2048):
+            size, far, hashes, codes = [], [], [], []
+            sums_ = np.zeros((b.num_rows, 3))
             for k, text in enumerate(b.column(1).to_pylist()):
                 w = tokens_of(text)
-                got = [places.get(x, -1) for x in w]
-                ids = np.array(got, np.int64)
-                ids = ids[ids >= 0]
-                rest = [_hash(x) for x, g in zip(w, got) if g < 0]
-                sums_[k] = logs[ids].sum(axis=0) + end
+                got = np.fromiter((places.get(x, -1) for x in w), np.int64, len(w))
+                rare = np.flatnonzero(got < 0)
+                ids = np.delete(got, rare) if len(rare) else got
+                rest = np.fromiter((_hash(w[i]) for i in rare.tolist()), np.uint64, len(rare))
+                got[rare] = FIRST + signed(rest).astype(np.int64)
+                sums_[k, 0], sums_[k, 1] = len(ids) + end[0], logs[ids].sum() + end[1]
                 size.append(len(w) + 1)
-                far.append(len(rest))
-                hashes += rest
-            ids = b.column(0)
-            doc = np.array(ids.fill_null(0), np.int64)
-            null = np.array(ids.is_null(), np.int64)
-            own = np.stack([doc, null, np.array(size), np.array(b.column(2).to_pylist(), np.int64)], axis=1)
-            yield record(_REQ, [number % buckets], [OWN], [number], [None], [own.tobytes()], [sums_.tobytes()])
-            which = np.repeat(np.arange(b.num_rows, dtype=np.uint32), far)
-            yield from packed(np.array(hashes, np.uint64), which, None, ASK, number)
+                far.append(len(rare))
+                hashes.append(rest)
+                codes.append(np.append(got, STOP))
+            ids, sizes, out = b.column(0), np.array(size), np.array(b.column(2).to_pylist(), np.int64)
+            own = np.stack([np.array(ids.fill_null(0), np.int64), np.array(ids.is_null(), np.int64), sizes, out], axis=1)
+            yield record(_ROWS, [number % buckets], [OWN], [number], [None], [own.tobytes()], [sums_.tobytes()])
+            which, far_ = np.repeat(np.arange(b.num_rows, dtype=np.uint32), far), np.concatenate(hashes)
+            at = (far_ >> np.uint64(32)).astype(np.int64) % buckets
+            asks = [(int(at[part[0]]), ASK, number, far_[part].tobytes(), which[part].tobytes(), None) for part in _split(at)]
+            if asks:
+                yield record(_ROWS, *zip(*asks))
+            flat = np.concatenate(codes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            grams = np.stack([*[np.where(place >= d, np.roll(flat, d), START) for d in range(1, DEPTH + 1)], flat]).astype(np.uint32)
+            doc = np.repeat(np.arange(b.num_rows, dtype=np.uint32) * 2 + (1 - out).astype(np.uint32), sizes)
+            pair = np.isin(grams[0], hot_)
+            for kind, go in ((NEAR, ~pair), (PAIR, pair)):
+                some = grams[:, go]
+                yield from _sent(kind, _dealt(some[0], some[3] if kind == PAIR else 0, buckets), number, some, doc[go])
             number += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by bucket, words first: what each batch asked of the bucket, summed by document."""
-        now, h, logs, parts = None, None, None, []
+        """Rows by bucket and kind: answers to what batches asked of it, summed by document, and its pairs' counts with their positions."""
+        now, h, own, parts, held_ = None, None, None, [], ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for kind, found in zip((NEAR, PAIR), held_):
+                if not found:
+                    continue
+                codes = np.concatenate([_values(x, np.uint32).reshape(DEPTH + 1, -1) for _, x, _ in found], axis=1)
+                docs_ = np.concatenate([_values(x, np.uint32) for _, _, x in found])
+                batch = np.repeat([n for n, _, _ in found], [int.from_bytes(x[:4], "little") for _, _, x in found])
+                train = (docs_ & 1).astype(bool)
+                found.clear()
+                if kind == NEAR:
+                    yield from _sums(batch, docs_ >> 1, state_logs(codes, train, held.value[2]))
+                    continue
+                _, one, gram = np.unique(codes[0].astype(np.int64) << BITS | codes[3], return_index=True, return_inverse=True)
+                n = np.bincount(gram, train).astype(np.int64)
+                seen = one[n > 0]
+                for part in _split(codes[0][seen]):
+                    yield record(_ROWS, [int(codes[0][seen[part[0]]])], [KINDS], [len(part)], [None], [None], [None])
+                yield from _sent(PASSED, _dealt(codes[0], codes[1], buckets), 0, codes, docs_, (n[gram], batch.astype(np.int64)))
+
         for b in slices(batches, 64):
-            for bucket, kind, batch, hashes, a, own in zip(*[c.to_pylist() for c in b.columns]):
+            for bucket, kind, batch, keys, a, x in zip(*[c.to_pylist() for c in b.columns]):
                 if bucket != now:
+                    yield from done()
                     now, h, parts = bucket, None, []
                 if kind == WORDS:
-                    parts.append((np.frombuffer(hashes, np.uint64), np.frombuffer(own).reshape(-1, wide)))
-                elif kind == OWN:
-                    yield record(_REQ, [bucket], [kind], [batch], [None], [a], [own])
-                else:
+                    parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(x).reshape(-1, 3)))
+                elif kind == ASK:
                     if h is None:
-                        h, logs = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+                        h, own = np.concatenate([y for y, _ in parts]), np.concatenate([y for _, y in parts])
                         order = np.argsort(h)
-                        h, logs, parts = h[order], logs[order], []
+                        h, own, parts = h[order], own[order], []
                     which = np.frombuffer(a, np.uint32)
-                    got = logs[np.searchsorted(h, np.frombuffer(hashes, np.uint64))]
+                    got = own[np.searchsorted(h, np.frombuffer(keys, np.uint64))]
                     docs_, first = np.unique(which, return_index=True)
-                    yield record(_REQ, [bucket], [ANSWER], [batch], [None], [docs_.tobytes()], [np.add.reduceat(got, first, axis=0).tobytes()])
+                    yield record(_ROWS, [0], [ANSWER], [batch], [_squeezed(docs_)], [np.add.reduceat(got, first, axis=0).tobytes()], [None])
+                elif kind == OWN:
+                    yield record(_ROWS, [bucket], [kind], [batch], [None], [a], [x])
+                else:
+                    held_[kind == PAIR].append((batch, keys, a))
+        yield from done()
+
+    known = words.where(~is_heavy).mapInArrow(lexicon, _ROW)
+    met = known.unionByName(rows.select("doc_id", "text", "out").mapInArrow(asked, _ROW)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "batch").mapInArrow(answer, _ROW)
+    if len(hot):
+        met = save(met, "answers")  # read for the pairs' kinds, for what goes on and for the answers
+        found = met.where(F.col("kind") == KINDS).groupBy("bucket").agg(F.sum("batch").alias("n")).toArrow()  # a row for each hot symbol, at most
+        kinds_of = np.zeros(SYMBOLS, np.int64)
+        kinds_of[found["bucket"].to_numpy()] = found["n"].to_numpy()
+        more = spark.sparkContext.broadcast((before, kinds_of))
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows by bucket: positions after hot symbols, with the counts of symbol and next one."""
+            now, found_ = None, []
+
+            def done() -> Iterator[pa.RecordBatch]:
+                codes = np.concatenate([_values(x, np.uint32).reshape(DEPTH + 1, -1) for x, _, _ in found_], axis=1)
+                docs_ = np.concatenate([_values(x, np.uint32) for _, x, _ in found_])
+                n, batch = [], []
+                for _, _, x in found_:
+                    cut = 4 + int.from_bytes(x[:4], "little")
+                    n.append(_values(x[4:cut], np.int64))
+                    batch.append(_values(x[cut + 4 :], np.int64))
+                found_.clear()
+                c, k = more.value
+                logs = state_logs(codes, (docs_ & 1).astype(bool), held.value[2], (np.concatenate(n), c[codes[0]], k[codes[0]]))
+                yield from _sums(np.concatenate(batch), docs_ >> 1, logs)
+
+            for b in slices(batches, 64):
+                for bucket, keys, a, x in zip(*[b.column(k).to_pylist() for k in ("bucket", "keys", "a", "b")]):
+                    if bucket != now and found_:
+                        yield from done()
+                    now = bucket
+                    found_.append((keys, a, x))
+            if found_:
+                yield from done()
+
+        on = met.where(F.col("kind") == PASSED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(passed, _ROW)
+        met = met.where(F.col("kind").isin(OWN, ANSWER)).unionByName(on)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -373,28 +505,23 @@ def scores(docs: DataFrame) -> DataFrame:
         own = sums_ = None
 
         def done() -> pa.RecordBatch:
-            each = sums_[:, 2:] + weights
-            best = each.max(axis=1)
-            mixed = best + np.log10((10 ** (each - best[:, None])).sum(axis=1))
             ids = pa.array(own[:, 0], mask=own[:, 1] > 0)
-            return record(out_schema, ids, own[:, 3] > 0, own[:, 2], np.rint(sums_[:, 0]).astype(np.int64), np.full(len(own), total), sums_[:, 1], mixed)
+            return record(out_schema, ids, own[:, 3] > 0, own[:, 2], np.rint(sums_[:, 0]).astype(np.int64), np.full(len(own), total), sums_[:, 1], sums_[:, 2])
 
         for b in slices(batches, 64):
-            for _, kind, _, _, a, x in zip(*[c.to_pylist() for c in b.columns]):
+            for kind, keys, a, x in zip(*[b.column(k).to_pylist() for k in ("kind", "keys", "a", "b")]):
                 if kind == OWN:
                     if own is not None:
                         yield done()
-                    own, sums_ = np.frombuffer(a, np.int64).reshape(-1, 4), np.frombuffer(x).reshape(-1, wide).copy()
+                    own, sums_ = np.frombuffer(a, np.int64).reshape(-1, 4), np.frombuffer(x).reshape(-1, 3).copy()
+                elif x is None:
+                    sums_[_values(keys, np.uint32)] += np.frombuffer(a).reshape(-1, 3)
                 else:
-                    sums_[np.frombuffer(a, np.uint32)] += np.frombuffer(x).reshape(-1, wide)
+                    sums_[_values(keys, np.uint32), 2] += np.frombuffer(x, np.float32)
         if own is not None:
             yield done()
 
-    known = words.mapInArrow(lexicon, _REQUEST)
-    asks = rows.select("doc_id", "text", "out").mapInArrow(asked, _REQUEST)
-    met = known.unionByName(asks).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "batch").mapInArrow(answer, _REQUEST)
-    out = met.repartition("batch").sortWithinPartitions("batch", "kind", "bucket").mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out
+    return met.repartition("batch").sortWithinPartitions("batch", "kind", "keys", "a", "b").mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_suffix_tree_scores(spark, sf_dir: str) -> DataFrame:
