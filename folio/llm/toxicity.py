@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word-bigram models, one per class, are interpolated with absolute discounting. Both back off to
-their class's continuation counts, where the contexts that are counted are documents, and pairs too
-count once a document, so that what one document repeats says no more; and these to the continuation counts that the classes share,
-with one document more at either level for both classes alike, so that a rare word says little in a class of few documents.
-Words and pairs that are in a single document of a class, at most, back off; all others count. A passage's score is the length-normalised
-toxic minus ordinary log-likelihood; a document has those of its strongest passages of 1, 4 and 16 words
+Two word-bigram models, one per class, are interpolated with absolute discounting. A pair counts once a document, so that
+what one document repeats says no more. Both back off to their class's continuation counts, the number of distinct words
+that a word follows, and these to the continuation counts that the classes share, which smooth rare expressions; one pair more
+at either level for both classes alike makes a rare word say little in a class of few documents.
+Words and pairs that are in a single document of a class, at most, say nothing of that document's class and back off: by a fixed number,
+whatever the size of the input or the class. A passage's score is the length-normalised
+toxic minus ordinary log-likelihood; insults being few in long texts, a document has those of its strongest passages of 1, 4 and 16 words
 and of the whole, which a logistic curve, fitted on a fold of the training rows that the counts leave out, turns into a
-score from 0 to 1.
+score from 0 to 1. Where that fold lacks a class, the curve is fitted on the rows that the counts have.
 
 Only labelled rows outside the held-out fold are learnt from, at most ``per_class`` documents a class
 for the counts and ``calibration`` for the curve, the first by a hash of doc_id: the bounded sample of
@@ -37,9 +38,9 @@ DISCOUNT = 0.75
 FOLDS = 5
 PER_CLASS = 8_000
 CALIBRATION = 16_000
-#: Documents of either class that a word or pair must be in; by neither the input's nor the sample's size.
+#: Documents of either class that a word must be in, and of both together that a pair must be in; by neither the input's nor the sample's size.
 MIN_DF = 2
-#: Documents of the last level, which the classes share evenly, by word and by pair.
+#: Pairs of the last level, which the classes share evenly, by word and by pair.
 EVEN = 1.0
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -51,25 +52,25 @@ def words_of(text: str | None) -> list[str]:
 class Model:
     """Log-likelihood ratios of words after words, as arrays by the vocabulary's numbers; 0 is any other word."""
 
-    def __init__(self, vocabulary: dict[str, int], uni: np.ndarray, df: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        """uni: pairs that begin so, df: documents, by class and number; keys: first * size + second; counts: by class and key."""
+    def __init__(self, vocabulary: dict[str, int], uni: np.ndarray, follows: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+        """uni: pairs that begin so, by class and number; follows: distinct words before each, by class and for both together; keys: first * size + second; counts: by class and key."""
         size = len(vocabulary) + 1
         self.vocabulary, self.size, self.keys = vocabulary, size, keys
         first, second = keys // size, keys % size
-        shared = df.sum(axis=0) + 0.5
-        shared /= shared.sum()
+        shared = follows[2] + 0.5
+        shared = shared / shared.sum()
         low, gap, found = [], [], []
         for c in range(2):
-            kept = np.maximum(df[c] - DISCOUNT, 0) / max(df[c].sum(), 1.0)
-            unigram = kept + (1 - kept.sum()) * shared
+            kept = np.maximum(follows[c] - DISCOUNT, 0) / max(follows[c].sum(), 1.0)
+            continuation = kept + (1 - kept.sum()) * shared
             tokens = np.maximum(uni[c], 1.0)
             seen = np.maximum(counts[c] - DISCOUNT, 0) / tokens[first]
             rest = np.maximum(1 - np.bincount(first, weights=seen, minlength=size), 1e-9)
-            low.append(unigram)
+            low.append(continuation)
             gap.append(rest)
-            found.append(seen + rest[first] * unigram[second])
+            found.append(seen + rest[first] * continuation[second])
         # The classes' last level is one they share evenly, so that few documents of a small class say little.
-        even = EVEN / max(df.sum(), 1.0)
+        even = EVEN / max(follows[:2].sum(), 1.0)
         self.low = np.log(low[1] + even) - np.log(low[0] + even)
         self.gap = np.log(gap[1]) - np.log(gap[0])
         even = EVEN / np.maximum(uni.sum(axis=0), 1.0)[first]
@@ -153,13 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     ordinary, toxic = (int(rare[0]), int(rare[1])) if rare else (0, 0)
     if not ordinary or not toxic:
         return float(toxic > 0)
-    # Words of fewer documents in both classes are one symbol; the sample is bounded, so what is kept is.
-    kept = totals.where((F.greatest("df0", "df1") >= MIN_DF) & (F.col("word") != "")).toArrow().sort_by("word")  # as Arrow, so that no row is an object on the driver
+    kept = totals.where(F.col("word") != "").select("word", (F.greatest("df0", "df1") >= MIN_DF).alias("often")).toArrow().sort_by("word")  # of the bounded sample; as Arrow, so that no row is an object on the driver
     vocabulary = {w: k + 1 for k, w in enumerate(kept["word"].to_pylist())}
     size = len(vocabulary) + 1
-    df = np.zeros((2, size))
-    for c in range(2):
-        df[c, 1:], df[c, 0] = kept[f"df{c}"].to_numpy(), (ordinary, toxic)[c]
     shared = spark.sparkContext.broadcast(vocabulary)  # words of the bounded sample
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,26 +174,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
                     yield record(schema, key, np.full(len(key), c), n)
 
     bigrams = rows.mapInArrow(pairs, "key long, toxic long, n long").groupBy("key").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n"))).alias(f"n{c}") for c in (0, 1)]).fillna(0)
+    bigrams = save(bigrams, "pairs")
     tokens = bigrams.groupBy(F.floor(F.col("key") / size).alias("first")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    uni = np.zeros((2, size))
+    after = bigrams.groupBy((F.col("key") % size).alias("second")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"), F.count("*").alias("n2")).toArrow()
+    uni, follows = np.zeros((2, size)), np.zeros((3, size))
     for c in range(2):
         uni[c, tokens["first"].to_numpy()] = tokens[f"n{c}"].to_numpy()
-    bigrams = bigrams.where(F.greatest("n0", "n1") >= MIN_DF).toArrow().sort_by("key")  # rarer ones back off; of the bounded sample
-    model = Model(vocabulary, uni, df, bigrams["key"].to_numpy(), np.array([bigrams["n0"].to_numpy(), bigrams["n1"].to_numpy()], np.float64))
+    for c in range(3):
+        follows[c, after["second"].to_numpy()] = after[f"n{c}"].to_numpy()
+    follows[:, 1:] *= kept["often"].to_numpy(zero_copy_only=False)
+    often = bigrams.where(F.col("n0") + F.col("n1") >= MIN_DF).toArrow().sort_by("key")  # rarer ones back off; of the bounded sample
+    model = Model(vocabulary, uni, follows, often["key"].to_numpy(), np.array([often["n0"].to_numpy(), often["n1"].to_numpy()], np.float64))
     held = spark.sparkContext.broadcast(model)
 
+    both = rows.where("fold = 1").agg(F.countDistinct("toxic")).first()[0] == 2
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("x", pa.list_(pa.float64())), ("toxic", pa.int64())])
         for b in slices(batches):
-            got = [(held.value.features(t), c) for t, c, f in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("fold").to_pylist()) if f == 1]
+            got = [(held.value.features(t), c) for t, c, f in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("fold").to_pylist()) if (f == 1) == both]
             if got:
                 yield record(schema, *zip(*got))
 
     fitted = rows.mapInArrow(measured, "x array<double>, toxic long").orderBy("x", "toxic").toPandas()
-    if fitted["toxic"].nunique() < 2:
-        model.curve = (np.array([1.0] * len(PASSAGES) + [0.0, 0.0, -4.0]), np.zeros(WIDE), np.ones(WIDE))
-    else:
-        model.fit(np.array(fitted["x"].tolist(), float), fitted["toxic"].to_numpy(float))
+    model.fit(np.array(fitted["x"].tolist(), float), fitted["toxic"].to_numpy(float))
     return model
 
 
