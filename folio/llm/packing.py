@@ -1,12 +1,12 @@
 """Best-fit packing improved by swap-based local search.
 
 Documents become token ids (word BPE, then an end id), and only longer ones are cut into pieces of
-``capacity``. Pieces are dealt at random over groups of about ``GROUP``; each group is packed best-fit
-decreasing and then searched locally: pieces of the emptiest underfull bin are moved into other bins,
-or exchanged one for one or one for two smaller ones, whenever that raises the sum of squared fills,
-until bins empty or no exchange is left. What each group holds in its emptiest bin is then packed
-again with that of the other groups, until one group is left. No bin or search step depends on the
-number of rows outside its group.
+``capacity``. Pieces are dealt at random over groups of about ``GROUP``; each group is packed online, a piece in the fullest bin with
+room for it, and then searched locally: pieces of the emptiest bins move into fuller ones, or change places with one smaller piece
+of a fuller bin or with two that are smaller together, or two of them with one that is smaller. Each step takes length from an emptier bin to a fuller one, so it raises
+the sum of squared fills; the search ends when there are as few bins as the lengths allow, or when no bin, with any of the
+donors that are tried, gains; in the last case it is begun once more from the longest pieces. What each group holds in its emptiest bin is then packed again with that of the other groups, until
+one group is left. No bin or search step depends on the number of rows outside its group.
 
 The tokenizer splits at white space and at the borders between letters, digits and other characters,
 so ids are looked up in bounded tables per chunk between white space, then per part of a chunk; only
@@ -19,7 +19,7 @@ import json
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -34,6 +34,8 @@ from folio.llm.common import record, save, slices
 CAPACITY = 4096
 END = 1
 GROUP = 20_000
+#: Pieces of a bin up to which pairs of them are tried for one that is longer.
+PAIRED = 24
 VOCABULARY = "word_bpe_49k.json"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,11 +127,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECE_DDL)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: bins as lists of positions."""
+def best_fit(lengths: list[int], capacity: int, order: list[int] | None = None) -> list[list[int]]:
+    """Online best fit, in the pieces' order or the given one: bins as lists of positions."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (free, bin), in order
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for i in range(len(lengths)) if order is None else order:
         n = lengths[i]
         at = bisect_left(room, (n, -1))
         if at < len(room):
@@ -143,66 +145,120 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 3) -> list[list[int]]:
-    """Empty underfull bins by moves and exchanges, each of which raises the sum of squared fills.
-
-    The emptiest bin gives: a piece moves to the fullest bin with room; or changes places with one
-    smaller piece, or with two that are smaller together, of a bin that then gets fuller. It ends at the least
-    number of bins there can be, or when ``tries`` bins in a row could not be emptied.
-    """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least, live = -(-sum(fill) // capacity), len(bins)
-    under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    failed = 0
-    for k, e in enumerate(under):
-        if live <= least or failed == tries:
-            break
-        hosts = sorted(under[k + 1 :], key=lambda b: -fill[b])
-        todo = sorted(bins[e], key=lambda i: -lengths[i])
-        while todo:  # each turn takes length from e, which ends it
-            x = todo.pop(0)
-            n = lengths[x]
-            for b in hosts:
-                room = capacity - fill[b]
-                if not room:
-                    continue
-                got = [] if n <= room else _leaving(bins[b], lengths, n - room, n)
-                if n <= room or got:
-                    out = sum(lengths[i] for i in got)
-                    bins[e].remove(x)
-                    bins[b] = [i for i in bins[b] if i not in got] + [x]
-                    bins[e] += got
-                    todo += got
-                    fill[b] += n - out
-                    fill[e] += out - n
+class Search:
+    """Local search over bins: moves and exchanges, each of which takes length from an emptier bin to a fuller one, so raises the sum of squared fills."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = [list(b) for b in bins], lengths, capacity
+        self.fill = [sum(lengths[i] for i in b) for b in self.bins]
+        self.least = -(-sum(self.fill) // capacity)
+        self.moves = self.exchanges = self.pairs = 0
+
+    def _apply(self, new: list[int], owner: dict[int, int], host: int, out: list[int]) -> int:
+        """Put ``new`` in the host for ``out``, which goes where the first of them was; gives that bin."""
+        donor = owner[new[0]]
+        for x in new:
+            self.bins[owner[x]].remove(x)
+            self.fill[owner[x]] -= self.lengths[x]
+        back = sum(self.lengths[i] for i in out)
+        self.bins[donor] += out
+        self.fill[donor] += back
+        self.bins[host] = [i for i in self.bins[host] if i not in out] + new
+        self.fill[host] += sum(self.lengths[x] for x in new) - back
+        self.moves += not out
+        self.exchanges += len(out) == len(new) == 1
+        self.pairs += len(out) + len(new) == 3
+        return donor
+
+    def _best(self, host: int, pool: list[tuple[int, int]], two: bool) -> tuple[int, list[int], list[int]]:
+        """What fills the host most: (gain, places in the pool, what leaves the host for them)."""
+        room, sizes, best = self.capacity - self.fill[host], self.lengths, (0, [], [])
+        content = self.bins[host]
+        outs = [[], *[[i] for i in content]]
+        if not two and len(content) <= PAIRED:
+            outs += [[i, j] for k, i in enumerate(content) for j in content[:k]]
+        for out in outs:
+            gone = sum(sizes[i] for i in out)
+            if two:  # the longest two of the pool that fit together
+                low, high = 0, bisect_right(pool, (gone + room, len(sizes))) - 1
+                while low < high and pool[high][0] >= gone:  # no bin of theirs may gain
+                    both = pool[low][0] + pool[high][0]
+                    if both > gone + room:
+                        high -= 1
+                        continue
+                    if both - gone > best[0]:
+                        best = (both - gone, [high, low], out)
+                    low += 1
+            else:
+                at = bisect_right(pool, (gone + room, len(sizes))) - 1
+                if at >= 0 and pool[at][0] - gone > best[0]:
+                    best = (pool[at][0] - gone, [at], out)
+            if best[0] == room:
+                break
+        return best
+
+    def _fill(self, donors: list[int], two: bool = False) -> bool:
+        """One turn of every fuller underfull bin, fullest first, with the donors' pieces; whether anything moved."""
+        owner = {i: d for d in donors for i in self.bins[d]}
+        pool = sorted((self.lengths[i], i) for i in owner)
+        top = max(self.fill[d] for d in donors)
+        taken = set(donors)
+        hosts = sorted((b for b in range(len(self.bins)) if b not in taken and top <= self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b))
+        changed = False
+        for b in hosts:
+            while pool and self.fill[b] < self.capacity:
+                gain, places, out = self._best(b, pool, two)
+                if not gain:
                     break
-        live -= not bins[e]
-        failed = 0 if not bins[e] else failed + 1
-    return [b for b in bins if b]
-
-
-def _leaving(content: list[int], lengths: list[int], low: int, high: int) -> list[int]:
-    """One piece, or else two, of ``content`` whose length is the smallest of at least ``low`` and under ``high``."""
-    one = min((i for i in content if low <= lengths[i] < high), key=lambda i: lengths[i], default=None)
-    if one is not None:
-        return [one]
-    order = sorted(content, key=lambda i: lengths[i])
-    sizes = [lengths[i] for i in order]
-    best, pair = high, []
-    for k, n in enumerate(sizes):
-        at = bisect_left(sizes, low - n, k + 1)
-        if at < len(sizes) and n + sizes[at] < best:
-            best, pair = n + sizes[at], [order[k], order[at]]
-    return pair
+                new = [pool.pop(at)[1] for at in places]  # the later place first
+                donor = self._apply(new, owner, b, out)
+                for x in new:
+                    del owner[x]
+                for i in out:
+                    owner[i] = donor
+                    insort(pool, (self.lengths[i], i))
+                changed = True
+        return changed
+
+    def run(self) -> list[list[int]]:
+        """Till there are as few bins as there can be, or nothing moves any more."""
+        while True:
+            live = [b for b in range(len(self.bins)) if self.bins[b]]
+            over = len(live) - self.least
+            if over <= 0:
+                break
+            under = sorted((b for b in live if self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
+            # The donors: what must go, and half as much again; then the emptiest bin alone, and twice as many each time.
+            sizes = [over + over // 2 + 1, *(1 << k for k in range(len(under).bit_length()))]
+            if not (any(self._fill(under[:k]) for k in sizes) or any(self._fill(under[:k], two=True) for k in sizes[1:5])):
+                break
+        return [b for b in self.bins if b]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empty underfull bins by local search."""
+    return Search(bins, lengths, capacity).run()
+
+
+def packed(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Best fit in the pieces' order, searched; where that leaves more bins than the lengths need, also from the longest piece on: the fewer bins of both."""
+    found = improve(best_fit(lengths, capacity), lengths, capacity)
+    if len(found) * capacity >= sum(lengths) + capacity:
+        found = min(found, improve(best_fit(lengths, capacity, sorted(range(len(lengths)), key=lambda i: -lengths[i])), lengths, capacity), key=len)
+    return found
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Pieces (with a length of at most ``capacity``) to the same rows with sequence_id and offset.
 
-    Every sequence is gapless from offset 0. Rows that are alike are packed apiece. No rows give none.
+    Every sequence is gapless from offset 0. Rows that are alike, with a null doc_id or not, are packed apiece and dealt over
+    the groups. Columns that are called sequence_id or offset are replaced. No rows give none.
     The pieces should be a saved table: they are read once a round.
     """
-    names = found.columns
+    found = found.drop("sequence_id", "offset")
+    names, mark = found.columns, "_group"
+    while mark in names:
+        mark += "_"
     whole = [f for f in found.schema.fields]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole)
     todo, done, level = found, [], 0
@@ -215,12 +271,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
             """The partition comes in order of group."""
             held: list[pa.RecordBatch] = []
 
-            def packed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            def placed(t: pa.Table) -> Iterator[pa.RecordBatch]:
                 lengths = t.column("length").to_pylist()
-                bins = improve(best_fit(lengths, capacity), lengths, capacity)
+                bins = packed(lengths, capacity)
                 rest = min(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b])) if not last else -1
                 order = [i for b in bins for i in b]
-                number = (level << 56) + (t.column("_group")[0].as_py() << 20)
+                number = (level << 56) + (t.column(mark)[0].as_py() << 20)
                 ids, at = [], []
                 for b, content in enumerate(bins):
                     offset = 0
@@ -228,7 +284,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
                         ids.append(None if b == rest else number + b)
                         at.append(offset)
                         offset += lengths[i]
-                t = t.drop_columns("_group").take(pa.array(order, pa.int64()))
+                t = t.drop_columns(mark).take(pa.array(order, pa.int64()))
                 t = t.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(at, pa.int64()))
                 yield from t.to_batches(max_chunksize=65536)
 
@@ -239,16 +295,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
                     if not len(part):
                         continue
                     if now is not None and ids[part[0]] != now:
-                        yield from packed(pa.Table.from_batches(held))
+                        yield from placed(pa.Table.from_batches(held))
                         held = []
                     now = ids[part[0]]
                     held.append(b.slice(part[0], len(part)))
             if held:
-                yield from packed(pa.Table.from_batches(held))
+                yield from placed(pa.Table.from_batches(held))
 
-        key = F.pmod(F.xxhash64(F.lit(level), "doc_id", *[c for c in ("piece", "start") if c in names]), F.lit(groups)).cast("long")
-        dealt = todo.withColumn("_group", key)
-        dealt = dealt.repartition("_group").sortWithinPartitions("_group") if groups > 1 else dealt.coalesce(1)
+        order = F.xxhash64(F.lit(level), F.monotonically_increasing_id(), *[c for c in ("doc_id", "piece") if c in names])
+        dealt = todo.withColumn(mark, F.pmod(order, F.lit(groups)).cast("long"))
+        dealt = dealt.repartition(mark).sortWithinPartitions(mark) if groups > 1 else dealt.coalesce(1)
         out = dealt.mapInArrow(run, ddl + ", sequence_id long, offset long")
         if last:
             done.append(out)
