@@ -5,8 +5,8 @@ and the tags of each and the path of elements it stands in. Lines inside element
 article (menus, headers, footers, sidebars, forms, scripts, styles and the like, by name, role or a word
 of class or id) are boilerplate. The text-to-tag ratios of the lines are smoothed by a Gaussian and split at
 their standard deviation or, on short pages, their mean; the lines above make the content cluster. The region is the
-innermost element around all of the cluster's text: an article or main element where there is one, else the
-element that the cluster's lines share. A class or id marks nothing where it negates its word or gives a state
+innermost article or main element around all of the cluster's text; where there is none, the element that holds most of the
+cluster's text over text that is not the cluster's, so a link list beside the article, whatever its names, stays out. A class or id marks nothing where it negates its word or gives a state
 (no-sidebar, comments-open) or stands around most of the text. All lines of the region that are not boilerplate are the text: within
 the region nothing short is dropped.
 
@@ -165,14 +165,18 @@ def extract(html: str | None) -> str:
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     cluster = [x for x, r in zip(lines, ratios) if r >= min(mean, spread) and not x[2]] or good
+    chosen = {id(x) for x in cluster}
     share: dict[int, int] = {}
-    for text, _, _, path in cluster:
-        for n in path:
-            share[n] = share.get(n, 0) + len(text)
+    gain: dict[int, int] = {}
+    for x in good:
+        size = len(x[0]) if id(x) in chosen else -len(x[0])
+        for n in x[3]:
+            gain[n] = gain.get(n, 0) + size
+            share[n] = share.get(n, 0) + max(size, 0)
     total = sum(len(x[0]) for x in cluster)
     named = [n for n in share if n in parser.kinds and share[n] == total]
-    around = [n for n in share if share[n] == total]
-    region = max(named or around, default=0)  # the innermost: numbers grow inwards
+    # The innermost: numbers grow inwards.
+    region = max(named) if named else max(gain, key=lambda n: (gain[n], n), default=0)
     return " ".join(text for text, _, _, path in good if not region or region in path)
 
 
