@@ -14,7 +14,8 @@ length is as good as many; order is given by ``order_turn``, ``level`` and ``ste
 Nulls: a null role is "", a null text empty; null conv_ids are a conversation of their own kind that links nothing.
 A call without an id, or whose JSON does not parse, is "malformed"; one whose id another call of the
 conversation has, "repeated"; one without a result, "unanswered"; a result without a call, "orphan"; a call on or
-behind a cycle, "cyclic". ``valid``: null where no tool of that name is declared.
+behind a cycle, "cyclic". ``valid``: null where no tool of that name is declared; of several declarations the first counts. Equal
+calls and equal results are events apiece. Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,15 +72,16 @@ def link(turns: DataFrame) -> DataFrame:
     needs = named.select("conv_id", "id", F.explode("depends_on").alias("need")).join(ids.select("conv_id", F.col("id").alias("need"), F.col("call_turn").alias("before")), ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.max("before").alias("before"))
 
     # Arguments against declared tools.
-    tools = rows.where((F.col("role") == "system") & F.contains("text", F.lit("<tool>"))).select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(TOOL), 1)).alias("raw"))
-    tools = tools.select("conv_id", F.from_json("raw", "name string, parameters struct<properties: map<string, struct<type: string>>, required: array<string>>").alias("t")).select("conv_id", "t.name", "t.parameters.*").where("name is not null").dropDuplicates(["conv_id", "name"])
+    tools = rows.where((F.col("role") == "system") & F.contains("text", F.lit("<tool>"))).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(TOOL), 1)).alias("at", "raw"))
+    tools = tools.select("conv_id", "turn", "at", F.from_json("raw", "name string, parameters struct<properties: map<string, struct<type: string>>, required: array<string>>").alias("t")).select("conv_id", "turn", "at", "t.name", "t.parameters").where("name is not null")
+    tools = tools.groupBy("conv_id", "name").agg(F.min_by(F.struct("parameters"), F.struct("turn", "at", "parameters.required")).alias("t")).select("conv_id", "name", "t.parameters.*")
     declared = named.select("conv_id", "turn", "at", "name", "arguments").join(tools, ["conv_id", "name"])
     declared = declared.withColumn("given", F.map_keys(F.from_json("arguments", "map<string, string>")))
     missing = F.exists(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.coalesce(F.array_contains("given", r), F.lit(False)))
-    declared.createOrReplaceTempView(view := f"declared_{id(declared)}")
     expected = F.element_at("properties", F.col("key"))["type"]
     pattern = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), expected)
-    wrong = turns.sparkSession.sql(f"select conv_id, turn, at, properties, e.key as key, schema_of_variant(e.value) as kind from {view}, lateral variant_explode(try_parse_json(arguments)) e")
+    entries = turns.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("arguments").outer())).select("key", F.schema_of_variant("value").alias("kind"))
+    wrong = declared.lateralJoin(entries)
     wrong = wrong.where(expected.isNotNull() & ~F.regexp_like("kind", F.concat(F.lit("^"), F.coalesce(pattern, F.lit(".*")), F.lit("$")))).select("conv_id", "turn", "at").distinct()
     checked = declared.select("conv_id", "turn", "at", (~missing & F.col("given").isNotNull()).alias("complete")).join(wrong.withColumn("wrong", F.lit(True)), ["conv_id", "turn", "at"], "left")
     checked = checked.groupBy("conv_id", "turn", "at").agg(F.every(F.col("complete") & F.col("wrong").isNull()).alias("valid"))
