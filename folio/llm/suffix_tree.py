@@ -12,8 +12,9 @@ one part for each distinct word that goes to words never seen in training, which
 
 No tree is gathered: of a text only its positions travel, packed, each to the cell of the symbol before it, where all contexts
 that end in this symbol have all their counts; the cell tests, smooths and scores, and sends back sums by document. A symbol that is
-before more than ``room`` / 2 positions has no cell: its positions go to those of (symbol, next symbol), which count these pairs, and with the counts on to
-those of (two symbols before, symbol). Such a symbol stays a state for the longer contexts' sake. So a cell holds at most what one symbol of middling
+before more than ``room`` positions stays a state for the longer contexts' sake, and its cell goes through its positions in parts, by the two symbols before. One
+that is before more than ``WIDE`` times as many has no cell: its positions go to those of (symbol, next symbol), which count these pairs, and with the counts
+on to those of (two symbols before, symbol). So a cell holds at most what one symbol of bounded
 frequency has or one pair; and rows are packed blocks, with the bucket of a cell as a key.
 
 A text's rarer words get their counts by a hash join: distinct words and what batches of documents ask of them meet in buckets. Words meet by 64-bit hashes.
@@ -45,7 +46,7 @@ STOP, START, FIRST = HEAVY, HEAVY + 1, HEAVY + 2
 SYMBOLS, BITS = FIRST + CLASSES, 21
 ADDED = 0.1
 #: Positions in a cell's bucket, on average; words that a task counts before it hands them on; distinct words in a bucket.
-ROOM, HELD, BUCKET = 500_000, 400_000, 250_000
+ROOM, WIDE, HELD, BUCKET = 500_000, 10, 400_000, 250_000
 #: The spelling of words outside the vocabulary: contexts of so many bytes, of at least this share of all, and pairs of context and byte.
 SPELT, LEAST, PAIRS = 4, 2.0**-16, 2.0**-20
 SPACE = 32
@@ -268,6 +269,26 @@ def state_logs(codes: np.ndarray, train: np.ndarray, single: np.ndarray, first:
     return np.log10(out)
 
 
+def cell_logs(codes: np.ndarray, train: np.ndarray, single: np.ndarray, before: np.ndarray, room: int) -> np.ndarray:
+    """``state_logs`` of all positions of some first symbols, in parts of about ``room``; first symbols before more than that stay states."""
+    out = np.empty(codes.shape[1])
+    many = before[codes[0]] > room
+    for go in (np.flatnonzero(~many), np.flatnonzero(many)):
+        if not len(go):
+            continue
+        first = None
+        parts = max(1, -(-len(go) // room))
+        if many[go[0]]:
+            _, one, gram = np.unique(codes[0, go].astype(np.int64) << BITS | codes[3, go], return_index=True, return_inverse=True)
+            grams = np.bincount(gram, train[go])
+            distinct = np.bincount(codes[0, go[one]], grams > 0, len(before))
+            first = (grams[gram], before[codes[0, go]], distinct[codes[0, go]])
+        for part in _split(_dealt(codes[0, go], 0 if first is None else codes[1, go], parts)):
+            at = go[part]
+            out[at] = state_logs(codes[:, at], train[at], single, None if first is None else tuple(x[part] for x in first))
+    return out
+
+
 def _squeezed(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, compressed, behind the number of values."""
     x = np.ascontiguousarray(x)
@@ -282,7 +303,7 @@ def _values(packed: bytes, kind: type) -> np.ndarray:
 
 _ROW = "bucket long, kind int, batch long, keys binary, a binary, b binary"
 _ROWS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-WORDS, ASK, NEAR, PAIR, OWN, KINDS, PASSED, ANSWER = range(8)
+WORDS, ASK, NEAR, PAIR, OWN, KINDS, PASSED, ANSWER, TOLD = range(9)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -290,6 +311,13 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
+def _positions(found: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Codes and documents of packed positions, and how many each block has."""
+    docs = [np.cumsum(_values(x, np.uint32), dtype=np.uint32) for _, x in found]
+    codes = np.concatenate([_values(x, np.uint32).reshape(DEPTH + 1, -1) for x, _ in found], axis=1)
+    return codes, np.concatenate(docs), [len(x) for x in docs]
+
+
 def _dealt(a: np.ndarray, b: np.ndarray | int, buckets: int) -> np.ndarray:
     """Buckets of symbols or pairs of symbols."""
     x = (a.astype(np.uint64) << np.uint64(BITS) | np.asarray(b, np.uint64)) * _ODD
@@ -307,7 +335,7 @@ def _sent(kind: int, at: np.ndarray, batch: int, codes: np.ndarray, docs: np.nda
     out = []
     for part in _split(at):
         extra = [_squeezed(x[part]) for x in more]
-        out.append((int(at[part[0]]), kind, batch, _squeezed(codes[:, part].reshape(-1)), _squeezed(docs[part]), b"".join(len(x).to_bytes(4, "little") + x for x in extra) or None))
+        out.append((int(at[part[0]]), kind, batch, _squeezed(codes[:, part].reshape(-1)), _squeezed(np.diff(docs[part], prepend=np.uint32(0))), b"".join(len(x).to_bytes(4, "little") + x for x in extra) or None))
     if out:
         yield record(_ROWS, *zip(*out))
 
@@ -335,7 +363,7 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
     total, kinds = (sums[0] or 0) + texts, sums[1] + (texts > 0)
     base = lambda c: np.log10((np.asarray(c, float) + 0.1) / (total + 0.1 * (kinds + 1)))
     is_heavy = F.col("n") * HEAVY >= max(total, 1)
-    heavy = words.where(is_heavy).orderBy("word").select("word", "n").toArrow()  # at most HEAVY rows
+    heavy = words.where(is_heavy).orderBy(F.desc("n"), "word").select("word", "n").toArrow()  # at most HEAVY rows
     names = heavy["word"].to_pylist()
 
     # Single symbols: their counts, a table of SYMBOLS numbers.
@@ -356,14 +384,14 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
     single = (counts + ADDED) / (total + ADDED * (len(names) + 1 + CLASSES))
     before = counts.copy()  # as what is before a symbol: the end never is, the beginning is once a text
     before[STOP], before[START] = 0, texts
-    buckets = max(shuffles(spark), -(-total // room), -(-sums[2] // BUCKET))
-    hot = np.flatnonzero(before > room // 2)
-    held = spark.sparkContext.broadcast((dict(zip(names, range(len(names)))), base(heavy["n"].to_numpy()), single, counts[FIRST:], distinct, hot, spelling(words)))
+    buckets, shelves = max(shuffles(spark), -(-total // room)), max(shuffles(spark), -(-sums[2] // BUCKET))
+    hot = np.flatnonzero(before > WIDE * room)
+    held = spark.sparkContext.broadcast((dict(zip(names, range(len(names)))), base(heavy["n"].to_numpy()), single, before, distinct, hot, spelling(words)))
     end = (float(texts > 0), float(base(texts)))
 
     def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words with whether they are known, the base's log and the log of their share of their class, packed by bucket."""
-        _, _, _, of_class, kinds_, _, tree = held.value
+        """Words with their counts and the logs of their shares of their classes, packed by bucket."""
+        of_class, kinds_, tree = held.value[3][FIRST:], held.value[4], held.value[6]
         for b in slices(batches, 65536):
             w, n = b.column(0).to_pylist(), b.column(1).to_numpy()
             h = np.fromiter(map(_hash, w), np.uint64, len(w))
@@ -372,9 +400,8 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
             share = np.log10(np.where(n > 0, n, np.maximum(kinds_[at], 1)) / np.maximum(whole, 1))
             new = np.flatnonzero(n == 0)
             share[new] += np.minimum(0, tree.words([w[k] for k in new]) + math.log10(CLASSES))  # of all spellings, a class has one in CLASSES
-            own = np.stack([(n > 0).astype(float), base(n), share], axis=1)
-            to = (h >> np.uint64(32)).astype(np.int64) % buckets
-            out = [(int(to[part[0]]), WORDS, 0, h[part].tobytes(), None, own[part].tobytes()) for part in _split(to)]
+            to = (h >> np.uint64(32)).astype(np.int64) % shelves
+            out = [(int(to[part[0]]), WORDS, 0, h[part].tobytes(), _squeezed(n[part]), _squeezed(share[part].astype(np.float32))) for part in _split(to)]
             if out:
                 yield record(_ROWS, *zip(*out))
 
@@ -382,7 +409,7 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
         """Each batch of documents: what is known of it here, the hashes of its rarer words, and its positions."""
         number = TaskContext.get().partitionId() << 32
         places, logs, _, _, _, hot_, _ = held.value
-        for b in text_slices(batches, "text", 2048):
+        for b in text_slices(batches, "text", 8192, 24_000_000):
             size, far, hashes, codes = [], [], [], []
             sums_ = np.zeros((b.num_rows, 3))
             for k, text in enumerate(b.column(1).to_pylist()):
@@ -401,8 +428,14 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
             own = np.stack([np.array(ids.fill_null(0), np.int64), np.array(ids.is_null(), np.int64), sizes, out], axis=1)
             yield record(_ROWS, [number % buckets], [OWN], [number], [None], [own.tobytes()], [sums_.tobytes()])
             which, far_ = np.repeat(np.arange(b.num_rows, dtype=np.uint32), far), np.concatenate(hashes)
-            at = (far_ >> np.uint64(32)).astype(np.int64) % buckets
-            asks = [(int(at[part[0]]), ASK, number, far_[part].tobytes(), which[part].tobytes(), None) for part in _split(at)]
+            order = np.argsort(far_, kind="stable")
+            far_, which = far_[order], which[order]
+            new = np.flatnonzero(np.concatenate(([True], far_[1:] != far_[:-1]))) if len(far_) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(far_)))
+            asks = []
+            for part in _split((far_[new] >> np.uint64(32)).astype(np.int64) % shelves):
+                each = np.repeat(new[part], times[part]) + np.arange(times[part].sum()) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+                asks.append((int(far_[new[part[0]]] >> np.uint64(32)) % shelves, ASK, number, far_[new[part]].tobytes(), _squeezed(which[each]), _squeezed(times[part].astype(np.uint32))))
             if asks:
                 yield record(_ROWS, *zip(*asks))
             flat = np.concatenate(codes)
@@ -423,13 +456,12 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
             for kind, found in zip((NEAR, PAIR), held_):
                 if not found:
                     continue
-                codes = np.concatenate([_values(x, np.uint32).reshape(DEPTH + 1, -1) for _, x, _ in found], axis=1)
-                docs_ = np.concatenate([_values(x, np.uint32) for _, _, x in found])
-                batch = np.repeat([n for n, _, _ in found], [int.from_bytes(x[:4], "little") for _, _, x in found])
+                codes, docs_, each = _positions([(x, y) for _, x, y in found])
+                batch = np.repeat([n for n, _, _ in found], each)
                 train = (docs_ & 1).astype(bool)
                 found.clear()
                 if kind == NEAR:
-                    yield from _sums(batch, docs_ >> 1, state_logs(codes, train, held.value[2]))
+                    yield from _sums(batch, docs_ >> 1, cell_logs(codes, train, held.value[2], held.value[3], room))
                     continue
                 _, one, gram = np.unique(codes[0].astype(np.int64) << BITS | codes[3], return_index=True, return_inverse=True)
                 n = np.bincount(gram, train).astype(np.int64)
@@ -444,16 +476,18 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
                     yield from done()
                     now, h, parts = bucket, None, []
                 if kind == WORDS:
-                    parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(x).reshape(-1, 3)))
+                    n = _values(a, np.int64)
+                    parts.append((np.frombuffer(keys, np.uint64), np.stack([n > 0, base(n), _values(x, np.float32)])))
                 elif kind == ASK:
                     if h is None:
-                        h, own = np.concatenate([y for y, _ in parts]), np.concatenate([y for _, y in parts])
+                        h, own = np.concatenate([y for y, _ in parts]), np.concatenate([y for _, y in parts], axis=1)
                         order = np.argsort(h)
-                        h, own, parts = h[order], own[order], []
-                    which = np.frombuffer(a, np.uint32)
-                    got = own[np.searchsorted(h, np.frombuffer(keys, np.uint64))]
-                    docs_, first = np.unique(which, return_index=True)
-                    yield record(_ROWS, [0], [ANSWER], [batch], [_squeezed(docs_)], [np.add.reduceat(got, first, axis=0).tobytes()], [None])
+                        h, own, parts = h[order], own[:, order], []
+                    which = _values(a, np.uint32)
+                    got = np.repeat(own[:, np.searchsorted(h, np.frombuffer(keys, np.uint64))], _values(x, np.uint32), axis=1)
+                    seen = np.unique(which)
+                    told = np.stack([np.bincount(which, y)[seen] for y in got])
+                    yield record(_ROWS, [0], [TOLD], [batch], [_squeezed(seen)], [_squeezed(told[:2].reshape(-1))], [_squeezed(told[2].astype(np.float32))])
                 elif kind == OWN:
                     yield record(_ROWS, [bucket], [kind], [batch], [None], [a], [x])
                 else:
@@ -474,8 +508,7 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
             now, found_ = None, []
 
             def done() -> Iterator[pa.RecordBatch]:
-                codes = np.concatenate([_values(x, np.uint32).reshape(DEPTH + 1, -1) for x, _, _ in found_], axis=1)
-                docs_ = np.concatenate([_values(x, np.uint32) for _, x, _ in found_])
+                codes, docs_, _ = _positions([(x, y) for x, y, _ in found_])
                 n, batch = [], []
                 for _, _, x in found_:
                     cut = 4 + int.from_bytes(x[:4], "little")
@@ -496,7 +529,7 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
                 yield from done()
 
         on = met.where(F.col("kind") == PASSED).repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(passed, _ROW)
-        met = met.where(F.col("kind").isin(OWN, ANSWER)).unionByName(on)
+        met = met.where(F.col("kind").isin(OWN, ANSWER, TOLD)).unionByName(on)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -514,8 +547,10 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
                     if own is not None:
                         yield done()
                     own, sums_ = np.frombuffer(a, np.int64).reshape(-1, 4), np.frombuffer(x).reshape(-1, 3).copy()
-                elif x is None:
-                    sums_[_values(keys, np.uint32)] += np.frombuffer(a).reshape(-1, 3)
+                elif kind == TOLD:
+                    at = _values(keys, np.uint32)
+                    sums_[at, :2] += _values(a, np.float64).reshape(2, -1).T
+                    sums_[at, 2] += _values(x, np.float32)
                 else:
                     sums_[_values(keys, np.uint32), 2] += np.frombuffer(x, np.float32)
         if own is not None:

@@ -52,8 +52,9 @@ def brute(texts, held):
     return out
 
 
-@pytest.mark.parametrize("room, heavy", [(500_000, 65_536), (60, 65_536), (500_000, 40), (60, 40)])
-def test_scores_by_definition(spark, monkeypatch, room, heavy):
+@pytest.mark.parametrize("room, wide, heavy", [(500_000, 10, 65_536), (60, 10, 65_536), (60, 1, 65_536), (500_000, 10, 40), (60, 2, 40)])
+def test_scores_by_definition(spark, monkeypatch, room, wide, heavy):
+    monkeypatch.setattr(s, "WIDE", wide)
     monkeypatch.setattr(s, "HEAVY", heavy)
     for name, v in (("STOP", heavy), ("START", heavy + 1), ("FIRST", heavy + 2), ("SYMBOLS", heavy + 2 + s.CLASSES)):
         monkeypatch.setattr(s, name, v)
