@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import ad_markers, hits, tokens
+from folio.functions.text import ad_markers, hits, once, tokens
 
 # Fixed values.
 AD_WORDS = (
@@ -195,36 +195,41 @@ def own_title(t: Column, title: Column) -> Column:
 def drop_furniture(t: Column, title: Column) -> Column:
     """The sentences that carry neither a dateline nor two neighbouring words of the title."""
     sentences = F.split(_strip(_some(t)), r"(?<=[.!?”])\s+")
-    return _strip(F.array_join(F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(DATELINE)) & ~F.arrays_overlap(_title_pairs(title), pairs(tokens(s)))), " "))
+    kept = lambda own: F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(DATELINE)) & ~F.arrays_overlap(own, pairs(tokens(s))))
+    return _strip(F.array_join(once(_title_pairs(title), kept), " "))
 
 
 def story_shape(t: Column) -> Column:
     """Null for the shape of a news story; else 'two datelines' or 'no dateline'."""
     t = _some(t)
     dated = F.regexp_extract_all(t, F.lit(f"({STORY_DATED})"), 1)
-    more = F.filter(F.regexp_extract_all(t, F.lit(f"({STORY_STATE})"), 1), lambda m: ~F.exists(dated, lambda d: F.contains(d, m) | F.contains(m, d)))
-    n = F.size(dated) + F.size(more)
+    states = F.regexp_extract_all(t, F.lit(f"({STORY_STATE})"), 1)
+    count = lambda found: F.size(found) + F.size(F.filter(states, lambda m: ~F.exists(found, lambda d: F.contains(d, m) | F.contains(m, d))))
     bare = F.regexp_like(t, F.lit(STORY_BARE)) & (F.size(ad_markers(t, AD_WORDS)) == 0)
-    return F.when(n > 1, "two datelines").when((n == 1) | F.regexp_like(t, F.lit(STORY_WIRE)) | bare, F.lit(None).cast("string")).otherwise("no dateline")
+    shape = lambda n: F.when(n > 1, "two datelines").when((n == 1) | F.regexp_like(t, F.lit(STORY_WIRE)) | bare, F.lit(None).cast("string")).otherwise("no dateline")
+    return once(once(dated, count), shape)
 
 
 def check_transcription(t: Column, headline: bool, ad_limit: int, prefixes: tuple[str, ...]) -> Column:
     """struct(refusal, hits): the first reason to refuse, or null; the vocabulary hits."""
-    plain = F.filter(tokens(t), lambda w: w != "illegible")
     marks = F.regexp_count(_some(t), F.lit(r"\[illegible\]"))
-    strong = F.arrays_overlap(tokens(t), F.array(*map(F.lit, STRONG_AD)))
-    refusal = F.when((F.size(plain) < 3) | (F.size(F.filter(plain, lambda w: F.length(w) >= 4)) < 3), "too short").when(marks > F.floor(F.size(plain) / 2), "mostly illegible")
-    if headline:
-        refusal = refusal.when(marks > 0, "unread word")
-    return F.struct(refusal.when((F.size(ad_markers(t, AD_WORDS)) >= ad_limit) | strong, "advertisement").alias("refusal"), hits(t, prefixes).alias("hits"))
+
+    def refusal(words: Column) -> Column:
+        n, strong = F.size(F.array_remove(words, "illegible")), F.arrays_overlap(words, F.array(*map(F.lit, STRONG_AD)))
+        out = F.when((n < 3) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & (w != "illegible"))) < 3), "too short").when(marks > F.floor(n / 2), "mostly illegible")
+        if headline:
+            out = out.when(marks > 0, "unread word")
+        return out.when((F.size(ad_markers(t, AD_WORDS)) >= ad_limit) | strong, "advertisement")
+
+    return F.struct(once(tokens(t), refusal).alias("refusal"), hits(t, prefixes).alias("hits"))
 
 
 def review_words(t: Column) -> Column:
     """Words that call for a person's decision on a notice, and the person pattern's finding."""
     text = F.concat(F.lit(" "), F.lower(_some(t)), F.lit(" "))
-    found = F.filter(F.array(*map(F.lit, REVIEW_WORDS)), lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" "))) | F.contains(text, F.concat(F.lit(" "), w, F.lit(","))))
-    person = F.regexp_substr(F.lower(_some(t)), F.lit(REVIEW_PERSON))
-    return F.when(person.isNotNull(), F.concat(found, F.array(person))).otherwise(found)
+    listed = lambda s: F.filter(F.array(*map(F.lit, REVIEW_WORDS)), lambda w: F.contains(s, F.concat(F.lit(" "), w, F.lit(" "))) | F.contains(s, F.concat(F.lit(" "), w, F.lit(","))))
+    found, person = once(text, listed), F.regexp_substr(F.lower(_some(t)), F.lit(REVIEW_PERSON))
+    return once(person, lambda p: F.when(p.isNotNull(), F.concat(found, F.array(p))).otherwise(found))
 
 
 def display_title(t: Column) -> Column:

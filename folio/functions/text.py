@@ -15,6 +15,11 @@ PRICE = r"\$\d|\b\d+[\s-]?c(ts|ents?)?\b|¢"
 PUNCTUATION = ".,;:!?()[]\"'“”‘’-"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value worked out once: named inside a lambda, it would be worked out again for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm(t: Column) -> Column:
     """The longest run of a-z in the lower-cased text, the first of equals; '' if there is none."""
     return F.aggregate(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("([a-z]+)"), 1), F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
@@ -32,7 +37,7 @@ def blanks(t: Column) -> Column:
 def hits(t: Column, prefixes: tuple[str, ...]) -> Column:
     """The prefixes that some token of at least four letters starts with."""
     long = F.filter(F.array_distinct(tokens(t)), lambda w: F.length(w) >= MIN_PREFIX_TOKEN)
-    return F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.exists(long, lambda w: F.startswith(w, p)))
+    return once(long, lambda words: F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.exists(words, lambda w: F.startswith(w, p))))
 
 
 def ad_markers(t: Column, words: tuple[str, ...]) -> Column:

@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def by_page(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A page's rows together and in order, so that a fold can stream through many pages a task."""
+    return rows.repartition("page_key").sortWithinPartitions("page_key", *order)
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Tables of whole pages, of about ``least`` rows, from rows in order of their first column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if sum(x.num_rows for x in held) >= least:
+            last = held[-1].column(0)[-1]
+            same = next((k for k in range(b.num_rows) if b.column(0)[k] != last), b.num_rows)
+            if same < b.num_rows:
+                yield pa.Table.from_batches([*held, b.slice(0, same)])
+                held, b = [], b.slice(same)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def rows_anchor(words: DataFrame, tenths: int = 6) -> DataFrame:
     """word to (page_key, wid, row_id): a word joins the row while it is within tolerance of the row's *first* word.
 
-    A fold per page in (y, x, wid) order: neighbours alone do not decide, so it runs as a grouped map.
+    A fold in (y, x, wid) order: neighbours alone do not decide. Pages pass through a task one after another.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "wid"])
-        ids, row, fy, fh = [], -1, 0, 0
-        for y, h in zip(page["y"].tolist(), page["h"].tolist()):
-            if row < 0 or abs(y - fy) * 10 > tenths * max(fh, h):
-                row, fy, fh = row + 1, y, h
-            ids.append(row)
-        return pd.DataFrame({"page_key": page["page_key"], "wid": page["wid"], "row_id": ids})
-
-    return words.select("page_key", "wid", "x", "y", "h").groupBy("page_key").applyInPandas(fold, "page_key long, wid long, row_id long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, row, fy, fh, begun = None, -1, 0, 0, False
+        for b in batches:
+            ids = []
+            for key, y, h in zip(*(b.column(k).to_pylist() for k in ("page_key", "y", "h"))):
+                if not begun or key != page:
+                    page, row, begun = key, -1, True
+                if row < 0 or abs(y - fy) * 10 > tenths * max(fh, h):
+                    row, fy, fh = row + 1, y, h
+                ids.append(row)
+            yield pa.RecordBatch.from_arrays([b.column("page_key"), b.column("wid"), pa.array(ids, pa.int64())], names=["page_key", "wid", "row_id"])
+
+    rows = words.select(F.col("page_key").cast("long").alias("page_key"), F.col("wid").cast("long").alias("wid"), "x", "y", "h")
+    return by_page(rows, ["y", "x", "wid"]).mapInArrow(fold, "page_key long, wid long, row_id long")
 
 
 def reading_text(words: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,28 +21,34 @@ LEAST_ROWS, LEAST_SHARE, MOST_ROWS = 4, 0.015, 80
 def reading_order(words: DataFrame) -> DataFrame:
     """word to (page_key, wid, row_id), where a drop initial's neighbours are held to the row's first ordinary word.
 
-    A fold per page, as in layout.rows_anchor; a page's words bound the group.
+    A fold, as in layout.rows_anchor.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "wid"])
-        tall = 2.5 * sorted(page["h"])[len(page) // 2]
-        ids, row, first, ordinary = [], -1, None, None
-        for x, y, w, h in page[["x", "y", "w", "h"]].itertuples(index=False):
-            joins = False
-            if first is not None:
-                beside = first[3] > tall >= h and x >= first[0] + 0.25 * first[2] and y < first[1] + first[3]
-                top = ordinary[1] if beside and ordinary else first[1]
-                size = max(ordinary[3], h) if beside and ordinary else h if beside else max(first[3], h)
-                joins = abs(y - top) <= 0.5 * size
-            if not joins:
-                row, first, ordinary = row + 1, (x, y, w, h), None
-            if ordinary is None and h <= tall:
-                ordinary = (x, y, w, h)
-            ids.append(row)
-        return pd.DataFrame({"page_key": page["page_key"], "wid": page["wid"], "row_id": ids})
-
-    return words.select("page_key", "wid", "x", "y", "w", "h").groupBy("page_key").applyInPandas(fold, "page_key long, wid long, row_id long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, row, first, ordinary, begun = None, -1, None, None, False
+        for b in batches:
+            ids = []
+            for key, x, y, w, h, tall in zip(*(b.column(k).to_pylist() for k in ("page_key", "x", "y", "w", "h", "tall"))):
+                if not begun or key != page:
+                    page, row, first, ordinary, begun = key, -1, None, None, True
+                joins = False
+                if first is not None:
+                    beside = first[3] > tall >= h and x >= first[0] + 0.25 * first[2] and y < first[1] + first[3]
+                    top = ordinary[1] if beside and ordinary else first[1]
+                    size = max(ordinary[3], h) if beside and ordinary else h if beside else max(first[3], h)
+                    joins = abs(y - top) <= 0.5 * size
+                if not joins:
+                    row, first, ordinary = row + 1, (x, y, w, h), None
+                if ordinary is None and h <= tall:
+                    ordinary = (x, y, w, h)
+                ids.append(row)
+            yield pa.RecordBatch.from_arrays([b.column("page_key"), b.column("wid"), pa.array(ids, pa.int64())], names=["page_key", "wid", "row_id"])
+
+    rows = words.select(F.col("page_key").cast("long").alias("page_key"), F.col("wid").cast("long").alias("wid"), "x", "y", "w", "h")
+    order = F.sort_array(F.collect_list("h"))
+    tall = rows.groupBy("page_key").agg((2.5 * F.get(order, F.floor(F.size(order) / 2).cast("int"))).alias("tall"))
+    met = rows.join(tall.withColumnRenamed("page_key", "_page"), F.col("page_key").eqNullSafe(F.col("_page"))).drop("_page")
+    return layout.by_page(met, ["y", "x", "wid"]).mapInArrow(fold, "page_key long, wid long, row_id long")
 
 
 def cluster(display: DataFrame) -> DataFrame:
@@ -176,9 +185,22 @@ def margins(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("margins", F.when(F.col("outcome") == "ok", F.create_map(F.lit("top"), side("top"), F.lit("bottom"), side("bottom"))))
 
 
+def image_edges(rows: DataFrame, scale: float, image_w: Column, image_h: Column) -> DataFrame:
+    """Boxes (x, y, w, h) with image_x, image_y, image_w, image_h in image pixels, clamped to the page; nulls for an empty one.
+
+    Each edge is a column of its own, worked out once.
+    """
+    edge = lambda v: F.rint(v * F.lit(scale)).cast("long")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    rows = rows.withColumns({"_x0": F.greatest(F.lit(0), edge(x)), "_y0": F.greatest(F.lit(0), edge(y)), "_x1": F.least(image_w, edge(x + w)), "_y1": F.least(image_h, edge(y + h))})
+    some = (F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0"))
+    sides = {"image_x": F.col("_x0"), "image_y": F.col("_y0"), "image_w": F.col("_x1") - F.col("_x0"), "image_h": F.col("_y1") - F.col("_y0")}
+    return rows.withColumns({k: F.when(some, v) for k, v in sides.items()}).drop("_x0", "_y0", "_x1", "_y1")
+
+
 def to_image(x: Column, y: Column, w: Column, h: Column, scale: Column, image_w: Column, image_h: Column) -> Column:
     """A box in image pixels, clamped to the page; null for an empty one or an unknown scale."""
-    edge = lambda v: F.bround(v * scale).cast("long")
+    edge = lambda v: F.rint(v * scale).cast("long")
     x0, y0 = F.greatest(F.lit(0), edge(x)), F.greatest(F.lit(0), edge(y))
     x1, y1 = F.least(image_w, edge(x + w)), F.least(image_h, edge(y + h))
     return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators.layout import islands
+from folio.operators.layout import by_page, islands, whole_pages
+
+
+#: Grid cells that a task spreads out at once.
+GRID = 1 << 25
 
 
 def row_dark(cells: DataFrame) -> DataFrame:
@@ -32,9 +40,24 @@ def row_span(cells: DataFrame, gap: int = 1) -> DataFrame:
 
 def close_cells(cells: DataFrame, least: int = 5) -> DataFrame:
     """One closing pass: a cell with at least five of eight inked neighbours is inked; all cells change at once."""
-    near = cells.where("ink = 1").select("page_key", F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])).alias("p"))
-    counts = near.groupBy("page_key", "p.r", "p.c").agg(F.count("*").alias("n"))
-    return cells.join(counts, ["page_key", "r", "c"], "left").select("page_key", "r", "c", F.greatest("ink", (F.coalesce("n", F.lit(0)) >= least).cast("long")).alias("ink"))
+    schema = pa.schema([("page_key", pa.int64()), ("r", pa.int64()), ("c", pa.int64()), ("ink", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_pages(batches, 200_000):
+            page, r, c, ink = (x.to_numpy() for x in t.columns)
+            number = np.cumsum(np.concatenate(([0], page[1:] != page[:-1])))
+            low, wide, high = c.min() - 1, int(c.max() - c.min()) + 3, int(r.max() - r.min()) + 3
+            at = (number * high + r - r.min() + 1) * wide + c - low
+            near = np.zeros(len(at), np.int8)
+            for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(number // max(1, GRID // (wide * high)))) + 1):  # pages of some grid cells at once
+                base = at[k].min() - wide - 1
+                inked = np.zeros(int(at[k].max() - base) + wide + 2, bool)
+                inked[at[k][ink[k] == 1] - base] = True
+                near[k] = sum(inked[at[k] - base + i * wide + j].astype(np.int8) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (page, r, c, np.maximum(ink, near >= least).astype(np.int64))], schema=schema)
+
+    rows = cells.select(*[F.col(k).cast("long").alias(k) for k in ("page_key", "r", "c", "ink")])
+    return by_page(rows, []).mapInArrow(run, "page_key long, r long, c long, ink long")
 
 
 def col_dark(cells: DataFrame) -> DataFrame:

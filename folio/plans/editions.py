@@ -166,9 +166,10 @@ e as (select page_key, wid, pw, ph, greatest(0, round_even(x * 2.5, 0)::bigint)
 def scaled_boxes(spark, sf_dir):
     rows = words(spark, sf_dir)
     met = rows.join(rows.groupBy("page_key").agg(F.max(F.col("x") + F.col("w")).alias("pw"), F.max(F.col("y") + F.col("h")).alias("ph")), "page_key")
-    box = [F.col(c) for c in "xywh"]
-    text = lambda b: F.when(b.isNotNull(), F.concat_ws(",", b["x"], b["y"], b["w"], b["h"]))
-    return met.select("page_key", "wid", text(pages.to_image(*box, F.lit(2.5), F.lit(2000), F.col("ph") * 2)).alias("image_box"), text(pages.loosen(*box, F.col("pw"), F.col("ph"), 0.02, 0.015)).alias("loose_box"))
+    met = pages.image_edges(met, 2.5, F.lit(2000), F.col("ph") * 2)
+    image = F.when(F.col("image_x").isNotNull(), F.concat_ws(",", "image_x", "image_y", "image_w", "image_h"))
+    loose = pages.loosen(*[F.col(c) for c in "xywh"], F.col("pw"), F.col("ph"), 0.02, 0.015)
+    return met.select("page_key", "wid", image.alias("image_box"), F.concat_ws(",", *[loose[c] for c in "xywh"]).alias("loose_box"))
 
 
 def _printed(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions import replies
 from folio.functions import text as T
 from folio.operators import decisions, layout, raster, selection
 from folio.sources.bridge import INK_SQL, WORDS_SQL, ink, table, words
@@ -46,8 +47,8 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.hits(F.col("text"), CROP).alias("crop"),
         T.hits(F.col("text"), PAGE).alias("page"),
     )
-    rows = rows.join(F.broadcast(decisions.policies(spark)), "lane")  # seven rows
-    return rows.withColumn("v", decisions.verdict(F.lit(True), F.col("postable"), F.col("date"), F.col("min_date"), F.col("geometry"), F.col("crop"), F.col("page"), F.col("page_gate"))).select("doc_id", "lane", "date", "v.*")
+    rows = rows.join(F.broadcast(decisions.policies(spark)), "lane", "left")  # seven rows; a lane without a policy is refused, not lost
+    return rows.withColumn("v", decisions.verdict(F.col("page_gate").isNotNull(), F.col("postable"), F.col("date"), F.col("min_date"), F.col("geometry"), F.col("crop"), F.col("page"), F.col("page_gate"))).select("doc_id", "lane", "date", "v.*")
 
 
 _POLICY_SQL = ", ".join(f"('{a}', {repr(b) if b else 'null'})" for a, b in decisions.POLICIES)
@@ -139,11 +140,24 @@ def cut_bands(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.cut_band(F.col("text")).alias("band"))
 
 
-@query(r"""select page_id, coalesce(nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1), ''), nullif(regexp_extract(url, '//([^/]+)', 1), '')) as place,
-nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2), '') as number from pages""")
+_RECORDS = r"""r as (select page_id, 'sn' || lpad(cast(page_id as varchar), 8, '0') as lccn, strftime(date '1880-01-01' + cast(page_id % 9000 as integer), '%Y-%m-%d') as date from pages),
+i as (select page_id, case when page_id % 5 = 0 then 'other ' || page_id else 'dlg_ghn_' || lccn || '-' || date || '-ed-' || (page_id % 3 + 1) end as id,
+  case when page_id % 4 = 0 then [url, 'https://x.example/lccn/' || lccn || '/' || date || '/ed-' || (page_id % 7) || '/'] when page_id % 4 = 1 then [] else [url] end as shown from r join pages using (page_id)),
+u as (select *, list_filter(shown, lambda s: regexp_matches(s, '/lccn/([^/]+)/(\d{4}-\d{2}-\d{2})/ed-(\d+)'))[1] as found from i)"""
+
+
+@query(rf"""with {_RECORDS} select page_id,
+case when found is not null then regexp_extract(found, '/lccn/([^/]+)/(\d{{4}}-\d{{2}}-\d{{2}})/ed-(\d+)', 1) else nullif(regexp_extract(id, '^dlg_ghn_(.+?)-(\d{{4}}-\d{{2}}-\d{{2}})-ed-(\d+)$', 1), '') end as lccn,
+case when found is not null then regexp_extract(found, '/lccn/([^/]+)/(\d{{4}}-\d{{2}}-\d{{2}})/ed-(\d+)', 2) else nullif(regexp_extract(id, '^dlg_ghn_(.+?)-(\d{{4}}-\d{{2}}-\d{{2}})-ed-(\d+)$', 2), '') end as date,
+cast(case when found is not null then regexp_extract(found, '/ed-(\d+)', 1) else nullif(regexp_extract(id, '^dlg_ghn_(.+?)-ed-(\d+)$', 2), '') end as integer) as ed from u""")
 def identify_records(spark, sf_dir):
-    some = lambda pattern, k: F.nullif(F.regexp_extract("url", pattern, k), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(some("/([a-z]{2})/([0-9]+)", 1), some("//([^/]+)", 1)).alias("place"), some("/([a-z]{2})/([0-9]+)", 2).alias("number"))
+    key, lccn = F.col("page_id"), F.concat(F.lit("sn"), F.lpad(F.col("page_id").cast("string"), 8, "0"))
+    date = F.date_format(F.date_add(F.lit("1880-01-01").cast("date"), (key % 9000).cast("int")), "yyyy-MM-dd")
+    record = F.when(key % 5 == 0, F.concat(F.lit("other "), key)).otherwise(F.concat(F.lit("dlg_ghn_"), lccn, F.lit("-"), date, F.lit("-ed-"), key % 3 + 1))
+    address = F.concat(F.lit("https://x.example/lccn/"), lccn, F.lit("/"), date, F.lit("/ed-"), key % 7, F.lit("/"))
+    shown = F.when(key % 4 == 0, F.array("url", address)).when(key % 4 == 1, F.array().cast("array<string>")).otherwise(F.array("url"))
+    found = replies.identify(record, shown)
+    return table(spark, sf_dir, "pages").select("page_id", found["lccn"].alias("lccn"), found["date"].alias("date"), found["ed"].alias("ed"))
 
 
 @query("""select c_custkey, count(o_orderkey) as issues, min(strftime(o_orderdate, '%Y-%m-%d')) as first, max(strftime(o_orderdate, '%Y-%m-%d')) as last,

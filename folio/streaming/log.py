@@ -10,8 +10,8 @@ DECISION = "at string, decision string, lccn string, date string, lane string, o
 
 
 def tail(spark: SparkSession, path: str, schema: str = DECISION) -> DataFrame:
-    """Lines of JSON as they come; lines that cannot be read and dry ones are dropped."""
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path).where("not coalesce(dry, false)")
+    """Lines of JSON as they come; lines that cannot be read, dry ones and those that do not say are dropped."""
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path).where("not dry")
 
 
 def latest(log: DataFrame) -> DataFrame:
