@@ -80,7 +80,7 @@ def _mix(docs: DataFrame, block: int) -> DataFrame:
     step = next((m for m in range(max(1, round(slots_n * GOLDEN)), slots_n + 1) if math.gcd(m, slots_n) == 1), 1)
 
     # Each source's line of words.
-    key = F.xxhash64("doc_id", F.lit("mix"))
+    key = F.xxhash64("doc_id", "same", F.lit("mix"))
     rows = sized.join(parts.select(F.col("source").alias("_s"), "rank", "rows"), F.col("source").eqNullSafe(F.col("_s")))
     rows = rows.withColumns({"key": key, "bucket": F.pmod(F.shiftright(key, 20), F.ceil(F.col("rows") / BUCKET))}).drop("rows", "_s")
     order = ["key", "doc_id", "size", "same"]
@@ -117,11 +117,12 @@ def resample(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents: each as often as it is taken whole, and once more from half of its size on; columns stay.
 
     Rows that share doc_id and text are taken as the mean of them; rows with a null doc_id are kept once.
+    Names that begin with __folio_ are reserved; an empty table gives an empty one.
     """
     plan = _mix(docs, block)
-    times = plan.where("size > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times"))
-    named = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_same": F.xxhash64(F.col("text").cast("string"))}).join(times.where("_times > 0"), ["_id", "_same"])
-    named = named.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+    times = plan.where("size > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__folio_id"), F.col("same").alias("__folio_same")).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("__folio_times"))
+    named = docs.where("doc_id is not null").withColumns({"__folio_id": F.col("doc_id").cast("long"), "__folio_same": F.xxhash64(F.col("text").cast("string"))}).join(times.where("__folio_times > 0"), ["__folio_id", "__folio_same"])
+    named = named.withColumn("__folio_copy", F.explode(F.array_repeat(F.lit(1), F.col("__folio_times"))))
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -320,15 +320,16 @@ def deduplicate(docs: DataFrame, words: int = 3, least: float | None = None) ->
 
     Components are those of fingerprints within two bits or, with ``least``, of shingle sets so alike. Rows that repeat a
     doc_id with the same text collapse to one, those with different texts are documents apiece; a null doc_id stays.
+    Names that begin with __folio_ are reserved; an empty table gives an empty one.
     """
-    rows = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_same": F.xxhash64(F.col("text").cast("string"))})
-    plain = rows.select(F.col("_id").alias("doc_id"), F.col("_same").alias("same"), F.col("text").cast("string").alias("text"))
+    rows = docs.where("doc_id is not null").withColumns({"__folio_id": F.col("doc_id").cast("long"), "__folio_same": F.xxhash64(F.col("text").cast("string"))})
+    plain = rows.select(F.col("__folio_id").alias("doc_id"), F.col("__folio_same").alias("same"), F.col("text").cast("string").alias("text"))
     if least is None:
         fps = save(_fingerprinted(plain, words), "fingerprints")
         roots = connected_components(near_links(fps.select("fp", F.col("fp").alias("rep")).distinct()))
         found = fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "same", F.coalesce("root", "fp").alias("root"))
     else:
         found = alike(plain, words, least)
-    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("c")).select(F.col("c.doc_id").alias("_id"), F.col("c.same").alias("_same"))
-    named = rows.join(chosen, ["_id", "_same"], "left_semi").dropDuplicates(["_id", "_same"])
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("c")).select(F.col("c.doc_id").alias("__folio_id"), F.col("c.same").alias("__folio_same"))
+    named = rows.join(chosen, ["__folio_id", "__folio_same"], "left_semi").dropDuplicates(["__folio_id", "__folio_same"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -409,7 +409,7 @@ def scores(docs: DataFrame, room: int = ROOM) -> DataFrame:
         """Each batch of documents: what is known of it here, the hashes of its rarer words, and its positions."""
         number = TaskContext.get().partitionId() << 32
         places, logs, _, _, _, hot_, _ = held.value
-        for b in text_slices(batches, "text", 8192, 24_000_000):
+        for b in text_slices(batches, "text", 4096, 8_000_000):
             size, far, hashes, codes = [], [], [], []
             sums_ = np.zeros((b.num_rows, 3))
             for k, text in enumerate(b.column(1).to_pylist()):

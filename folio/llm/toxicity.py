@@ -201,26 +201,26 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, **limits: int) -> DataFrame:
-    """All rows of docs with the given columns (all), and ``score``; a column of that name is replaced."""
+def score(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, name: str = "score", **limits: int) -> DataFrame:
+    """All rows of docs with the given columns (all), and ``score`` or another name; a column of that name is replaced."""
     model = train(docs, labels, **limits)
-    columns = [c for c in columns or docs.columns if c != "score"]
+    columns = [c for c in columns or docs.columns if c != name]
     if isinstance(model, float):
-        return docs.select(*columns, F.lit(model).alias("score"))
+        return docs.select(*columns, F.lit(model).alias(name))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([*docs.select(columns).schema.fields, T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.select(columns).schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = np.array([held.value.features(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, WIDE)
-            yield b.select(columns).append_column("score", pa.array(held.value.score(x)))
+            yield b.select(columns).append_column(name, pa.array(held.value.score(x)))
 
     return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, out)
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under 0.5, with their columns."""
-    return score(docs, labels).where("score < 0.5").select(docs.columns)
+    """The documents whose score is under 0.5, with their columns; names that begin with __folio_ are reserved."""
+    return score(docs, labels, name="__folio_score").where("__folio_score < 0.5").select(docs.columns)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
