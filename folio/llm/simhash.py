@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cells, grouped, record, save, slices
+from folio.llm.common import cells, forget, grouped, record, save, slices
 from folio.llm.components import connected_components
 
 SPLIT = 2048
@@ -295,23 +295,40 @@ def alike(docs: DataFrame, words: int, least: float) -> DataFrame:
 
     Rows with equal shingle sets are one node. Blocks of SimHash bits can't select at such a similarity (at 0.8 about
     10 of 64 bits differ), so nodes meet where a band of min-hashes agrees, those of a bucket are compared bit-sliced by
-    SimHash within ``WIDE`` bits, and what is left is verified by the shingles of the texts. First each node is
-    verified against one other; then all pairs of a bucket that this leaves in different classes are compared.
+    SimHash within ``WIDE`` bits, and what is left is verified by the shingles of the texts, of which only those of pairs are
+    moved. First each node is compared with one other of a bucket, then with a lead of each of its buckets; at last all pairs of a bucket that
+    this leaves in different classes are compared.
     """
     spark_rows = save(_sketches(docs, words), "sketches")
     nodes = save(spark_rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "same")).alias("rep")), "nodes")
     dealt = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
-    dealt = save(dealt.join(dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"), "bucket"), "buckets")
-    met = dealt.select("node").distinct().join(nodes.select("node", "rep.*"), "node")
-    texts = save(docs.join(met, ["doc_id", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    pairs = dealt.where("node <> lead").groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
-    first = save(_verified(pairs, texts, words, least), "links")
-    roots = connected_components(first)
-    rooted = dealt.join(roots, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rest = cells(rooted.join(split, "bucket"), "node", SPLIT).select("bucket", "sub", "fp", "node", "root")
+    dealt = save(dealt.join(dealt.groupBy("bucket").agg(F.min(F.struct("node", "fp")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "bucket"), "buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep.*"), "node")
+        texts = save(docs.join(met, ["doc_id", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        out = save(_verified(pairs, texts, words, least), "links")
+        forget(texts)
+        return out
+
+    def apart(roots: DataFrame) -> DataFrame:
+        """The rows of buckets whose nodes are of different classes, with these."""
+        rooted = dealt.join(roots, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        return save(rooted.join(split, "bucket"), "apart")
+
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp")))
+    pairs = dealt.where(F.col("node") != F.col("lead.node")).where(bits <= WIDE).groupBy(F.col("node").alias("a")).agg(F.min("lead.node").alias("b"))
+    first = verified(save(pairs, "pairs"))
+    at = apart(connected_components(first))
+    # A lead of its own for each bucket: a group that no single text is like still joins up before its pairs are compared.
+    leads = at.groupBy("bucket").agg(F.min_by(F.struct("node", "fp", "root"), F.xxhash64("node", "bucket")).alias("lead"))
+    met = at.join(leads, "bucket").where((F.col("root") != F.col("lead.root")) & (bits <= WIDE))
+    pairs = met.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+    links = first.union(verified(save(pairs, "pairs")))
+    rest = cells(apart(connected_components(links)), "node", SPLIT).select("bucket", "sub", "fp", "node", "root")
     pairs = rest.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_candidates, "a long, b long").distinct()
-    roots = connected_components(first.union(_verified(pairs, texts, words, least)))
+    roots = connected_components(links.union(verified(save(pairs, "pairs"))))
     return spark_rows.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root"))
 
 
