@@ -12,6 +12,7 @@ from folio.llm.secrets import op4_secret_scans
 from folio.llm.simhash import op9_simhash_near_dedup
 from folio.llm.suffix_tree import op5_suffix_tree_scores
 from folio.llm.toxicity import op1_toxicity
+from folio.llm.whitening import op11_feast_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_edit_fingerprints": op10_edit_fingerprints,
+    "op11_feast_whitening": op11_feast_whitening,
 }
 
 ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL}
