@@ -5,6 +5,7 @@ from __future__ import annotations
 from folio.llm.chat import OP6_SQL, op6_tool_call_linking
 from folio.llm.fingerprint import op10_edit_fingerprints
 from folio.llm.html import op7_html_extraction
+from folio.llm.linededup import OP12_SQL, op12_line_dedup
 from folio.llm.metric_join import op2_metric_range_join
 from folio.llm.mixing import op8_source_mix
 from folio.llm.packing import op3_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_edit_fingerprints": op10_edit_fingerprints,
     "op11_feast_whitening": op11_feast_whitening,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL, "op12_line_dedup": OP12_SQL}
