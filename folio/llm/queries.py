@@ -8,6 +8,7 @@ from folio.llm.html import op7_html_extraction
 from folio.llm.linededup import OP12_SQL, op12_line_dedup
 from folio.llm.metric_join import op2_metric_range_join
 from folio.llm.mixing import op8_source_mix
+from folio.llm.negatives import OP13_SQL, op13_hard_negatives
 from folio.llm.packing import op3_best_fit_packing
 from folio.llm.secrets import op4_secret_scans
 from folio.llm.simhash import op9_simhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_edit_fingerprints": op10_edit_fingerprints,
     "op11_feast_whitening": op11_feast_whitening,
     "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL, "op12_line_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op6_tool_call_linking": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
