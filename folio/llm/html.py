@@ -11,7 +11,7 @@ cluster's text over text that is not the cluster's, so a link list beside the ar
 the region nothing short is dropped.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
-joined by one space in page order. A null or empty page, or one of boilerplate alone, gives the empty string.
+joined by one space in page order. Markup of any kind, nested however deep, is read in time linear in its length. A null or empty page, or one of boilerplate alone, gives the empty string.
 """
 
 from __future__ import annotations
@@ -75,20 +75,32 @@ def _words(value: str) -> list[str]:
 
 
 class Lines(HTMLParser):
-    """Lines (text, tags, boilerplate, path of open elements' numbers) from parser events."""
+    """Lines (text, tags, boilerplate, number of the innermost element) from parser events, and each element's parent.
+
+    Every event costs what it closes, or a fixed number of steps: open elements are also kept by name."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, boilerplate
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each name stands
+        self.parents = [0]  # by number; 0 is the page
         self.named: set[int] = set()  # elements that a word of class or id marks
-        self.number, self.lines, self.text, self.tags, self.kinds = 0, [], [], 0, {}
+        self.lines, self.text, self.tags, self.kinds = [], [], 0, {}
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], tuple(n for _, n, _ in self.open)))
+            self.lines.append((text, self.tags, bool(self.open) and self.open[-1][2], self.open[-1][1] if self.open else 0))
         self.text, self.tags = [], 0
 
+    def _last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def _cut(self, at: int) -> None:
+        for name, _, _ in self.open[at:]:
+            self.places[name].pop()
+        del self.open[at:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
@@ -98,38 +110,57 @@ class Lines(HTMLParser):
             self._end(*CLOSES[tag])
         self.tags += 1
         if tag not in VOID:
-            self.number += 1
+            number = len(self.parents)
+            self.parents.append(self.open[-1][1] if self.open else 0)
             if tag in ("article", "main"):
-                self.kinds[self.number] = tag
-            within = any(t in ("article", "main") for t, _, _ in self.open) if tag == "header" else False
-            mark = _marked(tag, attrs, within)
+                self.kinds[number] = tag
+            mark = _marked(tag, attrs, tag == "header" and self._last(("article", "main")) >= 0)
             if mark is None:
-                self.named.add(self.number)
-            self.open.append((tag, self.number, bool(self.open) and self.open[-1][2] or bool(mark)))
+                self.named.add(number)
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, number, bool(self.open) and self.open[-1][2] or bool(mark)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
     def _end(self, names: set, stop: set) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                del self.open[k:]
-                return
-            if self.open[k][0] in stop:
-                return
+        if (at := self._last(names)) > self._last(stop):
+            self._cut(at)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if (at := self._last((tag,))) >= 0:
+            self._cut(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` opens a comment that ends at the next ``>``, as in browsers; the library's own refuses words that it does not know."""
+        end = self.rawdata.find(">", i + 3)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2 : end])
+        return end + 1
+
+    def within(self, marks: set[int]) -> list[bool]:
+        """By number: whether an element is one of these or stands in one. Parents have smaller numbers."""
+        out = [0 in marks]
+        for n in range(1, len(self.parents)):
+            out.append(n in marks or out[self.parents[n]])
+        return out
+
+    def summed(self, sizes: list[tuple[int, int]]) -> list[int]:
+        """(number, size) to the sum of sizes in each element."""
+        out = [0] * len(self.parents)
+        for n, size in sizes:
+            out[n] += size
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parents[n]] += out[n]
+        return out
+
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     reach = math.ceil(3 * sigma)
@@ -151,13 +182,9 @@ def extract(html: str | None) -> str:
     parser.flush()
     lines = [x for x in parser.lines if x[0]]
     # A name that stands around most of what is no boilerplate by element or role marks nothing.
-    held: dict[int, int] = {}
-    for text, _, bad, path in lines:
-        for n in () if bad else parser.named.intersection(path):
-            held[n] = held.get(n, 0) + len(text)
-    most = sum(len(x[0]) for x in lines if not x[2])
-    marks = {n for n in parser.named if 2 * held.get(n, 0) <= most}
-    lines = [(text, tags, bad or not marks.isdisjoint(path), path) for text, tags, bad, path in lines]
+    held = parser.summed([(n, len(text)) for text, _, bad, n in lines if not bad])
+    within = parser.within({n for n in parser.named if 2 * held[n] <= held[0]})
+    lines = [(text, tags, bad or within[n], n) for text, tags, bad, n in lines]
     good = [x for x in lines if not x[2]]
     if not good:
         return ""
@@ -166,18 +193,14 @@ def extract(html: str | None) -> str:
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     cluster = [x for x, r in zip(lines, ratios) if r >= min(mean, spread) and not x[2]] or good
     chosen = {id(x) for x in cluster}
-    share: dict[int, int] = {}
-    gain: dict[int, int] = {}
-    for x in good:
-        size = len(x[0]) if id(x) in chosen else -len(x[0])
-        for n in x[3]:
-            gain[n] = gain.get(n, 0) + size
-            share[n] = share.get(n, 0) + max(size, 0)
-    total = sum(len(x[0]) for x in cluster)
-    named = [n for n in share if n in parser.kinds and share[n] == total]
+    share = parser.summed([(n, len(text)) for text, _, _, n in cluster])
+    gain = parser.summed([(x[3], len(x[0]) if id(x) in chosen else -len(x[0])) for x in good])
+    held = parser.summed([(n, 1) for _, _, _, n in good])
+    named = [n for n in parser.kinds if share[n] == share[0]]
     # The innermost: numbers grow inwards.
-    region = max(named) if named else max(gain, key=lambda n: (gain[n], n), default=0)
-    return " ".join(text for text, _, _, path in good if not region or region in path)
+    region = max(named) if named else max((n for n in range(len(gain)) if held[n]), key=lambda n: (gain[n], n))
+    inside = parser.within({region})
+    return " ".join(text for text, _, _, n in good if inside[n])
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -3,7 +3,7 @@
 Targets: sources, in code-point order with null last, weigh 5, 2, 1 and so on and share 150 % of all
 words; a target stops at twice its source's words, and the excess is shared anew by weight.
 Blocks: a source's documents are shuffled by a hash and laid end to end on its line of words, which is cut into
-equal blocks (but for rounding to words) of at most ``block`` words; its slots are its target over their length.
+equal blocks (but for rounding to words) of at most ``block`` words and at most a ``FINEST``-th of its own (one word at least), so that a source however small comes near its target; its slots are its target over their length.
 Schedule: of N slots, slot t goes to the source in whose part of the unit interval the point frac((t * m mod N + 1/2) / N)
 falls, m being about N times the golden ratio and without a common divisor, parts being in proportion to the slots. The points
 are a permutation of equal steps, so a source however small gets its slots but for less than one. Slots are ranked
@@ -27,7 +27,7 @@ from folio.llm.common import WORD, save
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-BLOCK = 256
+BLOCK, FINEST = 256, 64
 #: Rows in a bucket of a source's documents, or of slots, on average.
 BUCKET = 4096
 GOLDEN = 0.6180339887498949
@@ -72,7 +72,7 @@ def _mix(docs: DataFrame, block: int) -> DataFrame:
     sized = save(docs.select(F.xxhash64(F.col("text").cast("string")).alias("same"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")), "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goals = targets(per).join(per.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+    goals = goals.withColumn("blocks", F.ceil(F.col("source_size") / F.least(F.lit(block), F.greatest(F.lit(1.0), F.col("source_size") / FINEST)))).withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     parts = goals.withColumn("upto", F.sum("slots").over(W.orderBy("rank"))).withColumn("from", F.col("upto") - F.col("slots"))
     parts = save(parts.withColumn("total", F.sum("slots").over(W.partitionBy())), "goals")
     total = parts.agg(F.max("total"), F.count("*")).first()

@@ -59,6 +59,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # For chunks, which hold no special token as it is written: lower-casing must not make one.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -102,6 +105,8 @@ class Encoder:
         return out
 
     def __call__(self, text: str | None) -> bytes:
+        if text and any(t in text for t in self.special):
+            return array("I", self.whole.encode(text.encode("utf-8", "replace").decode("utf-8"), add_special_tokens=False).ids).tobytes()
         chunks = (text or "").encode("utf-8", "replace").lower().split()
         got = list(map(self.kept.get, chunks))
         if None in got:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 
 from folio.llm import chat, fingerprint, html, metric_join, mixing, packing, secrets, simhash, suffix_tree, toxicity
@@ -110,8 +111,9 @@ def test_packing_in_groups(spark):
 
 def test_encoder_matches_tokenizer():
     e = packing.Encoder.of(packing.vocabulary_path())
-    for t in ["ΑΣ ΣΑΣ", "It's don't x'LL", "é ́ x", "<|endoftext|> a", "１２ 3½ ab12cd", "İstanbul K", "ﬁ ¼² ª x_y", "a\x1fb\x85c", "...--- !!a", "token = \"9f\"|"]:
-        assert np.frombuffer(e(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    given = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
+    for t in ["x<|endoftext|>y <|ENDOFTEXT|> É<|startoftext|>", "<|endoftext|>", "<|EndOfText|> a<|endoftext|", "ΑΣ ΣΑΣ", "It's don't x'LL", "é ́ x", "<|endoftext|> a", "１２ 3½ ab12cd", "İstanbul K", "ﬁ ¼² ª x_y", "a\x1fb\x85c", "...--- !!a", "token = \"9f\"|"]:
+        assert np.frombuffer(e(t), "<u4").tolist() == given.encode(t, add_special_tokens=False).ids
 
 
 def test_secrets(spark):
