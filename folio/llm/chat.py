@@ -5,9 +5,10 @@ Turns are (conv_id, turn, role, text). An assistant's text may hold calls,
 holds ``{"tool_call_id": ..., "content": ...}``; a system turn may declare tools,
 ``<tool>{"name": ..., "parameters": {"properties": {...}, "required": [...]}}</tool>``.
 
-Calls and results meet by a hash join on (conv_id, id); calls are ordered after the calls they depend on, level by
-level, and results after their calls; arguments are validated against the declared properties' types and
-required names; and each event is serialised as canonical JSON: sorted keys, no blanks. One row per event:
+Calls and results meet by a hash join on (conv_id, id). Calls are ordered after the calls they depend on, level by
+level: an id's order is the largest turn among its first call's and the orders of all it needs, and a call comes no earlier than its id's
+needs. A result comes no earlier than its call's order, at its call's level, behind it. Arguments are validated against the declared
+schema, depth by depth: types (one or several), enum, required names, properties and items; and each event is serialised as canonical JSON: sorted keys, no blanks. One row per event:
 a turn's own message, with its calls cut out, then each call. Nothing is gathered by conversation, so one of any
 length is as good as many; order is given by ``order_turn``, ``level`` and ``step``.
 
@@ -38,21 +39,62 @@ def canonical(text: Column) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, depends_on) to (conv_id, id, level); rows on or behind a cycle are missing."""
-    needs = save(calls.select("conv_id", "id", F.explode("depends_on").alias("need")).distinct().join(calls.select("conv_id", F.col("id").alias("need")).distinct(), ["conv_id", "need"], "left_semi"), "needs")
-    nodes = calls.select("conv_id", "id").distinct()
-    if needs.isEmpty():
-        return nodes.withColumn("level", F.lit(0))
-    done = save(nodes.join(needs, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    level = 0
+    """(conv_id, id, turn, depends_on) to (conv_id, id, level, before, reach); rows on or behind a cycle are missing.
+
+    ``before`` is the largest order of what the id needs, ``reach`` the larger of that and its first turn. Each round tells the ids that wait for the last round's,
+    by a join along the needs, and only ids that wait are written again."""
+    nodes = calls.groupBy("conv_id", "id").agg(F.min("turn").alias("first"))
+    needs = calls.select("conv_id", "id", F.explode("depends_on").alias("need")).distinct().join(nodes.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_semi")
+    needs = save(needs, "needs")
+    nodes = nodes.join(needs.groupBy("conv_id", "id").agg(F.count("*").alias("left")), ["conv_id", "id"], "left")
+    state = save(nodes.select("conv_id", "id", "first", F.coalesce("left", F.lit(0)).alias("left"), F.lit(None).cast("long").alias("before")), "levels")
+    done, level = [], 0
     while True:
-        level += 1
-        open_ = needs.join(done.select("conv_id", F.col("id").alias("need"), F.lit(True).alias("met")), ["conv_id", "need"], "left")
-        ready = open_.groupBy("conv_id", "id").agg(F.every(F.coalesce("met", F.lit(False))).alias("all")).where("all").join(done, ["conv_id", "id"], "left_anti")
-        new = save(ready.select("conv_id", "id", F.lit(level).alias("level")), "levels")
-        if new.isEmpty():
-            return done
-        done = save(done.unionByName(new), "levels")
+        new = state.where("left = 0").select("conv_id", "id", F.lit(level).alias("level"), "before", F.greatest("first", "before").alias("reach"))
+        done.append(new)
+        waiting = state.where("left > 0")
+        if waiting.isEmpty() or new.isEmpty():
+            break
+        told = new.select("conv_id", F.col("id").alias("need"), "reach").join(needs, ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.count("*").alias("met"), F.max("reach").alias("reach"))
+        state = waiting.join(told, ["conv_id", "id"], "left").select("conv_id", "id", "first", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"), F.greatest("before", "reach").alias("before"))
+        state, level = save(state, "levels"), level + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _wrong(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, at, schema, value), both JSON texts, to the distinct (conv_id, turn, at) whose value breaks its schema.
+
+    One round for each depth of nesting: what a node's own schema says is checked, then its properties and items meet theirs."""
+    key, found = ["conv_id", "turn", "at"], []
+    tvf = rows.sparkSession.tvf
+    patterns = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    while True:
+        at = rows.select(*key, F.try_parse_json("schema").alias("s"), F.try_parse_json("value").alias("v"))
+        at = at.withColumn("kind", F.schema_of_variant("v"))
+        one, several = F.try_variant_get("s", "$.type", "string"), F.try_variant_get("s", "$.type", "array<string>")
+        types = F.coalesce(several, F.when(one.isNotNull(), F.array(one)))
+        typed = F.exists(types, lambda t: F.regexp_like("kind", F.concat(F.lit("^"), F.coalesce(patterns[t], F.lit(".*")), F.lit("$"))))
+        named = F.map_keys(F.from_json(F.to_json("v"), "map<string, string>"))
+        required = F.try_variant_get("s", "$.required", "array<string>")
+        lacking = F.col("kind").startswith("OBJECT") & F.exists(required, lambda r: ~F.array_contains(named, r))
+        listed = F.try_variant_get("s", "$.enum", "array<variant>")
+        unlisted = listed.isNotNull() & ~F.exists(listed, lambda e: F.to_json(e).eqNullSafe(F.to_json(F.col("v"))))
+        bad = ~F.coalesce(typed, F.lit(True)) | F.coalesce(lacking, F.lit(False)) | F.coalesce(unlisted, F.lit(False))
+        found.append(save(at.where(bad).select(*key).distinct(), "wrong"))
+        inner = at.withColumns({"properties": F.try_variant_get("s", "$.properties", "variant"), "items": F.try_variant_get("s", "$.items", "variant")})
+        fields = inner.where("properties is not null and kind like 'OBJECT%'")
+        fields = fields.lateralJoin(tvf.variant_explode(F.col("properties").outer()).select(F.col("key").alias("name"), F.to_json("value").alias("schema")))
+        fields = fields.lateralJoin(tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.to_json("value").alias("value"))).where("name = field")
+        parts = inner.where("items is not null and kind like 'ARRAY%'").withColumn("schema", F.to_json("items")).lateralJoin(tvf.variant_explode(F.col("v").outer()).select(F.to_json("value").alias("value")))
+        rows = save(fields.select(*key, "schema", "value").unionByName(parts.select(*key, "schema", "value")), "inner")
+        if rows.isEmpty():
+            out = found[0]
+            for more in found[1:]:
+                out = out.unionByName(more)
+            return out.distinct()
 
 
 def link(turns: DataFrame) -> DataFrame:
@@ -67,34 +109,29 @@ def link(turns: DataFrame) -> DataFrame:
 
     # A call's place: after what it depends on.
     levels = _levels(named)
-    ids = named.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("n"))
+    ids = named.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("n")).join(levels, ["conv_id", "id"], "left")
+    ids = save(ids.withColumn("reach", F.coalesce("reach", "call_turn")), "ids")
     answered = results.where("id is not null").groupBy("conv_id", "id").agg(F.count("*").alias("answers"))
-    needs = named.select("conv_id", "id", F.explode("depends_on").alias("need")).join(ids.select("conv_id", F.col("id").alias("need"), F.col("call_turn").alias("before")), ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.max("before").alias("before"))
 
     # Arguments against declared tools.
     tools = rows.where((F.col("role") == "system") & F.contains("text", F.lit("<tool>"))).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(TOOL), 1)).alias("at", "raw"))
-    tools = tools.select("conv_id", "turn", "at", F.from_json("raw", "name string, parameters struct<properties: map<string, struct<type: string>>, required: array<string>>").alias("t")).select("conv_id", "turn", "at", "t.name", "t.parameters").where("name is not null")
-    tools = tools.groupBy("conv_id", "name").agg(F.min_by(F.struct("parameters"), F.struct("turn", "at", "parameters.required")).alias("t")).select("conv_id", "name", "t.parameters.*")
-    declared = named.select("conv_id", "turn", "at", "name", "arguments").join(tools, ["conv_id", "name"])
-    declared = declared.withColumn("given", F.map_keys(F.from_json("arguments", "map<string, string>")))
-    missing = F.exists(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.coalesce(F.array_contains("given", r), F.lit(False)))
-    expected = F.element_at("properties", F.col("key"))["type"]
-    pattern = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), expected)
-    entries = turns.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("arguments").outer())).select("key", F.schema_of_variant("value").alias("kind"))
-    wrong = declared.lateralJoin(entries)
-    wrong = wrong.where(expected.isNotNull() & ~F.regexp_like("kind", F.concat(F.lit("^"), F.coalesce(pattern, F.lit(".*")), F.lit("$")))).select("conv_id", "turn", "at").distinct()
-    checked = declared.select("conv_id", "turn", "at", (~missing & F.col("given").isNotNull()).alias("complete")).join(wrong.withColumn("wrong", F.lit(True)), ["conv_id", "turn", "at"], "left")
-    checked = checked.groupBy("conv_id", "turn", "at").agg(F.every(F.col("complete") & F.col("wrong").isNull()).alias("valid"))
-
-    found = calls.join(levels, ["conv_id", "id"], "left").join(ids, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left").join(needs, ["conv_id", "id"], "left").join(checked, ["conv_id", "turn", "at"], "left")
+    tools = tools.withColumn("t", F.try_parse_json("raw")).select("conv_id", "turn", "at", F.try_variant_get("t", "$.name", "string").alias("name"), F.to_json(F.try_variant_get("t", "$.parameters", "variant")).alias("schema")).where("name is not null")
+    tools = tools.groupBy("conv_id", "name").agg(F.min_by("schema", F.struct("turn", "at", "schema")).alias("schema"))
+    declared = save(named.select("conv_id", "turn", "at", "name", "arguments").join(tools, ["conv_id", "name"]), "declared")
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False))
+    wrong = _wrong(declared.select("conv_id", "turn", "at", F.coalesce("schema", F.lit("{}")).alias("schema"), F.col("arguments").alias("value")))
+    checked = declared.select("conv_id", "turn", "at", whole.alias("whole")).join(wrong.withColumn("wrong", F.lit(True)), ["conv_id", "turn", "at"], "left")
+    checked = checked.groupBy("conv_id", "turn", "at").agg(F.every(F.col("whole") & F.col("wrong").isNull()).alias("valid"))
+
+    found = calls.join(ids, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left").join(checked, ["conv_id", "turn", "at"], "left")
     status = F.when(F.col("id").isNull() | F.col("name").isNull(), "malformed").when(F.col("n") > 1, "repeated").when(F.col("level").isNull(), "cyclic").when(F.col("answers").isNull(), "unanswered").otherwise("linked")
     out_call = found.select(
         "conv_id", F.greatest("turn", "before").alias("order_turn"), F.coalesce("level", F.lit(0)).alias("level"), (F.col("at") + 1).cast("long").alias("step"), "turn", F.lit("call").alias("kind"), "id", status.alias("status"), "valid",
         F.coalesce(F.when(F.col("id").isNotNull() & F.col("name").isNotNull(), canonical(F.to_json(F.struct(F.col("name"), F.col("id"), F.col("depends_on"), F.try_parse_json("arguments").alias("arguments"))))), canonical(F.to_json(F.struct(F.col("raw").alias("malformed"))))).alias("json"),
     )
-    met = results.join(ids.select("conv_id", "id", "call_turn"), ["conv_id", "id"], "left")
+    met = results.join(ids.select("conv_id", "id", "call_turn", "reach", F.col("level").alias("call_level")), ["conv_id", "id"], "left")
     out_result = met.select(
-        "conv_id", F.greatest("turn", "call_turn").alias("order_turn"), F.lit(0).alias("level"), F.lit(1 << 40).alias("step"), "turn", F.lit("result").alias("kind"), "id",
+        "conv_id", F.greatest("turn", "reach").alias("order_turn"), F.coalesce("call_level", F.lit(0)).alias("level"), F.lit(1 << 40).alias("step"), "turn", F.lit("result").alias("kind"), "id",
         F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked").alias("status"), F.lit(None).cast("boolean").alias("valid"),
         F.coalesce(canonical("text"), canonical(F.to_json(F.struct(F.col("text").alias("content"))))).alias("json"),
     )
