@@ -35,6 +35,10 @@ RADIUS = 2
 WIDE = 22
 #: Bands of min-hashes: at a similarity of 0.8 one of 16 bands of 4 agrees for all but 2 in 10,000 pairs.
 BANDS, WIDTH = 16, 4
+#: Longs that hold a byte of each min-hash. At 0.8 less than 36 of 64 agree once in 100,000 pairs.
+SIGNS, AGREED = BANDS * WIDTH // 8, 36
+#: Nodes and shingles of a block of a group, and bytes of shingle hashes that a task holds before it compares whole groups.
+NODES, BLOCK, HELD = 1024, 1 << 20, 1 << 24
 _rng = np.random.default_rng(9)
 _MIX = _rng.integers(0, 2**64, BANDS * WIDTH, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * WIDTH, dtype=np.uint64)
@@ -228,17 +232,11 @@ def _marks(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets in order; 1 where both are empty."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def _sketch(marks: np.ndarray) -> tuple[int, int, list[int]]:
-    """A number for the set, the SimHash of its shingles and a key for each of its min-hash bands."""
+def _sketch(marks: np.ndarray) -> tuple[int, int, list[int], np.ndarray]:
+    """A number for the set, the SimHash of its shingles, a key for each of its min-hash bands and a byte of each min-hash, as longs."""
     node = xxhash.xxh64_intdigest(marks.tobytes(), 7)
     if not len(marks):
-        return node, 0, []
+        return node, 0, [], np.zeros(SIGNS, np.int64)
     ones, least = np.zeros(64, np.int64), np.full(BANDS * WIDTH, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(0, len(marks), 4096):
         part = marks[i : i + 4096]
@@ -246,90 +244,170 @@ def _sketch(marks: np.ndarray) -> tuple[int, int, list[int]]:
         mixed = _MIX[:, None] * (part ^ (part >> np.uint64(31))) + _ADD[:, None]
         least = np.minimum(least, mixed.min(axis=1))
     fp = int(np.packbits(2 * ones > len(marks), bitorder="little").view(np.uint64)[0])
-    return node, fp, [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDTH))]
+    return node, fp, [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, WIDTH))], (least >> np.uint64(24)).astype(np.uint8).view(np.int64)
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same, text) to (doc_id, same, node, fp, bands)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, same, text) to (doc_id, same, node, size, fp, bands, signs)."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", longs), ("signs", longs)])
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = [_sketch(_marks(t, words)) for t in b.column(2).to_pylist()]
-            yield record(schema, b.column(0), b.column(1), [signed(n) for n, _, _ in got], [signed(f) for _, f, _ in got], [[signed(x) for x in k] for _, _, k in got])
+            marks = [_marks(t, words) for t in b.column(2).to_pylist()]
+            got = [_sketch(m) for m in marks]
+            yield record(schema, b.column(0), b.column(1), [signed(x[0]) for x in got], [len(m) for m in marks], [signed(x[1]) for x in got], [[signed(y) for y in x[2]] for x in got], [x[3].tolist() for x in got])
 
-    return rows.mapInArrow(run, "doc_id long, same long, node long, fp long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, same long, node long, size long, fp long, bands array<long>, signs array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """pairs(a, b) of nodes and texts(node, text) to the pairs whose shingle sets are alike."""
+class _Classes:
+    """Classes of positions that grow with links; ``apart`` says which pairs are of different classes, as of the last look."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            held: dict = {}
-            nodes, texts_ = [c.to_pylist() for c in b.columns[:2]], [c.to_pylist() for c in b.columns[2:]]
-            for side in (0, 1):
-                for n, t in zip(nodes[side], texts_[side]):
-                    if n not in held:
-                        held[n] = _marks(t, words)
-            ok = [jaccard(held[x], held[y]) >= least for x, y in zip(*nodes)]
-            yield record(_EDGE, [x for x, k in zip(nodes[0], ok) if k], [y for y, k in zip(nodes[1], ok) if k])
-
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, sub, fp, node, root), in order of bucket and sub, to pairs of nodes of different roots that SimHash finds near."""
+    def __init__(self, n: int):
+        self.root, self.links, self.new = np.arange(n), [], 0
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.root[i] != self.root[j]
+
+    def link(self, i: np.ndarray, j: np.ndarray, soon: int = 4096) -> None:
+        self.links.append((i, j))
+        self.new += len(i)
+        if self.new > soon:
+            self.close()
+
+    def close(self) -> np.ndarray:
+        if self.new:
+            far = np.flatnonzero(self.root != np.arange(len(self.root)))
+            i, j = (np.concatenate(x) for x in zip(*self.links, (far, self.root[far])))
+            self.root, self.links, self.new = spanning(len(self.root), i, j), [], 0
+        return self.root
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, sub, fp, node, signs...), in order of bucket and sub, to spanning links between nodes that SimHash and min-hashes find near."""
     for rows, rest in grouped(batches, BATCH):
+        signs = np.ascontiguousarray(rows[4:].T).view(np.uint8)
+        classes = _Classes(rows.shape[1])
         for i, j in _found(rows[2].view(np.uint64), rest, WIDE):
-            i, j = (x[rows[4][i] != rows[4][j]] for x in (i, j))
-            if len(i):
-                a, b = rows[3][i], rows[3][j]
-                yield record(_EDGE, np.maximum(a, b), np.minimum(a, b))
+            new = classes.apart(i, j)
+            i, j = i[new], j[new]
+            near = (signs[i] == signs[j]).sum(axis=1) >= AGREED
+            classes.link(i[near], j[near])
+        root = classes.close()
+        far = np.flatnonzero(root != np.arange(len(root)))
+        yield record(_EDGE, rows[3][far], rows[3][root[far]])
+
+
+def common(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """How many of the distinct ``ids`` from starts[i] on, sizes[i] of them, each pair of positions shares; about ``most`` ids at once."""
+    out = np.zeros(len(i), np.int64)
+    upto = np.cumsum(sizes[i] + sizes[j])
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        who = np.stack((i[at:to], j[at:to]), axis=1).ravel()
+        n = sizes[who]
+        where = np.repeat(starts[who] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keys = np.sort((np.repeat(np.arange(len(who)) >> 1, n).astype(np.int64) << 32) | ids[where])
+        out[at:to] = np.bincount(keys[1:][keys[1:] == keys[:-1]] >> 32, minlength=to - at)
+        at = to
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Rows (group, sub, fp, node, marks), in order of group and sub: the longs, how many rows of its group follow each, and the marks; some whole groups at once."""
+    held, marks, size = [], [], 0
+
+    def cut(rows: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        ends = np.append(np.flatnonzero((np.diff(rows[:2]) != 0).any(axis=0)) + 1, rows.shape[1])
+        return rows, np.repeat(ends, np.diff(np.append(0, ends))) - 1 - np.arange(rows.shape[1]), marks
+
+    for b in slices(batches, 256):
+        held.append(np.stack([c.to_numpy() for c in b.columns[:4]]))
+        marks += b.column(4).to_pylist()
+        size += sum(map(len, marks[-b.num_rows :]))
+        if size >= HELD:
+            rows = np.concatenate(held, axis=1)
+            other = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0))
+            if len(other):
+                to = int(other[-1]) + 1
+                yield cut(np.ascontiguousarray(rows[:, :to]), marks[:to])
+                rows, marks = rows[:, to:], marks[to:]
+            held, size = [rows], sum(map(len, marks)) if len(other) else 0
+    if marks:
+        yield cut(np.concatenate(held, axis=1), marks)
+
+
+def _alike(least: float):
+    """Rows (group, sub, fp, node, marks) to spanning links between nodes whose shingle sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, rest, marks in _whole_groups(batches):
+            sizes = np.array([len(m) >> 3 for m in marks], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            _, ids = np.unique(np.frombuffer(b"".join(marks), np.uint64), return_inverse=True)
+            classes = _Classes(rows.shape[1])
+            for i, j in _found(rows[2].view(np.uint64), rest, WIDE):
+                new = classes.apart(i, j) & (np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]))
+                i, j = i[new], j[new]
+                both = common(ids, starts, sizes, i, j)
+                ok = both >= least * (sizes[i] + sizes[j] - both)
+                classes.link(i[ok], j[ok], 256)
+            root = classes.close()
+            far = np.flatnonzero(root != np.arange(len(root)))
+            yield record(_EDGE, rows[3][far], rows[3][root[far]])
+
+    return run
+
+
+def _marked(texts: DataFrame, words: int) -> DataFrame:
+    """(group, sub array, fp, node, text) to the same with ``marks``, the text's distinct shingles in order, instead of it."""
+    schema = pa.schema([("group", pa.int64()), ("sub", pa.list_(pa.int64())), ("fp", pa.int64()), ("node", pa.int64()), ("marks", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            yield record(schema, *b.columns[:4], [_marks(t, words).tobytes() for t in b.column(4).to_pylist()])
+
+    return texts.mapInArrow(run, "group long, sub array<long>, fp long, node long, marks binary")
 
 
 def alike(docs: DataFrame, words: int, least: float) -> DataFrame:
     """(doc_id, same, text) to (doc_id, same, root): classes linked by Jaccard similarity of distinct shingles of at least ``least``.
 
     Rows with equal shingle sets are one node. Blocks of SimHash bits can't select at such a similarity (at 0.8 about
-    10 of 64 bits differ), so nodes meet where a band of min-hashes agrees, those of a bucket are compared bit-sliced by
-    SimHash within ``WIDE`` bits, and what is left is verified by the shingles of the texts, of which only those of pairs are
-    moved. First each node is compared with one other of a bucket, then with a lead of each of its buckets; at last all pairs of a bucket that
-    this leaves in different classes are compared.
+    10 of 64 bits differ), so bands of min-hashes deal nodes to buckets. In a bucket, nodes are compared bit-sliced by SimHash within
+    ``WIDE`` bits, then by how many of 64 min-hashes agree, ``AGREED`` at least; what this leaves is joined to groups, by spanning
+    links alone. Only nodes in groups of two or more have their texts moved, once, and turned to shingle hashes. A group, dealt to pairs of blocks
+    where it is large, is compared bit-sliced again, every node with every other, and what is near and not yet of one class is
+    verified by the hashes. No pair leaves a task.
     """
-    spark_rows = save(_sketches(docs, words), "sketches")
-    nodes = save(spark_rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "same")).alias("rep")), "nodes")
-    dealt = nodes.select("node", "fp", F.explode("bands").alias("bucket"))
-    dealt = save(dealt.join(dealt.groupBy("bucket").agg(F.min(F.struct("node", "fp")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "bucket"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep.*"), "node")
-        texts = save(docs.join(met, ["doc_id", "same"]).select("node", "text").dropDuplicates(["node"]), "texts")
-        out = save(_verified(pairs, texts, words, least), "links")
-        forget(texts)
-        return out
-
-    def apart(roots: DataFrame) -> DataFrame:
-        """The rows of buckets whose nodes are of different classes, with these."""
-        rooted = dealt.join(roots, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        return save(rooted.join(split, "bucket"), "apart")
-
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp")))
-    pairs = dealt.where(F.col("node") != F.col("lead.node")).where(bits <= WIDE).groupBy(F.col("node").alias("a")).agg(F.min("lead.node").alias("b"))
-    first = verified(save(pairs, "pairs"))
-    at = apart(connected_components(first))
-    # A lead of its own for each bucket: a group that no single text is like still joins up before its pairs are compared.
-    leads = at.groupBy("bucket").agg(F.min_by(F.struct("node", "fp", "root"), F.xxhash64("node", "bucket")).alias("lead"))
-    met = at.join(leads, "bucket").where((F.col("root") != F.col("lead.root")) & (bits <= WIDE))
-    pairs = met.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
-    links = first.union(verified(save(pairs, "pairs")))
-    rest = cells(apart(connected_components(links)), "node", SPLIT).select("bucket", "sub", "fp", "node", "root")
-    pairs = rest.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_candidates, "a long, b long").distinct()
-    roots = connected_components(links.union(verified(save(pairs, "pairs"))))
-    return spark_rows.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root"))
+    sketched = save(_sketches(docs, words), "sketches")
+    nodes = save(sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signs").alias("signs"), F.min(F.struct("doc_id", "same")).alias("rep")), "nodes")
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    dealt = dealt.join(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    dealt = dealt.join(nodes.select("node", "fp", *[F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS)]), "node")
+    dealt = cells(dealt, "node", SPLIT).select("bucket", "sub", "fp", "node", *[f"s{k}" for k in range(SIGNS)])
+    near = save(dealt.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_close, "a long, b long"), "near")
+    groups = connected_components(near)
+    member = nodes.join(groups, "node", "left").select("node", "fp", "size", "rep.*", F.coalesce("root", "node").alias("group"))
+    sums = groups.groupBy(F.col("root").alias("group")).agg(F.count("*").alias("others"))
+    member = save(member.join(sums, "group"), "members")
+    heavy = member.groupBy("group").agg(F.greatest(F.count("*") / NODES, F.sum("size") / BLOCK).alias("n"))
+    k = F.ceil("n")
+    own = F.pmod(F.xxhash64("node"), k)
+    subs = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda x: F.least(x, own) * k + F.greatest(x, own))
+    placed = member.join(heavy, "group").select("doc_id", "same", "node", "fp", "group", subs.alias("sub"))
+    texts = docs.join(placed, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("group", "sub", "fp", "node", "text")
+    marked = _marked(texts, words).select("group", F.explode("sub").alias("sub"), "fp", "node", "marks")
+    links = marked.repartition("group", "sub").sortWithinPartitions("group", "sub").mapInArrow(_alike(least), "a long, b long")
+    found = save(links, "links")
+    roots = connected_components(found)
+    out = save(sketched.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root")), "classes")
+    for x in (sketched, nodes, near, groups, member, found, roots):
+        forget(x)
+    return out
 
 
 def deduplicate(docs: DataFrame, words: int = 3, least: float | None = None) -> DataFrame:
