@@ -124,8 +124,9 @@ def _marked(docs: DataFrame, chars: int, least: int, batches: int) -> DataFrame:
         for batch in _batches(located, batches):
             one = F.array_distinct(F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
             runs.add(batch.select("doc_id", F.inline(one)))
+        settled = save(runs.settled(), "settled")  # no bucketed table, so that both sides are shuffled and a hot line's rows are split
         lines = located.select("doc_id", "th", F.inline("at"))
-        lost = lines.join(runs.settled(), _HASH).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        lost = lines.join(settled, _HASH).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         gone = save(lost.groupBy("doc_id", "th").agg(F.collect_set(F.col("pos") + 1).alias("gone")), "gone")
     finally:
         runs.close()
