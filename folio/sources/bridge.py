@@ -6,6 +6,7 @@ are fixtures by formula, the same in Spark and SQL, and cover every document who
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,69 @@ cell as (select doc_id as page_key, g // 40 as r, g % 40 as c,
                 case when ((g // 40) * 7 + (g % 40) * 13 + doc_id) % 5 < 2 then 1 else 0 end as ink
          from documents, (select unnest(range(2000)) as g))
 """
+
+
+# A scan's width, words in a row and on a page, a row's height, a column's width, and the greys of paper and ink.
+SCAN_W, ACROSS, ON_PAGE, LINE, COLUMN, BLANK, BLACK = 330, 8, 400, 14, 41, 210, 40
+
+
+def scan_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word(page_key, wid, t, x, y, w, h) of the scans: documents cut to pages of ``ON_PAGE`` words, in eight columns."""
+    i = F.col("wid")
+    return _scan_pages(spark, sf_dir).select("page_key", "doc_id", F.posexplode("tokens").alias("wid", "t")).select(
+        "page_key", i.cast("long").alias("wid"), "t", (COLUMN * (i % ACROSS) + 4).cast("long").alias("x"), (LINE * F.floor(i / ACROSS) + 3 + (F.col("doc_id") + 5 * i) % 3).cast("long").alias("y"),
+        (3 * F.least(F.length("t"), F.lit(12))).cast("long").alias("w"), (7 + (i + F.col("doc_id")) % 2).cast("long").alias("h"),
+    )
+
+
+def _scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.blanks(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    parts = docs.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / ON_PAGE).cast("int"))).alias("part"))
+    return parts.select("doc_id", (F.col("doc_id") * 100_000 + F.col("part")).alias("page_key"), F.slice("tokens", F.col("part") * ON_PAGE + 1, F.lit(ON_PAGE)).alias("tokens"))
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_key, image): images of the pages, PGM and PNG by turns. Besides words: rules beside columns, one across, film at the left edge, and a frame, by the document's number."""
+    import pandas as pd
+
+    from folio.sources.images import pgm, png
+
+    def draw(docs, keys, sizes):
+        out = []
+        for doc, key, lens in zip(docs, keys, sizes):
+            rows = -(-len(lens) // ACROSS)
+            grey = np.full((LINE * rows + 4, SCAN_W), BLANK, np.uint8)
+            for i, n in enumerate(lens):
+                x, y = COLUMN * (i % ACROSS) + 4, LINE * (i // ACROSS) + 3 + (doc + 5 * i) % 3
+                grey[y : y + 7 + (i + doc) % 2, x : x + 3 * min(n, 12)] = BLACK
+            if doc % 3:
+                grey[: len(grey) // 2, COLUMN::COLUMN] = BLACK
+            if doc % 4 == 0:
+                grey[:, :2] = BLACK
+            if doc % 5 == 1 and rows > 5:
+                grey[5 * LINE : 5 * LINE + 2, 4:328] = BLACK
+            if doc % 3 == 0 and doc % 5 != 1 and rows > 8:
+                a, b, c, d = 2 * COLUMN, 4 * COLUMN, 2 * LINE, 6 * LINE
+                grey[[c, d], a : b + 1] = BLACK
+                grey[c : d + 1, [a, b]] = BLACK
+            out.append((pgm, png)[key % 2](grey))
+        return pd.Series(out)
+
+    sizes = F.transform("tokens", lambda t: F.length(t))
+    return _scan_pages(spark, sf_dir).select("page_key", F.pandas_udf(draw, "binary")("doc_id", "page_key", sizes).alias("image"))
+
+
+SCAN_SQL = """
+sp as (select doc_id, l, unnest(range((len(l) - 1) // 400 + 1)) as part from (select doc_id, regexp_extract_all(coalesce(text, ''), '\\S+') as l from documents) where len(l) > 0),
+pg as (select doc_id, doc_id * 100000 + part as page_key, l[part * 400 + 1 : part * 400 + 400] as l, 330 as pw, 14 * ((len(l[part * 400 + 1 : part * 400 + 400]) + 7) // 8) + 4 as ph from sp),
+sw as (select page_key, doc_id, i as wid, t, 41 * (i % 8) + 4 as x, 14 * (i // 8) + 3 + (doc_id + 5 * i) % 3 as y, 3 * least(length(t), 12) as w, 7 + (i + doc_id) % 2 as h
+       from (select page_key, doc_id, unnest(l) as t, unnest(range(len(l))) as i from pg)),
+ln as (select *, doc_id % 5 = 1 and ph > 74 as across, doc_id % 3 = 0 and doc_id % 5 <> 1 and ph > 116 as frame from pg),
+st as (select page_key, y + k as y, x as x0, x + w as x1 from sw, (select unnest(range(8)) as k) where k < h
+       union all select page_key, k, 0, 2 from ln, (select unnest(range(704)) as k) where k < ph and doc_id % 4 = 0
+       union all select page_key, k, 41 * c, 41 * c + 1 from ln, (select unnest(range(352)) as k), (select unnest([1, 2, 3, 4, 5, 6, 7]) as c) where doc_id % 3 <> 0 and k < ph // 2 and not (across and k in (70, 71))
+       union all select page_key, k, 328, 329 from ln, (select unnest(range(352)) as k) where doc_id % 3 <> 0 and k < ph // 2 and not (across and k in (70, 71))
+       union all select page_key, k, 4, 328 + case when doc_id % 3 <> 0 and k < ph // 2 then 1 else 0 end from ln, (select unnest([70, 71]) as k) where across
+       union all select page_key, k, 82, 165 from ln, (select unnest([28, 84]) as k) where frame
+       union all select page_key, k, x, x + 1 from ln, (select unnest(range(29, 84)) as k), (select unnest([82, 164]) as x) where frame)
+"""
