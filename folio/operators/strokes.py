@@ -224,25 +224,50 @@ def paper_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def column_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """item(page_key, item, x, y, w, h) to (page_key, item, x0, x1): the nearest gutters each side that nothing crosses on its rows; the film's edge where a side has none, null where both have none."""
+    """item(page_key, item, x, y, w, h) to (page_key, item, x0, x1): the nearest gutters each side that nothing crosses on its rows; the film's edge where a side has none, null where both have none.
+
+    A gutter is crossed where even its clearest column is inked on those rows; a rule, which is always dark, is judged by the two columns each side of it.
+    A page's items, gutters and strokes meet in one row, and sums down the columns of its bitmap answer for any rows.
+    """
     steps, item = col_dark(pages), ["page_key", "item"]
-    met = _met(items, pages)
-    y0, y1 = F.greatest(F.lit(0), F.col("y")), F.least(F.col("ph"), F.col("y") + F.col("h"))
-    span = _int(F.col("ph") * SPAN_LEAST)
-    low, mid, half = y1 - y0 < span, F.floor((y0 + y1) / 2), F.floor(span / 2)
-    met = met.withColumns({"y0": F.when(low, F.greatest(F.lit(0), mid - half)).otherwise(y0), "y1": F.when(low, F.least(F.col("ph"), mid + half)).otherwise(y1), "a": F.lit(0), "b": F.col("pw")})
-    own = _item_steps(met, "y0", "y1", "a", "b").withColumnsRenamed({"x0": "s0", "x1": "s1"})
-    found = gutters(steps).withColumnsRenamed({"x0": "g0", "x1": "g1"})
-    touches = lambda a, b: (F.col("s0") < b) & (F.col("s1") > a)
-    judged = F.when(F.col("kind") == "rule", touches(F.col("g0") - 2, F.col("g0")) | touches(F.col("g1"), F.col("g1") + 2)).otherwise(touches(F.col("g0"), F.col("g1")))
-    crossed = own.join(found, "page_key").where(judged).groupBy(*item, "kind", "g0").agg((F.min("dark") > CROSSED).alias("crossed"))
-    sides = met.drop("strokes").join(found, "page_key").join(crossed, [*item, "kind", "g0"], "left").where("not coalesce(crossed, false)")
-    sides = sides.groupBy(*item).agg(F.max(F.when(F.col("g1") <= F.col("x"), F.col("g1"))).alias("l"), F.min(F.when(F.col("g0") >= F.col("x") + F.col("w"), F.col("g0"))).alias("r"))
+    sides = gutters(steps).groupBy("page_key").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", (F.col("kind") == "rule").alias("rule")))).alias("gutters"))
     film = film_edges(steps).withColumnsRenamed({"x0": "e0", "x1": "e1"})
-    out = met.select(*item).join(sides, item, "left").join(film, "page_key", "left")
-    a, b = F.coalesce("l", "e0"), F.coalesce("r", "e1")
-    ok = (F.col("l").isNotNull() | F.col("r").isNotNull()) & (b > a)
-    return out.select(*item, F.when(ok, a).alias("x0"), F.when(ok, b).alias("x1"))
+    boxes = items.groupBy("page_key").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("item", "x", "y", "w", "h")])).alias("items"))
+    rows = pages.where("w is not null").join(boxes, "page_key").join(film, "page_key").join(sides, "page_key", "left")
+    schema = pa.schema([(c, pa.int64()) for c in ("page_key", "item", "x0", "x1")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                key, w, h, row, boxes, e0, e1, sides = (b.column(c)[k] for c in ("page_key", "w", "h", "strokes", "items", "e0", "e1", "gutters"))
+                ink = page_of(row, w.as_py(), h.as_py())
+                down = np.pad(np.cumsum(ink, axis=0, dtype=np.int32), ((1, 0), (0, 0)))
+                out = [(key.as_py(), v["item"], *_sides(down, v, sides.as_py() or [], e0.as_py(), e1.as_py())) for v in boxes.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    found = rows.select("page_key", "w", "h", "strokes", "items", "e0", "e1", "gutters").mapInArrow(run, "page_key long, item long, x0 long, x1 long")
+    return items.select(*item).join(found, item, "left")
+
+
+def _sides(down: np.ndarray, item: dict, sides: list[dict], e0: int, e1: int) -> tuple[int | None, int | None]:
+    height, x, x1 = len(down) - 1, item["x"], item["x"] + item["w"]
+    top, bottom, span = max(0, item["y"]), min(height, item["y"] + item["h"]), int(height * SPAN_LEAST)
+    if bottom - top < span:  # so that the spaces of a few words do not line up
+        mid = (top + bottom) // 2
+        top, bottom = max(0, mid - span // 2), min(height, mid + span // 2)
+    dark = (down[bottom] - down[top]) / max(1, bottom - top) if bottom > top else np.zeros(down.shape[1])
+
+    def open_(g: dict) -> bool:
+        a, b = g["x0"], g["x1"]
+        near = np.concatenate((dark[max(0, a - 2) : a], dark[b : b + 2])) if g["rule"] else dark[a:b]
+        return not (len(near) and near.min() > CROSSED)
+
+    left = next((g["x1"] for g in reversed(sides) if g["x1"] <= x and open_(g)), None)
+    right = next((g["x0"] for g in sides if g["x0"] >= x1 and open_(g)), None)
+    if left is None and right is None:
+        return None, None
+    a, b = e0 if left is None else left, e1 if right is None else right
+    return (a, b) if b > a else (None, None)
 
 
 def snap(items: DataFrame, pages: DataFrame, mode: str = "column", rules_only: bool = False, border: bool = False, keep_clear: bool | None = None) -> DataFrame:
@@ -250,11 +275,16 @@ def snap(items: DataFrame, pages: DataFrame, mode: str = "column", rules_only: b
     item = ["page_key", "item"]
     sides = (paper_bounds if mode == "paper" else column_bounds)(items, pages)
     sized = pages.select("page_key", F.col("w").alias("pw"), F.col("h").alias("ph"))
-    cells = items.join(sides.where("x0 is not null"), item).join(sized, "page_key").where(F.col("x1") - F.col("x0") >= F.col("pw") * CELL_NARROW)
+    cells = items.join(sides, item).join(sized, "page_key")
+    wide = F.col("x1") - F.col("x0") >= F.col("pw") * CELL_NARROW
+    cells = cells.withColumns({"x0": F.when(wide, F.col("x0")), "x1": F.when(wide, F.col("x1"))})
     deep = vertical_bounds(cells.drop("pw", "ph"), pages, rules_only, mode == "paper" if keep_clear is None else keep_clear)
-    cells = cells.join(deep, item).where((F.col("y1") > F.col("y0")) & (F.col("y1") - F.col("y0") <= F.col("ph") * CELL_DEEP))
+    # No filter on what the walks found: it would be worked out again inside the filter.
+    high = F.col("y1") - F.col("y0")
+    ok = F.col("x0").isNotNull() & (high > 0) & (high <= F.col("ph") * CELL_DEEP)
     m = F.greatest(F.lit(3), _int(F.col("pw") * BORDER_PAD)) if border else F.lit(0)
-    cells = cells.select(*item, F.greatest(F.lit(0), F.col("x0") - m).alias("x0"), F.greatest(F.lit(0), F.col("y0") - m).alias("y0"), F.least(F.col("pw"), F.col("x1") + m).alias("x1"), F.least(F.col("ph"), F.col("y1") + m).alias("y1"))
+    box = {"x0": F.greatest(F.lit(0), F.col("x0") - m), "y0": F.greatest(F.lit(0), F.col("y0") - m), "x1": F.least(F.col("pw"), F.col("x1") + m), "y1": F.least(F.col("ph"), F.col("y1") + m)}
+    cells = cells.join(deep, item).select(*item, *[F.when(ok, c).alias(k) for k, c in box.items()])
     return items.select(*item).join(cells, item, "left")
 
 
