@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folio.operators import borders, strokes
 from folio.plans.slate import query
-from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans
+from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans, scratch, table
 from folio.sources.images import ink_pages
+from folio.streaming import state
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -96,3 +97,19 @@ def scan_borders(spark, sf_dir):
     seeds = words.where("floor(wid / 8) = wid % 8 * 2").withColumnRenamed("wid", "item").drop("t")
     found = borders.border_boxes(seeds, pages, words, pages.select("page_key", F.lit(7.0).alias("text_h")))
     return found.select("page_key", "item", "x0", "y0", "x1", "y1")
+
+
+_SAID = "case when event_type = 'purchase' then 'approve' when event_type = 'click' then 'reject' when event_type = 'view' then 'requeue' end"
+
+
+@query(f"""with l as (select 'u' || user_id as lccn, strftime(ts, '%Y-%m') as date, case when user_id % 3 = 0 then 'ad' else 'nameplate' end as lane, {_SAID} as decision, event_id as "offset" from events where {_SAID} is not null)
+select lccn || ':' || date || ':' || lane as key, max_by(decision, "offset") as decision, max("offset") as last from l group by 1""")
+def decision_state(spark, sf_dir):
+    """The event log as a stream, folded into a kept table."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet").withColumn("decision", F.expr(_SAID)).where("decision is not null")
+    lane = F.when(F.col("user_id") % 3 == 0, "ad")
+    log = lines.select(F.concat(F.lit("u"), "user_id").alias("lccn"), F.date_format("ts", "yyyy-MM").alias("date"), lane.alias("lane"), "decision", F.col("ts").cast("string").alias("at"), F.col("event_id").alias("offset"))
+    at = scratch(spark)
+    running = state.follow(log, f"{at}/state", f"{at}/checkpoint")
+    running.awaitTermination()
+    return state.state(spark, f"{at}/state").select("key", "decision", F.col("offset").alias("last"))

@@ -17,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the folder that driver and executors share; a temporary one in local mode where none is set."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="folio-state-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        shared = f"file://{local}"
+    return f"{shared.rstrip('/')}/folio-{uuid.uuid4().hex}"
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word(page_key, wid, t, x, y, w, h), all integers."""
     pos = F.col("wid")
