@@ -105,8 +105,8 @@ _SAID = "case when event_type = 'purchase' then 'approve' when event_type = 'cli
 @query(f"""with l as (select 'u' || user_id as lccn, strftime(ts, '%Y-%m') as date, case when user_id % 3 = 0 then 'ad' else 'nameplate' end as lane, {_SAID} as decision, event_id as "offset" from events where {_SAID} is not null)
 select lccn || ':' || date || ':' || lane as key, max_by(decision, "offset") as decision, max("offset") as last from l group by 1""")
 def decision_state(spark, sf_dir):
-    """The event log as a stream, folded into a kept table."""
-    lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet").withColumn("decision", F.expr(_SAID)).where("decision is not null")
+    """The event log as a stream, folded into a kept table. The path is a pattern, so that a table may be a file or a folder."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("decision", F.expr(_SAID)).where("decision is not null")
     lane = F.when(F.col("user_id") % 3 == 0, "ad")
     log = lines.select(F.concat(F.lit("u"), "user_id").alias("lccn"), F.date_format("ts", "yyyy-MM").alias("date"), lane.alias("lane"), "decision", F.col("ts").cast("string").alias("at"), F.col("event_id").alias("offset"))
     at = scratch(spark)
