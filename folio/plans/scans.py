@@ -51,8 +51,8 @@ bs as (select page_key, item, list_sort(list(dark))[count(*) // 10 + 1] as base
 fl as (select pr.*, dark <= base + 0.02 as clear, dark >= 0.45 as ruled from pr join bs using (page_key, item)),
 cg as (select *, r - row_number() over (partition by page_key, item, clear order by r) as g from fl),
 cr as (select page_key, item, min(r) as a, max(r) as b from cg where clear group by page_key, item, g),
-cs as (select l.page_key, l.item, max(case when least(b, y - top) - a + 1 >= gap then least(b, y - top) end) as cu, min(case when b - greatest(a, least(n - 1, y + h - top)) + 1 >= gap then greatest(a, least(n - 1, y + h - top)) end) as cd from lim l left join cr using (page_key, item) group by 1, 2),
-rs as (select l.page_key, l.item, max(case when r <= y - top then r end) as ru, min(case when r >= least(n - 1, y + h - top) then r end) as rd from lim l left join (select * from fl where ruled) using (page_key, item) group by 1, 2),
+cs as (select l.page_key, l.item, max(case when least(b, greatest(0, y - top)) - a + 1 >= gap then least(b, greatest(0, y - top)) end) as cu, min(case when b - greatest(a, least(n - 1, y + h - top)) + 1 >= gap then greatest(a, least(n - 1, y + h - top)) end) as cd from lim l left join cr using (page_key, item) group by 1, 2),
+rs as (select l.page_key, l.item, max(case when r <= greatest(0, y - top) then r end) as ru, min(case when r >= least(n - 1, y + h - top) then r end) as rd from lim l left join (select * from fl where ruled) using (page_key, item) group by 1, 2),
 o as (select l.page_key, l.item, top, case when ru is not null and (cu is null or ru >= cu - gap + 1) then ru + 1 else cu end as u, case when rd is not null and (cd is null or rd <= cd + gap - 1) then rd - 1 else cd end as d from lim l join cs using (page_key, item) join rs using (page_key, item))
 select page_key, item, case when u is not null and d is not null then top + u end as y0, case when u is not null and d is not null then top + d + 1 end as y1 from o""")
 def scan_spans(spark, sf_dir):
@@ -90,8 +90,7 @@ def scan_rule_rows(spark, sf_dir):
     return strokes.rule_rows(pages.select("page_key", F.inline(windows)).withColumn("text_h", F.lit(7.0)), pages, scan_words(spark, sf_dir))
 
 
-@query(f"""with {SCAN_SQL} select sw.page_key, wid as item, case when f then 82 end as x0, case when f then 28 end as y0, case when f then 165 end as x1, case when f then 85 end as y1
-from (select *, wid // 8 between 2 and 5 and wid % 8 in (2, 3) as inside from sw where wid // 8 = wid % 8 * 2) sw join (select *, frame as f_ from ln) ln using (page_key), (select 1) cross join lateral (select inside and f_ as f)""")
+@query()
 def scan_borders(spark, sf_dir):
     pages, words = _pages(spark, sf_dir), scan_words(spark, sf_dir)
     seeds = words.where("floor(wid / 8) = wid % 8 * 2").withColumnRenamed("wid", "item").drop("t")
