@@ -1,7 +1,7 @@
 """Operators on run-length ink: a row a page with its strokes, array of (y, x0, x1).
 
 Profiles come from the strokes' ends: a column's ink changes only where a stroke begins or ends, so columns are steps of equal darkness,
-and rows are sums of clipped strokes. Items and windows are joined to their page, whose strokes are filtered and cut inside its row; what is exploded is
+and rows are sums of clipped strokes. A page's items and windows meet it in one row, where its strokes are filtered and cut; what is exploded is
 a stroke or a step, never a pixel. Where a walk looks for the next rule or clear run, the rows that are not clear are one array an item, bounded by the page's height,
 and the walk is a search in the intervals between them.
 """
@@ -132,8 +132,19 @@ def vrules(pages: DataFrame, least: float = VRULE_LEAST, skip_dark: bool = True)
 
 
 def _met(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Items with their page's size and strokes; those of a page without an image go."""
-    return items.join(pages.where("w is not null").select("page_key", F.col("w").alias("pw"), F.col("h").alias("ph"), "strokes"), "page_key")
+    """Items with their page's size; those of a page without an image go."""
+    return items.join(pages.where("w is not null").select("page_key", F.col("w").alias("pw"), F.col("h").alias("ph")), "page_key")
+
+
+def _clipped(windows: DataFrame, pages: DataFrame) -> DataFrame:
+    """window(page_key, item, a, b, c, d) to (page_key, item, y, s0, s1): the strokes on columns [a, b) and rows [c, d), cut to them.
+
+    A page's windows meet its strokes in one row, so the strokes are not copied for each of them."""
+    held = windows.groupBy("page_key").agg(F.collect_list(F.struct("item", *[_int(F.col(c)).alias(c) for c in "abcd"])).alias("windows"))
+    inside = lambda s, v: (s["y"] >= v["c"]) & (s["y"] < v["d"]) & (s["x0"] < v["b"]) & (s["x1"] > v["a"])
+    cut = lambda s, v: F.struct(v["item"].alias("item"), _int(s["y"]).alias("y"), F.greatest(_int(s["x0"]), v["a"]).alias("s0"), F.least(_int(s["x1"]), v["b"]).alias("s1"))
+    parts = F.transform("windows", lambda v: F.transform(F.filter("strokes", lambda s: inside(s, v)), lambda s: cut(s, v)))
+    return pages.where("w is not null").select("page_key", "strokes").join(held, "page_key").select("page_key", F.explode(parts).alias("parts")).select("page_key", F.inline("parts"))
 
 
 def _between(bad: Column, n: Column) -> Column:
@@ -162,11 +173,9 @@ def vertical_bounds(items: DataFrame, pages: DataFrame, rules_only: bool = False
     met = _met(items, pages)
     cap = _int(F.col("ph") * CELL_DEEP)
     met = met.withColumns({"top": F.greatest(F.lit(0), F.col("y") + F.col("h") - cap), "n": F.least(F.col("ph"), F.col("y") + cap)}).withColumn("n", F.greatest(F.lit(0), F.col("n") - F.col("top")))
-    inside = F.filter("strokes", lambda s: (s["y"] >= F.col("top")) & (s["y"] < F.col("top") + F.col("n")) & (s["x0"] < F.col("x1")) & (s["x1"] > F.col("x0")))
-    cut = F.transform(inside, lambda s: F.struct(_int(s["y"] - F.col("top")).alias("r"), (F.least(s["x1"], F.col("x1")) - F.greatest(s["x0"], F.col("x0"))).alias("ink")))
-    rows = met.select("page_key", "item", F.inline(cut)).groupBy("page_key", "item", "r").agg(F.sum("ink").alias("ink"))
-    rows = rows.groupBy("page_key", "item").agg(F.array_sort(F.collect_list(F.struct("r", "ink"))).alias("rows"))
-    at = met.drop("strokes").join(rows, ["page_key", "item"], "left")
+    rows = _clipped(met.select("page_key", "item", F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("top").alias("c"), (F.col("top") + F.col("n")).alias("d")), pages)
+    rows = rows.groupBy("page_key", "item", "y").agg(F.sum(F.col("s1") - F.col("s0")).alias("ink")).groupBy("page_key", "item").agg(F.collect_list(F.struct("y", "ink")).alias("rows"))
+    at = met.join(rows, ["page_key", "item"], "left").withColumn("rows", F.array_sort(F.transform("rows", lambda v: F.struct((v["y"] - F.col("top")).alias("r"), v["ink"].alias("ink")))))
     wide = F.greatest(F.lit(1), F.col("x1") - F.col("x0"))
     dark = F.coalesce(F.transform("rows", lambda v: F.struct(v["r"].alias("r"), (v["ink"] / wide).alias("dark"))), F.array().cast("array<struct<r:long,dark:double>>"))
     at = at.withColumn("dark", dark)
@@ -193,12 +202,14 @@ def vertical_bounds(items: DataFrame, pages: DataFrame, rules_only: bool = False
     return at.select("page_key", "item", F.when(ok, F.col("top") + top).alias("y0"), F.when(ok, F.col("top") + bottom + 1).alias("y1"))
 
 
-def _item_steps(met: DataFrame, y0: str, y1: str, a: str, b: str) -> DataFrame:
-    """Steps (page_key, item, x0, x1, dark) of each item's columns [a, b) over its rows [y0, y1)."""
-    inside = F.filter("strokes", lambda s: (s["y"] >= F.col(y0)) & (s["y"] < F.col(y1)) & (s["x0"] < F.col(b)) & (s["x1"] > F.col(a)))
-    steps = _steps(met.where(F.col(b) > F.col(a)).select("page_key", "item", _ends(inside, F.col(a), F.col(b))), ["page_key", "item"])
-    high = met.select("page_key", "item", F.greatest(F.lit(1), F.col(y1) - F.col(y0)).alias("high"))
-    return steps.join(high, ["page_key", "item"]).select("page_key", "item", "x0", "x1", (F.col("ink") / F.col("high")).alias("dark"))
+def _item_steps(met: DataFrame, pages: DataFrame) -> DataFrame:
+    """Steps (page_key, item, x0, x1, dark) of each item's columns [a, b) over its rows [c, d)."""
+    key = ["page_key", "item"]
+    found = _clipped(met.where("b > a").select(*key, *"abcd"), pages)
+    ends = lambda p, q, d: F.inline(F.array(*[F.struct(_int(F.col(c)).alias("x"), F.lit(v).alias("d")) for c, v in ((p, d), (q, -d))]))
+    steps = _steps(found.select(*key, ends("s0", "s1", 1)).unionByName(met.where("b > a").select(*key, ends("a", "b", 0))), key)
+    high = met.select(*key, F.greatest(F.lit(1), F.col("d") - F.col("c")).alias("high"))
+    return steps.join(high, key).select(*key, "x0", "x1", (F.col("ink") / F.col("high")).alias("dark"))
 
 
 def paper_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -207,14 +218,15 @@ def paper_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
     A column is clear within ``CLEAR`` of the region's own floor, the tenth of its sorted darkness. Null where a side has no clear run near."""
     met = _met(items, pages)
     pad = _int(F.col("pw") * PAPER_PAD)
-    met = met.withColumns({"y0": F.greatest(F.lit(0), F.col("y")), "y1": F.least(F.col("ph"), F.col("y") + F.col("h")), "lx": F.greatest(F.lit(0), F.col("x") - pad), "rx": F.least(F.col("pw"), F.col("x") + F.col("w") + pad)})
-    steps = _item_steps(met, "y0", "y1", "lx", "rx")
+    met = met.withColumns({"c": F.greatest(F.lit(0), F.col("y")), "d": F.least(F.col("ph"), F.col("y") + F.col("h")), "lx": F.greatest(F.lit(0), F.col("x") - pad), "rx": F.least(F.col("pw"), F.col("x") + F.col("w") + pad)})
+    met = met.withColumns({"a": F.col("lx"), "b": F.col("rx")})
+    steps = _item_steps(met, pages)
     item = ["page_key", "item"]
     upto = F.sum(F.col("x1") - F.col("x0")).over(W.partitionBy(*item).orderBy("dark").rangeBetween(W.unboundedPreceding, 0))
     steps = steps.withColumn("upto", upto).join(met.select(*item, "lx", F.floor((F.col("rx") - F.col("lx")) / 10).alias("tenth")), item)
     floor = F.min(F.when(F.col("upto") > F.col("tenth"), F.col("dark"))).over(W.partitionBy(*item))
     bad = steps.withColumn("floor", floor).where(F.col("dark") > F.col("floor") + CLEAR).groupBy(*item).agg(F.array_sort(F.collect_list(F.struct((F.col("x0") - F.col("lx")).alias("a"), (F.col("x1") - 1 - F.col("lx")).alias("b")))).alias("bad"))
-    at = met.drop("strokes").join(bad, item, "left").withColumn("n", F.col("rx") - F.col("lx")).withColumn("free", _between(F.coalesce("bad", F.array().cast("array<struct<a:long,b:long>>")), F.col("n")))
+    at = met.join(bad, item, "left").withColumn("n", F.col("rx") - F.col("lx")).withColumn("free", _between(F.coalesce("bad", F.array().cast("array<struct<a:long,b:long>>")), F.col("n")))
     need = F.greatest(F.lit(2), _int(F.col("pw") * PAPER_RUN))
     el, er = F.col("x") - F.col("lx"), F.col("x") + F.col("w") - 1 - F.col("lx")
     held = lambda c: (c >= 0) & (c < F.col("n"))
@@ -296,9 +308,8 @@ def rule_rows(windows: DataFrame, pages: DataFrame, words: DataFrame) -> DataFra
     """
     key = ["page_key", "item"]
     met = _met(windows, pages).withColumns({"brk": F.greatest(F.lit(2), _int(F.col("pw") * RULE_BREAK)), "reach": F.greatest(F.lit(4), _int(F.col("pw") * RULE_REACH)), "wide": F.greatest(F.lit(1), F.col("x1") - F.col("x0"))})
-    inside = F.filter("strokes", lambda s: (s["x0"] < F.col("x1")) & (s["x1"] > F.col("x0")))
-    cut = F.transform(inside, lambda s: F.struct(_int(s["y"]).alias("y"), _int(F.greatest(s["x0"], F.col("x0"))).alias("s0"), _int(F.least(s["x1"], F.col("x1"))).alias("s1")))
-    parts = met.select(*key, F.col("x0").alias("a"), F.col("x1").alias("b"), "brk", "reach", "wide", "text_h", F.inline(cut))
+    met = met.select(*key, F.col("x0").alias("a"), F.col("x1").alias("b"), F.lit(0).alias("c"), F.col("ph").alias("d"), "brk", "reach", "wide", "text_h")
+    parts = _clipped(met, pages).join(met.drop("c", "d"), key)
     part = lambda lo, hi: F.sum(F.greatest(F.lit(0), F.least("s1", hi) - F.greatest("s0", lo)))
     line = W.partitionBy(*key, "y").orderBy("s0")
     gap = F.col("s0") - F.coalesce(F.lag("s1").over(line), F.col("a"))
@@ -324,10 +335,9 @@ def rule_between(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
     key, pad = ["page_key", "item"], 4 + ISOLATION
     met = _met(spans, pages).withColumns({"a": F.greatest(F.lit(0), F.col("ya") - pad), "n": F.col("yb") + pad}).withColumn("n", F.least(F.col("n"), F.col("ph")) - F.col("a"))
-    inside = F.filter("strokes", lambda s: (s["y"] >= F.col("a")) & (s["y"] < F.col("a") + F.col("n")) & (s["x0"] < F.col("x1")) & (s["x1"] > F.col("x0")))
-    cut = F.transform(inside, lambda s: F.struct(_int(s["y"] - F.col("a")).alias("r"), (F.least(s["x1"], F.col("x1")) - F.greatest(s["x0"], F.col("x0"))).alias("ink")))
-    parts = met.select(*key, F.greatest(F.lit(1), F.col("x1") - F.col("x0")).alias("wide"), F.inline(cut))
-    rows = parts.groupBy(*key, "r").agg((F.sum("ink") / F.first("wide")).alias("dark"))
+    parts = _clipped(met.select(*key, F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("a").alias("c"), (F.col("a") + F.col("n")).alias("d")), pages)
+    parts = parts.join(met.select(*key, F.greatest(F.lit(1), F.col("x1") - F.col("x0")).alias("wide")), key)
+    rows = parts.groupBy(*key, F.col("y").alias("r")).agg((F.sum(F.col("s1") - F.col("s0")) / F.first("wide")).alias("dark"))
     w = W.partitionBy(*key).orderBy("r")
     near = lambda lo, hi: F.coalesce(F.max("dark").over(w.rangeBetween(lo, hi)), F.lit(0.0))
     rows = rows.withColumns({"before": near(-ISOLATION, -1), "after": near(1, ISOLATION)}).where(F.col("dark") >= CANDIDATE).withColumn("run", F.col("r") - F.row_number().over(w))
