@@ -118,7 +118,8 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series(out)
 
     sizes = F.transform("tokens", lambda t: F.length(t))
-    return _scan_pages(spark, sf_dir).select("page_key", F.pandas_udf(draw, "binary")("doc_id", "page_key", sizes).alias("image"))
+    # By page, as files of images would be: a document's pages need not stay in its task.
+    return _scan_pages(spark, sf_dir).repartition("page_key").select("page_key", F.pandas_udf(draw, "binary")("doc_id", "page_key", sizes).alias("image"))
 
 
 SCAN_SQL = """
