@@ -230,9 +230,19 @@ def chosen_candidates(spark, sf_dir):
 _PHRASES = ("that", "with", "from")
 
 
-@query()
+def _phrases_sql() -> str:
+    """One step a phrase: its hits that no phrase before took, by whole decades until the cap is reached."""
+    steps = ["d as (select doc_id, doc_id % 8 as decade, lower(coalesce(text, '')) as t from documents)"]
+    for k, phrase in enumerate(_PHRASES):
+        left = "".join(f" and doc_id not in (select doc_id from t{j})" for j in range(k))
+        steps.append(f"h{k} as (select * from d where contains(t, '{phrase}'){left})")
+        steps.append(f"k{k} as (select decade from (select decade, coalesce(sum(count(*)) over (order by decade rows between unbounded preceding and 1 preceding), 0) as b from h{k} group by decade) where b < 200)")
+        steps.append(f"t{k} as (select doc_id, '{phrase}' as phrase, decade from h{k} semi join k{k} using (decade))")
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select * from t{k}" for k in range(len(_PHRASES)))
+
+
+@query(_phrases_sql())
 def phrase_candidates(spark, sf_dir):
-    """No SQL: what a phrase's cap leaves out stays open to the next phrase; tests hold it against a loop."""
     docs = table(spark, sf_dir, "documents")
     found = F.filter(F.array(*map(F.lit, _PHRASES)), lambda p: F.contains(F.lower(F.coalesce("text", F.lit(""))), p))
     hits = docs.select("doc_id", (F.col("doc_id") % 8).alias("decade"), F.col("doc_id").alias("rank"), F.explode(found).alias("phrase"))

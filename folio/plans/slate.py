@@ -310,13 +310,22 @@ def crop_rate_by_decade(spark, sf_dir):
     return out.select(F.coalesce("d", F.lit("all")).alias("decade"), "pages", "pages_hit", "crops", "crops_hit", "rate")
 
 
-@query()
+def _folded_sql(tenths: int) -> str:
+    """Words by page in order, and the rows that a fold over them makes: the state is the row's first word and the rows so far."""
+    state = "{'y': v.y, 'h': v.h, 'rows': [0::bigint]}"
+    far = f"abs(b.y - a.y) * 10 > {tenths} * greatest(a.h, b.h)"
+    return f"""ord as (select page_key, list({{'wid': wid, 'x': x, 'y': y, 'h': h, 't': t}} order by y, x, wid) as ws from word group by 1),
+fold as (select page_key, ws, list_reduce(list_transform(ws, lambda v: {state}), lambda a, b: case when {far}
+  then {{'y': b.y, 'h': b.h, 'rows': list_append(a.rows, a.rows[len(a.rows)] + 1)}} else {{'y': a.y, 'h': a.h, 'rows': list_append(a.rows, a.rows[len(a.rows)])}} end) as f from ord),
+folded as (select page_key, unnest(ws, recursive := false) as v, unnest(f.rows) as row_id from fold)"""
+
+
+@query(f"with {WORDS_SQL}, {_folded_sql(6)} select page_key, v.wid as wid, row_id from folded")
 def rows_anchor(spark, sf_dir):
-    """No SQL: a fold over every word of a page is a recursion a word long; tests hold it against brute force."""
     return layout.rows_anchor(words(spark, sf_dir))
 
 
-@query()
+@query(f"with {WORDS_SQL}, {_folded_sql(5)} select page_key, string_agg(v.t, ' ' order by row_id, v.x, v.wid) as text from folded group by 1")
 def reading_text(spark, sf_dir):
     rows = words(spark, sf_dir)
     return layout.reading_text(rows, layout.rows_anchor(rows, 5))
