@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import borders, strokes
+from folio.operators import borders, pieces, strokes
 from folio.plans.slate import query
 from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans, scratch, table
 from folio.sources.images import ink_pages
@@ -112,3 +112,10 @@ def decision_state(spark, sf_dir):
     running = state.follow(log, f"{at}/state", f"{at}/checkpoint")
     running.awaitTermination()
     return state.state(spark, f"{at}/state").select("key", "decision", F.col("offset").alias("last"))
+
+
+@query()
+def scan_pieces(spark, sf_dir):
+    """Every line of the scans, cut where its page's gutters are clear on its rows."""
+    words = scan_words(spark, sf_dir).withColumn("segment", F.floor(F.col("wid") / 8))
+    return pieces.gutter_pieces(words, _pages(spark, sf_dir))
