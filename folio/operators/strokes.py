@@ -139,12 +139,24 @@ def _met(items: DataFrame, pages: DataFrame) -> DataFrame:
 def _clipped(windows: DataFrame, pages: DataFrame) -> DataFrame:
     """window(page_key, item, a, b, c, d) to (page_key, item, y, s0, s1): the strokes on columns [a, b) and rows [c, d), cut to them.
 
-    A page's windows meet its strokes in one row, so the strokes are not copied for each of them."""
-    held = windows.groupBy("page_key").agg(F.collect_list(F.struct("item", *[_int(F.col(c)).alias(c) for c in "abcd"])).alias("windows"))
-    inside = lambda s, v: (s["y"] >= v["c"]) & (s["y"] < v["d"]) & (s["x0"] < v["b"]) & (s["x1"] > v["a"])
-    cut = lambda s, v: F.struct(v["item"].alias("item"), _int(s["y"]).alias("y"), F.greatest(_int(s["x0"]), v["a"]).alias("s0"), F.least(_int(s["x1"]), v["b"]).alias("s1"))
-    parts = F.transform("windows", lambda v: F.transform(F.filter("strokes", lambda s: inside(s, v)), lambda s: cut(s, v)))
-    return pages.where("w is not null").select("page_key", "strokes").join(held, "page_key").select("page_key", F.explode(parts).alias("parts")).select("page_key", F.inline("parts"))
+    A page's windows meet its strokes in one row; as strokes are in order of y, a window looks at those of its rows alone."""
+    held = windows.where("a is not null and b is not null and c < d").groupBy("page_key").agg(F.collect_list(F.struct(*[_int(F.col(c)).alias(c) for c in ("item", *"abcd")])).alias("windows"))
+    rows = pages.where("w is not null").select("page_key", "strokes").join(held, "page_key").select("page_key", "strokes", "windows")
+    schema = pa.schema([(c, pa.int64()) for c in ("page_key", "item", "y", "s0", "s1")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                y, x0, x1 = (f.to_numpy(zero_copy_only=False) for f in batch.column(1)[k].values.flatten())
+                parts = []
+                for v in batch.column(2)[k].as_py():
+                    lo, hi = np.searchsorted(y, (v["c"], v["d"]))
+                    at = lo + np.flatnonzero((x0[lo:hi] < v["b"]) & (x1[lo:hi] > v["a"]))
+                    parts.append((np.full(len(at), v["item"]), y[at], np.maximum(x0[at], v["a"]), np.minimum(x1[at], v["b"])))
+                items, *rest = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), batch.column(0)[k].as_py())), pa.array(items), *map(pa.array, rest)], schema=schema)
+
+    return rows.mapInArrow(run, "page_key long, item long, y long, s0 long, s1 long")
 
 
 def _between(bad: Column, n: Column) -> Column:
