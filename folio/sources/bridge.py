@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the folder that driver and executors share; a temporary one in local mode where none is set."""
+    """A new folder's path in the folder that driver and executors share; a temporary one in local mode where none is set. It goes when the program ends."""
     import atexit
     import shutil
     import tempfile
@@ -31,7 +31,17 @@ def scratch(spark: SparkSession) -> str:
         local = tempfile.mkdtemp(prefix="folio-state-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         shared = f"file://{local}"
-    return f"{shared.rstrip('/')}/folio-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/folio-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended
+        pass
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
