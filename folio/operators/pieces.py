@@ -40,7 +40,7 @@ def _singles(pieces: list[int]) -> bool:
     return any(pieces.count(p) < 2 for p in set(pieces))
 
 
-def _tiered(words: list[dict]) -> bool:
+def tiered(words: list[dict]) -> bool:
     """Whether word gaps alone make it several pieces with a real word."""
     pieces, real = [0] if words else [], set()
     for a, b in zip(words, words[1:]):
@@ -51,7 +51,7 @@ def _tiered(words: list[dict]) -> bool:
     return len(real) > 1
 
 
-def _judged(words: list[dict], down: np.ndarray, sides: list[tuple[int, int]]) -> tuple[int, int, list[int], list[int], bool]:
+def judged(words: list[dict], down: np.ndarray, sides: list[tuple[int, int]]) -> tuple[int, int, list[int], list[int], bool]:
     """(gutters inside, of them straddled, piece of each word, piece once splits to single words are refused, tier) of a segment."""
     height = len(down) - 1
     top = min(max(0, min(v["y"] for v in words)), height)
@@ -68,7 +68,7 @@ def _judged(words: list[dict], down: np.ndarray, sides: list[tuple[int, int]]) -
         kept = _ruled(words, dark)
     if len(set(kept)) < 2 or _singles(kept):
         kept = whole
-    tier = _tiered(words) or len(set(pieces)) > 1 and not _singles(pieces)
+    tier = tiered(words) or len(set(pieces)) > 1 and not _singles(pieces)
     return len(inside), straddled, pieces, kept, tier
 
 
@@ -95,7 +95,7 @@ def gutter_pieces(words: DataFrame, pages: DataFrame) -> DataFrame:
                 down = np.pad(np.cumsum(page_of(row, w.as_py(), h.as_py()), axis=0, dtype=np.int32), ((1, 0), (0, 0))) if known else np.zeros((2, 1), np.int32)
                 places, out = [(g["x0"], g["x1"]) for g in sides.as_py() or []], []
                 for s in segments.as_py():
-                    inside, straddled, pieces, kept, tier = _judged(s["words"], down, places)
+                    inside, straddled, pieces, kept, tier = judged(s["words"], down, places)
                     out += [(key.as_py(), s["segment"], v["wid"], inside, straddled, p, q, tier) for v, p, q in zip(s["words"], pieces, kept)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 

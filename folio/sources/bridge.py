@@ -36,6 +36,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Rows worked out once, to a table of the shared folder that is read as often as needed."""
+    at = scratch(rows.sparkSession)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -146,3 +153,44 @@ st as (select page_key, y + k as y, x as x0, x + w as x1 from sw, (select unnest
        union all select page_key, k, 82, 165 from ln, (select unnest([28, 84]) as k) where frame
        union all select page_key, k, x, x + 1 from ln, (select unnest(range(29, 84)) as k), (select unnest([82, 164]) as x) where frame)
 """
+
+
+# A sheet: the same pages set as headlines, decks and body. Its width, a row's height, a word's place, and heights of type by a row's number.
+SHEET_W, PITCH, PLACE, SIZES = 330, 24, 34, (20, 20, 12, 12, 6, 6, 6, 18, 12, 14, 6, 6, 6, 18, 24, 6, 6, 6, 6)
+
+
+def sheet_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word(page_key, wid, t, x, y, w, h, size): the scans' words, rows of type of several sizes, by the row's number and the page's; one row in four is set in two parts, far apart."""
+    i, line = F.col("wid"), F.floor(F.col("wid") / ACROSS)
+    size = F.element_at(F.array(*map(F.lit, SIZES)), ((line + F.col("page_key")) % len(SIZES) + 1).cast("int"))
+    rows = _scan_pages(spark, sf_dir).select("page_key", F.posexplode("tokens").alias("wid", "t")).withColumn("size", size.cast("long"))
+    return rows.select(
+        "page_key", i.cast("long").alias("wid"), "t", (PLACE * (i % ACROSS) + 5 * (line % 3) + 4 + F.when((line % 4 == 1) & (i % ACROSS >= 4), 26).otherwise(0)).cast("long").alias("x"), (PITCH * line + (F.col("page_key") + 13 * i) % 3).cast("long").alias("y"),
+        (22 + F.length("t") % 9).cast("long").alias("w"), (F.col("size") + i % 2).cast("long").alias("h"), "size",
+    )
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_key, image): the sheets drawn, a line a row of words: each word a box, and a rule across beneath every ninth row."""
+    import pandas as pd
+
+    from folio.sources.images import pgm
+
+    def draw(pages):
+        out = []
+        for words in pages:
+            grey = np.full((max(v["y"] + v["h"] for v in words) + 4, SHEET_W), BLANK, np.uint8)
+            for v in words:
+                grey[v["y"] : v["y"] + v["h"], v["x"] : v["x"] + v["w"]] = BLACK
+            grey[9 * PITCH - 1 :: 9 * PITCH, 2 : SHEET_W - 2] = BLACK
+            out.append(pgm(grey))
+        return pd.Series(out)
+
+    rows = sheet_words(spark, sf_dir).groupBy("page_key").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("words"))
+    return rows.select("page_key", F.pandas_udf(draw, "binary")("words").alias("image"))
+
+
+SHEET_SQL = f"""{SCAN_SQL.rstrip()},
+dw as (select page_key, wid, t, size, 34 * (wid % 8) + 5 * ((wid // 8) % 3) + 4 + case when (wid // 8) % 4 = 1 and wid % 8 >= 4 then 26 else 0 end as x, 24 * (wid // 8) + (page_key + 13 * wid) % 3 as y, 22 + length(t) % 9 as w, size + wid % 2 as h
+       from (select *, ([20, 20, 12, 12, 6, 6, 6, 18, 12, 14, 6, 6, 6, 18, 24, 6, 6, 6, 6])[(wid // 8 + page_key) % 19 + 1] as size from (select page_key, unnest(l) as t, unnest(range(len(l))) as wid from pg)))
+"""
