@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import borders, pieces, strokes
+from folio.operators import bands, borders, pieces, strokes
 from folio.plans.slate import query
-from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans, scratch, table
+from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans, scratch, table, written
 from folio.sources.images import ink_pages
 from folio.streaming import state
 
@@ -122,3 +122,49 @@ def scan_pieces(spark, sf_dir):
     """Every line of the scans, cut where its page's gutters are clear on its rows."""
     words = scan_words(spark, sf_dir).withColumn("segment", F.floor(F.col("wid") / 8))
     return pieces.gutter_pieces(words, _pages(spark, sf_dir))
+
+
+_TOP_SQL = f"""{SCAN_SQL.rstrip()},
+tp as (select page_key, doc_id, ph, round_even(ph * 0.22, 0)::bigint as n, greatest(4, round_even(ph * 0.004, 0)::bigint) as stride, greatest(3, round_even(ph * 0.004, 0)::bigint) as gap, greatest(2, round_even(ph * 0.002, 0)::bigint) as edge, greatest(4, round_even(ph * 0.009, 0)::bigint) as tall from pg),
+sc as (select page_key, n, stride, y, x0, x1 from st join tp using (page_key) where y < n),
+cd as (select page_key, n, c, count(*) as k from (select page_key, n, unnest(range(x0, x1)) as c from sc) group by 1, 2, 3),
+fc as (select page_key, case when count(*) > 165 then [] else list(c) end as film from cd where k / n >= 0.55 group by 1),
+ov as (select a.page_key, a.y, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) - len(list_filter(coalesce(film, []), lambda c: c >= greatest(a.x0, b.x0) and c < least(a.x1, b.x1)))) as k
+       from sc a join sc b on a.page_key = b.page_key and b.y = least(a.n - 1, a.y + a.stride) and a.x0 < b.x1 and a.x1 > b.x0 left join fc on fc.page_key = a.page_key group by 1, 2),
+rw as (select page_key, y, coalesce(k, 0)::double / (330 - len(coalesce(film, []))) as share from (select page_key, unnest(range(n)) as y from tp) left join ov using (page_key, y) left join fc using (page_key)),
+lm as (select page_key, count(*) as n, list_sort(list(share))[count(*) // 10 + 1] + 0.005::double as lim from rw group by 1),
+bd as (select page_key, k as item, 14 * k + 3 + doc_id % 11 as band, greatest(0, 14 * k - 9 + doc_id % 5) as cluster, ph, lm.n, lim, stride, gap, edge, tall from tp join lm using (page_key), (select unnest(range(12)) as k))
+"""
+
+
+def _bands(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Twelve bands of each page, from row to row of its words, with the rows of the page's top."""
+    pages = _pages(spark, sf_dir)
+    doc, k = F.floor(F.col("page_key") / 100_000), F.col("item")
+    asked = pages.select("page_key", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("item"))
+    asked = asked.select("page_key", k.cast("long").alias("item"), (14 * k + 3 + doc % 11).alias("band"), F.greatest(F.lit(0), 14 * k - 9 + doc % 5).alias("cluster"))
+    return asked, written(bands.crossings(pages)), pages
+
+
+@query(f"""with {_TOP_SQL}, q as (select *, greatest(0, least(band, n)) as b, greatest(0, greatest(0, least(band, n)) - stride) as probe from bd),
+me as (select page_key, item, b, n, lim, gap, edge, stride, probe, cluster, y, share, share <= lim as clear, y >= probe as below, y >= probe - edge and y < probe as win from q join rw using (page_key)),
+rn as (select *, y - row_number() over (partition by page_key, item, below, clear order by y) as run, min(case when y >= probe and share <= lim then y end) over (partition by page_key, item) as paper,
+  bool_or(win and share > 0.08) over (partition by page_key, item) and not bool_or(y >= cluster and y < probe and clear) over (partition by page_key, item) as through from me),
+lg as (select *, row_number() over (partition by page_key, item, below, clear, run order by y) as long from rn),
+fo as (select page_key, item, any_value(b) as b, any_value(n) as n, any_value(gap) as gap, any_value(stride) as stride, any_value(lim) as lim, max(case when win then share end) as darkest, min(case when below and clear and long >= gap then y end) as met,
+  min(case when below and share > 0.08 and (not through or y > coalesce(paper, n)) then y end) as large from lg group by 1, 2),
+re as (select *, case when b = 0 then 'none' when darkest is null or darkest <= lim then 'clear' when large is not null and (met is null or large <= met) then 'big' when met is null then 'none' else 'walked' end as stop from fo)
+select page_key, item, case stop when 'clear' then b when 'walked' then least(re.n, met - re.gap + 1 + re.stride) end as "end", coalesce(stop, 'none') as stop, case when stop = 'clear' then (re.lim - darkest) / 0.005 end as ratio from bd left join re using (page_key, item)""")
+def band_ends(spark, sf_dir):
+    return bands.ink_bottoms(*_bands(spark, sf_dir))
+
+
+@query(f"""with {_TOP_SQL}, m0 as (select page_key, item, band, n, lim, gap, tall, y, share, least(n, band) as last, coalesce(min(case when share <= 0.8 then y end) over w, least(n, band)) as film from bd join rw using (page_key) where y < band window w as (partition by page_key, item)),
+m1 as (select *, case when film > 0 then last else least(last, 3 * gap) end as bound, min(case when y >= film and share <= 0.08 then y end) over (partition by page_key, item) as paper from m0),
+m2 as (select *, y - lag(y) over (partition by page_key, item order by y) > gap as fresh from m1 where y >= greatest(film, least(coalesce(paper, bound), bound)) and share > lim),
+m3 as (select *, sum(case when fresh then 1 else 0 end) over (partition by page_key, item order by y) as body from m2),
+m4 as (select page_key, item, body from m3 group by 1, 2, 3 having count(*) >= any_value(tall) and count(*) filter (share > 0.08) >= 3 and count(*) filter (share <= 0.8) > count(*) // 2)
+select page_key, item, count(body) as bodies from bd left join m4 using (page_key, item) group by 1, 2""")
+def band_bodies(spark, sf_dir):
+    asked, rows, pages = _bands(spark, sf_dir)
+    return bands.large_objects(asked.withColumnRenamed("band", "upto"), rows, pages)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import items
+from folio.operators import bands, items, pages
 from folio.plans.slate import query
 from folio.sources.bridge import SHEET_SQL, sheet_words, sheets, written
 from folio.sources.images import ink_pages
@@ -82,3 +82,10 @@ def sheet_headlines(spark, sf_dir):
 @query()
 def sheet_ads(spark, sf_dir):
     return items.lane_items(sheet_words(spark, sf_dir), _pages(spark, sf_dir), "ad")
+
+
+@query()
+def sheet_names(spark, sf_dir):
+    """The band of each sheet's name, moved to where its ink ends."""
+    words = sheet_words(spark, sf_dir)
+    return bands.refine(written(pages.nameplates(words).select("page_key", "h")), _pages(spark, sf_dir), words)
