@@ -19,7 +19,7 @@ ROUNDS, BOTTOMS, INK, PICTURE, TALL, STACK = 20, 30, 0.04, 15, 1.6, 1.5
 RECT = ["x0", "y0", "x1", "y1"]
 
 
-def _uncut(rect: list[float], words: np.ndarray, least: float, most: float | None) -> tuple[list[float], int, bool]:
+def _uncut(rect: list[float], words: list[list[float]], least: float, most: float | None) -> tuple[list[float], int, bool]:
     """(rectangle, rounds, settled); words as rows of x, y, right, under, in the page's order, each seen with the edges as the last has left them."""
     x0, y0, x1, y1 = rect
     fits = lambda under: most is None or under + 1 <= most
@@ -58,7 +58,7 @@ def uncut(rects: DataFrame, words: DataFrame) -> DataFrame:
             for key, rs, ws in zip(*(b.column(c).to_pylist() for c in ("page_key", "rects", "words"))):
                 boxes = np.array([[w["x"], w["y"], w["right"], w["under"], w["h"]] for w in ws or []]).reshape(-1, 5)
                 for r in rs:
-                    rect, n, settled = _uncut([r[c] for c in RECT], boxes[boxes[:, 4] > r["least"], :4], r["least"], r["most"])
+                    rect, n, settled = _uncut([r[c] for c in RECT], boxes[boxes[:, 4] > r["least"], :4].tolist(), r["least"], r["most"])
                     out.append((key, r["item"], *rect, n, settled))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 

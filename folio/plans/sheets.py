@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import bands, items, pages
+from folio.operators import bands, items, pages, settling
 from folio.plans.slate import query
-from folio.sources.bridge import SHEET_SQL, sheet_words, sheets, written
+from folio.sources.bridge import SHEET_SQL, SHEET_W, sheet_words, sheets, written
 from folio.sources.images import ink_pages
 
 
@@ -89,3 +89,34 @@ def sheet_names(spark, sf_dir):
     """The band of each sheet's name, moved to where its ink ends."""
     words = sheet_words(spark, sf_dir)
     return bands.refine(written(pages.nameplates(words).select("page_key", "h")), _pages(spark, sf_dir), words)
+
+
+_WORD = "struct_pack(x0 := {0}, y0 := {1}, x1 := {2}, y1 := {3})"
+_PAST = _WORD.format("case when w.x0 < s.x0 and s.x0 < w.x1 then w.x0 else s.x0 end", "case when w.y0 < s.y0 and s.y0 < w.y1 then w.y1 + 1 else s.y0 end", "case when w.x0 < s.x1 and s.x1 < w.x1 then w.x1 else s.x1 end",
+    "case when w.y0 < s.y1 and s.y1 < w.y1 then case when w.y1 + 1 <= most then w.y1 + 1 else w.y0 - 1 end else s.y1 end")
+_UNDER = _WORD.format("s.x0", "s.y0", "s.x1", "w.y1 + 1")
+
+
+@query(f"""with recursive {SHEET_SQL}, pw as (select page_key, list({_WORD.format('x::double', 'y::double', '(x + w)::double', '(y + h)::double')} order by y, x, w, h) as ws from dw where h > 13 group by 1),
+rc as (select page_key, k as item, 30 + 9 * k as x, 10 + 45 * k as y, 90 + 13 * k as deep from pg, (select unnest(range(12)) as k)),
+walk(page_key, item, r, most, n, settled) as (select page_key, item, {_WORD.format('x::double', 'y::double', '(x + 150)::double', '(y + deep)::double')}, y + deep + 60.0::double, 0::bigint, false from rc
+  union all select page_key, item, q, most, n + 1, q = r from (select *, list_reduce(list_prepend(p, coalesce(ws, [])), lambda s, w: case when w.x1 > s.x0 and w.x0 < s.x1 and s.y1 <= w.y0 and w.y0 <= s.y1 + 13 and w.y1 + 1 <= most then {_UNDER} else s end) as q
+    from (select walk.*, ws, list_reduce(list_prepend(r, coalesce(ws, [])), lambda s, w: case when w.x1 <= s.x0 or w.x0 >= s.x1 or w.y1 <= s.y0 or w.y0 >= s.y1 then s else {_PAST} end) as p from walk left join pw using (page_key) where not settled and n < 20)))
+select page_key, item, r.x0 as x0, r.y0 as y0, r.x1 as x1, r.y1 as y1, n as rounds, settled from walk where settled or n = 20""")
+def uncut_boxes(spark, sf_dir):
+    """Twelve boxes a sheet, their edges moved out of its display type."""
+    words = sheet_words(spark, sf_dir)
+    k = F.col("item")
+    rects = words.select("page_key").distinct().withColumn("item", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"x0": 30 + 9 * k, "y0": 10 + 45 * k})
+    rects = rects.withColumns({"x1": F.col("x0") + 150, "y1": F.col("y0") + 90 + 13 * k, "least": F.lit(13)}).withColumn("most", F.col("y1") + 60)
+    return settling.uncut(rects, words)
+
+
+@query()
+def sheet_bottoms(spark, sf_dir):
+    """Twelve bottoms a sheet, moved out of its lines of ink in three strips."""
+    found = _pages(spark, sf_dir)
+    y1 = 40 + 41 * F.col("item")
+    rects = found.select("page_key", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("item"))
+    rects = rects.withColumns({"x0": F.lit(0), "x1": F.lit(SHEET_W), "y1": y1, "text_h": F.lit(7.0), "cap": y1 + 60, "strip": F.lit(SHEET_W // 3)})
+    return settling.settle_bottoms(rects, found)
