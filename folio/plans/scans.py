@@ -8,21 +8,18 @@ from pyspark.sql import functions as F
 from folio.operators import bands, borders, pieces, strokes
 from folio.plans.slate import query
 from folio.sources.bridge import COLUMN, SCAN_SQL, scan_words, scans, scratch, table, written
-from folio.sources.images import ink_pages
 from folio.streaming import state
 
 
 def _pages(spark, sf_dir) -> DataFrame:
     """Decoded once, to a table that the query reads as often as it needs, and only the columns that it needs."""
-    found, at = ink_pages(scans(spark, sf_dir), None), scratch(spark)
-    found.write.parquet(at)
-    return spark.read.schema(found.schema).parquet(at)
+    return written(scans(spark, sf_dir))
 
 
 @query(f"""with {SCAN_SQL} select page_key, any_value(pw) as w, any_value(ph) as h, count(*) as strokes, sum(x1 - x0)::bigint as ink from st join pg using (page_key) group by 1""")
 def scan_strokes(spark, sf_dir):
     size = F.aggregate("strokes", F.lit(0).cast("long"), lambda n, s: n + s["x1"] - s["x0"])
-    return ink_pages(scans(spark, sf_dir), None).select("page_key", "w", "h", F.size("strokes").cast("long").alias("strokes"), size.alias("ink"))
+    return scans(spark, sf_dir).select("page_key", "w", "h", F.size("strokes").cast("long").alias("strokes"), size.alias("ink"))
 
 
 @query(f"""with {SCAN_SQL}, px as (select page_key, x0 + k as c, count(*) as n from st, (select unnest(range(330)) as k) where y % 2 = 0 and k < x1 - x0 group by 1, 2),

@@ -332,3 +332,44 @@ def test_rule_between(spark):
     spans = spark.createDataFrame([(0, 0, 0, 1000, 558, 571), (1, 0, 0, 1000, 684, 692), (2, 0, 0, 1000, 100, 120), (3, 0, 0, 1000, 96, 104), (3, 1, 0, 1000, 300, 310)], "page_key long, item int, x0 int, x1 int, ya int, yb int")
     got = {(r["page_key"], r["item"]): r["rule"] for r in S.rule_between(spans, frame).collect()}
     assert got == {(0, 0): False, (1, 0): True, (2, 0): False, (3, 0): True, (3, 1): False}
+
+
+def test_no_batch_holds_many_pages():
+    ink = np.full((704, 330), 210, np.uint8)
+    ink[::2, ::4] = 40
+    many = ((k, I.pgm(ink) if k % 50 else None) for k in range(200))
+    found = list(I.inked(many, None))
+    assert max(len(b.column(4).flatten()) for b in found) <= I.BATCH + 704 * 330 // 8 + 704
+    assert [k for b in found for k in b.column(0).to_pylist()] == list(range(200))
+    assert [v is None for b in found for v in b.column(4).to_pylist()] == [k % 50 == 0 for k in range(200)]
+
+
+def test_images_are_made_one_at_a_time():
+    """Ten thousand rows in a batch, whose images would be over 2 GB: none is made before the strokes of those before have gone."""
+    ahead = []
+
+    def draw(batches):
+        for k in range(10_000):
+            ahead.append(k)
+            yield k, I.pgm(np.full((704, 330), 210 if k % 4 else 40, np.uint8))
+
+    pages = I.inked(draw(None), None)
+    next(pages)
+    assert len(ahead) <= I.BATCH // 100
+
+
+def test_written_pages_lie_in_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from folio.sources.bridge import GROUP, written
+
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(0, 1 << 30, (4000, 3)).tolist()) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_key long, s array<array<int>>").coalesce(1)
+    found = written(pages)
+    assert found.count() == 300
+    (file,) = glob.glob(found.inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 1 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 3 * GROUP
