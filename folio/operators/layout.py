@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,18 @@ def whole_pages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def page_slices(t: pa.Table, *keys: str) -> list[tuple[int, int]]:
+    """The first row and the end of each page, or of each value of more keys, in rows in their order; nulls are one page."""
+    if not t.num_rows:
+        return []
+    new = np.zeros(t.num_rows - 1, bool)
+    for k in keys or (t.column_names[0],):
+        v = pc.fill_null(t.column(k), np.iinfo(np.int64).min).to_numpy()
+        new |= v[1:] != v[:-1]
+    at = np.flatnonzero(new) + 1
+    return list(zip([0, *at.tolist()], [*at.tolist(), t.num_rows]))
+
+
 def rows_anchor(words: DataFrame, tenths: int = 6) -> DataFrame:
     """word to (page_key, wid, row_id): a word joins the row while it is within tolerance of the row's *first* word.
 

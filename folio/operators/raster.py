@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators.layout import by_page, islands, whole_pages
+from folio.operators.layout import by_page, islands, page_slices, whole_pages
 
 
 #: Grid cells that a task spreads out at once.
@@ -99,28 +98,46 @@ def vrules(cells: DataFrame, height: int, least: float, edge: float = 0.55) -> D
     return merged.groupBy("page_key", "island").agg(F.floor(F.avg("c")).alias("x"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("island")
 
 
+def _labels(number: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of cells in order of page, row and column, without repeats: the first cell's place in each one's component."""
+    wide, high = int(c.max() - c.min()) + 2, int(r.max() - r.min()) + 2
+    at = (number * high + r - r.min()) * wide + c - c.min()
+    below = np.searchsorted(at, at + wide)
+    met = np.flatnonzero(at[np.minimum(below, len(at) - 1)] == at + wide)
+    beside = np.flatnonzero(np.diff(at) == 1)
+    p, q = np.concatenate((beside, met)), np.concatenate((beside + 1, below[met]))
+    root = np.arange(len(at))
+    while True:  # the larger of two roots that touch hangs below the smaller; then every cell is led to its root
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return root
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def components(cells: DataFrame) -> DataFrame:
     """(page_key, r, c, component): inked cells joined over their four sides; a component's number is its first cell's r * 10000 + c.
 
-    A grouped map: a page's grid bounds the group, and labels spread over any distance within it.
+    Pages stream through a task, many at once; labels spread over any distance within a page.
     """
+    schema = pa.schema([(k, pa.int64()) for k in ("page_key", "r", "c", "component")])
 
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(page["r"].tolist(), page["c"].tolist()))
-        out = []
-        for cell in sorted(left):
-            if cell not in left:
-                continue
-            left.discard(cell)
-            reach = [cell]
-            for r, c in reach:
-                near = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & left
-                left -= near
-                reach.extend(near)
-            out += [(r, c, cell[0] * 10000 + cell[1]) for r, c in reach]
-        return pd.DataFrame(out, columns=["r", "c", "component"]).assign(page_key=page["page_key"].iloc[0])[["page_key", "r", "c", "component"]]
-
-    return cells.where("ink = 1").select("page_key", "r", "c").groupBy("page_key").applyInPandas(label, "page_key long, r long, c long, component long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_pages(batches, 200_000):
+            number = np.concatenate([np.full(b - a, k) for k, (a, b) in enumerate(page_slices(t))])
+            r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
+            order = np.lexsort((c, r, number))
+            number, r, c = number[order], r[order], c[order]
+            first = np.append(True, (np.diff(number) != 0) | (np.diff(r) != 0) | (np.diff(c) != 0))
+            order, number, r, c = order[first], number[first], r[first], c[first]
+            root = _labels(number, r, c)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().take(pa.array(order)), *map(pa.array, (r, c, r[root] * 10000 + c[root]))], schema=schema)
+
+    rows = cells.where("ink = 1").select(*[F.col(k).cast("long").alias(k) for k in ("page_key", "r", "c")])
+    return by_page(rows, []).mapInArrow(run, "page_key long, r long, c long, component long")
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
