@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,29 +26,42 @@ def deck_boxes(words: DataFrame, seeds: DataFrame, least: float = DECK_LEAST, ho
 
     A hop takes the words of sufficient height that begin within 1.5 headline heights and overlap the
     headline in x; one that finds none ends the chain. A null box is empty or deeper than 35 % of the page; a page without
-    words has no row. A grouped map by page, whose words are sorted once and searched for each hop.
+    words has no row. Pages stream through a task, words before seeds and in order of y, and are searched for each hop.
     """
-
-    def fold(ws: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
-        ws = ws.sort_values("y")
-        x, y, h = (ws[c].to_numpy() for c in "xyh")
-        right, under = x + ws["w"].to_numpy(), y + h
-        ends = []
-        for x0, x1, y0, y1 in ss[["x0", "x1", "y0", "y1"]].itertuples(index=False):
-            cur, high = y1, y1 - y0
-            for _ in range(hops):
-                a, b = np.searchsorted(y, [cur, cur + DECK_GAP * high], side="right")
-                met = (right[a:b] > x0) & (x[a:b] < x1) & (h[a:b] >= least * high)
-                if not met.any():
-                    break
-                cur = under[a:b][met].max()
-            ends.append(cur)
-        out = ss.assign(end=ends, pw=right.max(initial=0), ph=under.max(initial=0))
-        return out if len(ws) else out.iloc[:0]
-
-    boxes = seeds.select("page_key", "seed", "x0", "x1", "y0", "y1")
-    kind = "page_key long, seed long, x0 long, x1 long, y0 long, y1 long, end long, pw long, ph long"
-    rows = words.select("page_key", "x", "y", "w", "h").groupBy("page_key").cogroup(boxes.groupBy("page_key")).applyInPandas(fold, kind)
+    names = ("page_key", "seed", "x0", "x1", "y0", "y1", "end", "pw", "ph")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in layout.whole_pages(batches, 100_000):
+            is_seed, left, top, wide, high_ = (t.column(c).to_numpy() for c in ("is_seed", "x", "y", "w", "h"))
+            at, out = [], []
+            for i, j in layout.page_slices(t):
+                k = i + int(np.searchsorted(is_seed[i:j], 1))
+                if k in (i, j):
+                    continue
+                x, y, h = left[i:k], top[i:k], high_[i:k]
+                right, under = x + wide[i:k], y + h
+                pw, ph = max(0, int(right.max())), max(0, int(under.max()))
+                for n in range(k, j):
+                    x0, x1, y0, y1 = int(left[n]), int(wide[n]), int(top[n]), int(high_[n])
+                    cur, high = y1, y1 - y0
+                    for _ in range(hops):
+                        a, b = np.searchsorted(y, [cur, cur + DECK_GAP * high], side="right")
+                        met = (right[a:b] > x0) & (x[a:b] < x1) & (h[a:b] >= least * high)
+                        if not met.any():
+                            break
+                        cur = int(under[a:b][met].max())
+                    at.append(n)
+                    out.append((x0, x1, y0, y1, cur, pw, ph))
+            if at:
+                chosen = pa.array(at)
+                yield pa.RecordBatch.from_arrays([*[t.column(c).combine_chunks().take(chosen) for c in ("page_key", "seed")], *[pa.array(c, pa.int64()) for c in zip(*out)]], schema=schema)
+
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    none = F.lit(None).cast("long").alias("seed")
+    both = words.select(long("page_key", "page_key"), F.lit(0).alias("is_seed"), none, *[long(c, c) for c in "xywh"])
+    both = both.unionByName(seeds.select(long("page_key", "page_key"), F.lit(1).alias("is_seed"), long("seed", "seed"), long("x0", "x"), long("y0", "y"), long("x1", "w"), long("y1", "h")))
+    rows = layout.by_page(both, ["is_seed", "y"]).mapInArrow(fold, ", ".join(f"{c} long" for c in names))
     pad, high = F.col("pw") * DECK_SIDE, F.col("y1") - F.col("y0")
     a, b = F.greatest(F.lit(0), (F.col("x0") - pad).cast("long")), F.least("pw", (F.col("x1") + pad).cast("long"))
     c, d = F.greatest(F.lit(0), (F.col("y0") - DECK_PAD * high).cast("long")), F.least("ph", (F.col("end") + DECK_PAD * high).cast("long"))
@@ -131,25 +146,39 @@ def _cut(cells: np.ndarray, axis: int) -> list[np.ndarray]:
 def split_at_necks(labels: DataFrame) -> DataFrame:
     """(page_key, r, c, component) to the same with ``piece``, cut until no piece has a neck; cells of necks go.
 
-    A grouped map by component, which a page's grid bounds: where a piece is cut depends on the cuts before.
+    Pages stream through a task; where a piece is cut depends on the cuts before. A component within three lines both ways has no neck.
     """
-
-    def pieces(part: pd.DataFrame) -> pd.DataFrame:
-        left, done = [part[["r", "c"]].to_numpy(np.int64)], []
-        while left:
-            cells = left.pop()
-            parts = _cut(cells, 1)
-            if len(parts) == 1:
-                parts = _cut(cells, 0)
-            if len(parts) == 1 and len(parts[0]) == len(cells):
-                done.append(cells)
-            else:
-                left += parts
-        done.sort(key=lambda p: tuple(p[np.lexsort((p[:, 1], p[:, 0]))[0]]))
-        out = pd.DataFrame(np.concatenate(done), columns=["r", "c"]).assign(piece=np.repeat(np.arange(len(done)), [len(p) for p in done]))
-        return out.assign(page_key=part["page_key"].iloc[0], component=part["component"].iloc[0])[["page_key", "component", "piece", "r", "c"]]
-
-    return labels.select("page_key", "component", "r", "c").groupBy("page_key", "component").applyInPandas(pieces, "page_key long, component long, piece long, r long, c long")
+    schema = pa.schema([(k, pa.int64()) for k in ("page_key", "component", "piece", "r", "c")])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in layout.whole_pages(batches, 100_000):
+            slices = layout.page_slices(t, "page_key", "component")
+            cells = np.stack([t.column(k).to_numpy() for k in "rc"], axis=1)
+            starts = np.array([a for a, _ in slices])
+            large = np.flatnonzero((np.maximum.reduceat(cells, starts) - np.minimum.reduceat(cells, starts) >= NECK_RUN).any(axis=1))
+            piece, dropped = np.zeros(len(cells), np.int64), np.zeros(len(cells), bool)
+            for k in large:
+                a, b = slices[k]
+                done, left = [], [np.column_stack((cells[a:b], np.arange(a, b)))]
+                while left:
+                    part = left.pop()
+                    parts = _cut(part, 1)
+                    if len(parts) == 1:
+                        parts = _cut(part, 0)
+                    if len(parts) == 1 and len(parts[0]) == len(part):
+                        done.append(part)
+                    else:
+                        left += parts
+                done.sort(key=lambda p: tuple(p[np.lexsort((p[:, 1], p[:, 0]))[0], :2]))
+                dropped[a:b] = True
+                for n, p in enumerate(done):
+                    piece[p[:, 2]], dropped[p[:, 2]] = n, False
+            kept = pa.array(np.flatnonzero(~dropped))
+            of = {k: t.column(k).combine_chunks() for k in ("page_key", "component", "r", "c")} | {"piece": pa.array(piece)}
+            yield pa.RecordBatch.from_arrays([of[k].take(kept) for k in schema.names], schema=schema)
+
+    rows = labels.select(*[F.col(k).cast("long").alias(k) for k in ("page_key", "component", "r", "c")])
+    return layout.by_page(rows, ["component"]).mapInArrow(pieces, "page_key long, component long, piece long, r long, c long")
 
 
 def picture_candidates(pieces: DataFrame, rows: int, columns: int, skip: float = SKIP) -> DataFrame:
