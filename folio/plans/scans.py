@@ -13,7 +13,7 @@ from folio.streaming import state
 
 def _pages(spark, sf_dir) -> DataFrame:
     """Decoded once, to a table that the query reads as often as it needs, and only the columns that it needs."""
-    return written(scans(spark, sf_dir))
+    return written(scans(spark, sf_dir, pack=True))
 
 
 @query(f"""with {SCAN_SQL} select page_key, any_value(pw) as w, any_value(ph) as h, count(*) as strokes, sum(x1 - x0)::bigint as ink from st join pg using (page_key) group by 1""")
@@ -39,7 +39,7 @@ def scan_column_rules(spark, sf_dir):
 
 def _seeds(spark, sf_dir) -> DataFrame:
     """Of each page eight words, from all columns and rows further and further down."""
-    return scan_words(spark, sf_dir).where("floor(wid / 8) = wid % 8 * 6").withColumnRenamed("wid", "item").drop("t")
+    return scan_words(spark, sf_dir, dealt=False).where("floor(wid / 8) = wid % 8 * 6").withColumnRenamed("wid", "item").drop("t")
 
 
 @query(f"""with {SCAN_SQL}, it as (select page_key, wid as item, x, y, w, h, 41 * (wid % 8) + 1 as x0, 41 * (wid % 8) + 41 as x1, ph, trunc(ph * 0.35)::bigint as cap from sw join pg using (page_key) where wid // 8 = wid % 8 * 6),
