@@ -111,9 +111,12 @@ def display_words(words: DataFrame) -> DataFrame:
 def density(words: DataFrame, bands: int = 40) -> DataFrame:
     """(page_key, band, n): words by 40 equal bands of y, zeros included."""
     page = words.groupBy("page_key").agg(F.max(F.col("y") + F.col("h")).alias("page_h"), F.count("*").alias("words"))
-    every = page.withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))))
-    counts = words.join(page.select("page_key", "page_h"), "page_key").groupBy("page_key", F.floor(F.col("y") * bands / F.col("page_h")).alias("band")).agg(F.count("*").alias("n"))
-    return every.join(counts, ["page_key", "band"], "left").select("page_key", "band", "page_h", "words", F.coalesce("n", F.lit(0)).alias("n"))
+    # Pages are the side that is held, so that words are neither sorted nor moved again; bands are counted by page and filled in where the page's counts lie.
+    counts = words.join(page.select("page_key", "page_h").hint("shuffle_hash"), "page_key").groupBy("page_key", F.floor(F.col("y") * bands / F.col("page_h")).alias("band")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("page_key").agg(F.collect_list(F.struct("band", "n")).alias("counts"))
+    every = page.join(held, "page_key", "left").withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))))
+    n = F.get(F.filter("counts", lambda v: v["band"] == F.col("band")), F.lit(0))["n"]
+    return every.select("page_key", "band", "page_h", "words", F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def body_start(bands: DataFrame) -> DataFrame:
