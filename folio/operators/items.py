@@ -26,11 +26,12 @@ BANDS = {"headline": (0.0, 0.5), "ad": (0.5, 1.0)}
 
 
 class _Page:
-    """A page's words in order of y, x and wid, and what its image says of their gaps."""
+    """A page's words in order of y, x and wid, as Arrow's columns, and what its image says of their gaps."""
 
-    def __init__(self, words: list[dict], ink: np.ndarray | None, sides: list[tuple[int, int]]):
-        self.words, self.sides = words, sides
-        self.x, self.y, self.w, self.h = (np.array([v[c] for v in words], np.int64) for c in "xywh")
+    def __init__(self, words: pa.ListScalar, ink: np.ndarray | None, sides: list[tuple[int, int]]):
+        flat, self.sides = words.values, sides
+        self.x, self.y, self.w, self.h = (flat.field(c).to_numpy() for c in "xywh")  # a null fails
+        self.wid, self.t, self.real = (flat.field(c).to_pylist() for c in ("wid", "t", "real"))
         self.right, self.under = self.x + self.w, self.y + self.h
         self.tallest = int(self.h.max(initial=0))
         inked = self.h[self.h > 0]
@@ -40,6 +41,10 @@ class _Page:
             self.down = np.pad(np.cumsum(ink, axis=0, dtype=np.int32), ((1, 0), (0, 0)))
             self.rules = column_rules(ink)
 
+    def places(self) -> dict[int, int]:
+        """The first place of each wid."""
+        return {w: n for n, w in reversed(list(enumerate(self.wid)))}
+
     def between(self, above: float, upto: float) -> np.ndarray:
         """Places of the words whose top is above ``above`` and at most ``upto``."""
         return np.arange(*np.searchsorted(self.y, (above, max(above, upto)), side="right"))
@@ -54,10 +59,10 @@ class _Page:
         return ids[np.argsort(self.x[ids], kind="stable")]
 
     def text(self, ids: np.ndarray) -> str:
-        return " ".join(self.words[k]["t"] or "" for k in self.by_x(ids))
+        return " ".join(self.t[k] or "" for k in self.by_x(ids))
 
     def tier(self, ids: np.ndarray) -> bool:
-        line = [self.words[k] for k in self.by_x(ids)]
+        line = [{"real": self.real[k]} | {c: int(getattr(self, c)[k]) for c in "xywh"} for k in self.by_x(ids)]
         return tiered(line) if self.down is None else judged(line, self.down, self.sides)[4]
 
     def walls(self, top: int, bottom: int) -> Callable[[int, int], bool]:
@@ -119,7 +124,7 @@ class _Page:
                 shared = min(int(self.right[line].max()), x1) - max(int(self.x[line].min()), x0)
                 taken = 100 * shared >= FILLS * (x1 - x0)
             elif 100 * size >= DECK * head and 100 * size >= BODY * self.median:
-                if 100 * size > GROWN * tall and not (self.words[self.by_x(line)[0]]["t"] or "")[:1].islower():
+                if 100 * size > GROWN * tall and not (self.t[self.by_x(line)[0]] or "")[:1].islower():
                     return (left, y0, right, end), n, "deck grew", None, self.text(line)
                 taken = True
             if not taken or self.tier(line):
@@ -171,8 +176,8 @@ def deck_items(words: DataFrame, segments: DataFrame, pages: DataFrame | None =
             for k in range(b.num_rows):
                 key, said, starts, pw, ph, row, sides = (b.column(c)[k] for c in ("page_key", "words", "starts", "pw", "ph", "strokes", "gutters"))
                 ink = None if pw.as_py() is None else page_of(row, pw.as_py(), ph.as_py())
-                page = _Page(said.as_py(), ink, [(g["x0"], g["x1"]) for g in sides.as_py() or []])
-                at = {v["wid"]: n for n, v in reversed(list(enumerate(page.words)))}
+                page = _Page(said, ink, [(g["x0"], g["x1"]) for g in sides.as_py() or []])
+                at = page.places()
                 high, out = ph.as_py() or int(page.under.max(initial=0)), []
                 for s in starts.as_py():
                     ids = np.array(sorted({at[w] for w in s["wids"] if w in at}), np.int64)

@@ -34,3 +34,24 @@ def test_words_are_not_sorted_by_page(spark, name):
     steps = plan.splitlines()
     assert not any("Exchange hashpartitioning" in v and "band" in v for v in steps)
     assert not any(re.search(r"Sort \[page_key#\w+ ASC NULLS FIRST\],", v) and "Generate" in "".join(steps[i + 1 : i + 4]) for i, v in enumerate(steps))
+
+
+def test_boxes_meet_words_without_sorting_them(spark):
+    """uncut_boxes sorted every word of a task to meet its page's boxes, and read words as rows of Python."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = __spark_entry__.queries()["uncut_boxes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan
+
+
+def test_deck_reads_words_as_columns():
+    import pyarrow as pa
+
+    from folio.operators.items import _Page
+
+    words = [{"y": 0, "x": 0, "wid": 5, "w": 30, "h": 20, "t": "Head", "real": True}, {"y": 22, "x": 0, "wid": 5, "w": 30, "h": 19, "t": None, "real": False}]
+    page = _Page(pa.array([[], words])[1], None, [])
+    assert page.places() == {5: 0} and page.text(page.between(-1, 30)) == "Head " and _Page(pa.array([words, []])[1], None, []).places() == {}
