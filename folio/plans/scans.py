@@ -12,8 +12,8 @@ from folio.streaming import state
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    """Decoded once, to a table that the query reads as often as it needs, and only the columns that it needs."""
-    return written(scans(spark, sf_dir, pack=True))
+    """Decoded once, to a table by page that the query reads as often as it needs, and only the columns that it needs."""
+    return written(scans(spark, sf_dir, pack=True), "page_key")
 
 
 @query(f"""with {SCAN_SQL} select page_key, any_value(pw) as w, any_value(ph) as h, count(*) as strokes, sum(x1 - x0)::bigint as ink from st join pg using (page_key) group by 1""")
