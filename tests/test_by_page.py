@@ -42,3 +42,10 @@ def test_columns_are_no_rows(spark, name, folds):
     """Each page's steps of columns were rows that windows sorted, and a cell's sides were found twice."""
     plan = _plan(__spark_entry__.queries()[name](spark, SF))
     assert "Window" not in plan and plan.count("MapInArrow") == folds
+
+
+@pytest.mark.parametrize("name", ["nameplate_boxes", "display_pieces"])
+def test_words_are_not_joined_by_word(spark, name):
+    """A fold's rows met the words again by page and number, both moved for it, and windows sorted all words of a page."""
+    plan = _plan(__spark_entry__.queries()[name](spark, SF))
+    assert "MapInArrow" in plan and "SortMergeJoin [page_key" not in plan.split("MapInArrow", 1)[1] and "wid#" not in "".join(line for line in plan.splitlines() if "Join" in line or "Exchange" in line)
