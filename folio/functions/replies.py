@@ -186,10 +186,10 @@ def _title_pairs(title: Column) -> Column:
     return F.filter(pairs(F.filter(tokens(title), lambda w: w != "the")), lambda p: F.length(p["a"]) + F.length(p["b"]) >= 6)
 
 
-def own_title(t: Column, title: Column) -> Column:
-    """Why the words are the page's own furniture: 'title', 'part of the title' or 'dateline'; null if they are not."""
+def own_title(t: Column, title: Column, words: Column | None = None) -> Column:
+    """Why the words are the page's own furniture: 'title', 'part of the title' or 'dateline'; null if they are not. ``words``: the text's tokens, where a column has them."""
     whole = (F.length(fold(title)) >= 6) & F.contains(fold(t), fold(title))
-    return F.when(whole, "title").when(F.arrays_overlap(_title_pairs(title), pairs(tokens(t))), "part of the title").when(F.regexp_like(_some(t), F.lit(DATELINE)), "dateline")
+    return F.when(whole, "title").when(F.arrays_overlap(_title_pairs(title), pairs(tokens(t) if words is None else words)), "part of the title").when(F.regexp_like(_some(t), F.lit(DATELINE)), "dateline")
 
 
 def drop_furniture(t: Column, title: Column) -> Column:
@@ -199,19 +199,19 @@ def drop_furniture(t: Column, title: Column) -> Column:
     return _strip(F.array_join(once(_title_pairs(title), kept), " "))
 
 
-def story_shape(t: Column) -> Column:
-    """Null for the shape of a news story; else 'two datelines' or 'no dateline'."""
+def story_shape(t: Column, words: Column | None = None) -> Column:
+    """Null for the shape of a news story; else 'two datelines' or 'no dateline'. ``words``: the text's tokens, where a column has them."""
     t = _some(t)
     dated = F.regexp_extract_all(t, F.lit(f"({STORY_DATED})"), 1)
     states = F.regexp_extract_all(t, F.lit(f"({STORY_STATE})"), 1)
     count = lambda found: F.size(found) + F.size(F.filter(states, lambda m: ~F.exists(found, lambda d: F.contains(d, m) | F.contains(m, d))))
-    bare = F.regexp_like(t, F.lit(STORY_BARE)) & (F.size(ad_markers(t, AD_WORDS)) == 0)
+    bare = F.regexp_like(t, F.lit(STORY_BARE)) & (F.size(ad_markers(t, AD_WORDS, words)) == 0)
     shape = lambda n: F.when(n > 1, "two datelines").when((n == 1) | F.regexp_like(t, F.lit(STORY_WIRE)) | bare, F.lit(None).cast("string")).otherwise("no dateline")
     return once(once(dated, count), shape)
 
 
-def check_transcription(t: Column, headline: bool, ad_limit: int, prefixes: tuple[str, ...]) -> Column:
-    """struct(refusal, hits): the first reason to refuse, or null; the vocabulary hits."""
+def check_transcription(t: Column, headline: bool, ad_limit: int, prefixes: tuple[str, ...], own: Column | None = None) -> Column:
+    """struct(refusal, hits): the first reason to refuse, or null; the vocabulary hits. ``own``: the text's tokens, where a column has them."""
     marks = F.regexp_count(_some(t), F.lit(r"\[illegible\]"))
 
     def refusal(words: Column) -> Column:
@@ -219,9 +219,9 @@ def check_transcription(t: Column, headline: bool, ad_limit: int, prefixes: tupl
         out = F.when((n < 3) | (F.size(F.filter(words, lambda w: (F.length(w) >= 4) & (w != "illegible"))) < 3), "too short").when(marks > F.floor(n / 2), "mostly illegible")
         if headline:
             out = out.when(marks > 0, "unread word")
-        return out.when((F.size(ad_markers(t, AD_WORDS)) >= ad_limit) | strong, "advertisement")
+        return out.when((F.size(ad_markers(t, AD_WORDS, own)) >= ad_limit) | strong, "advertisement")
 
-    return F.struct(once(tokens(t), refusal).alias("refusal"), hits(t, prefixes).alias("hits"))
+    return F.struct(once(tokens(t) if own is None else own, refusal).alias("refusal"), hits(t, prefixes, own).alias("hits"))
 
 
 def review_words(t: Column) -> Column:

@@ -34,15 +34,15 @@ def blanks(t: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(\S+)"), 1)
 
 
-def hits(t: Column, prefixes: tuple[str, ...]) -> Column:
-    """The prefixes that some token of at least four letters starts with."""
-    long = F.filter(F.array_distinct(tokens(t)), lambda w: F.length(w) >= MIN_PREFIX_TOKEN)
+def hits(t: Column, prefixes: tuple[str, ...], words: Column | None = None) -> Column:
+    """The prefixes that some token of at least four letters starts with; ``words``: the text's tokens, where a column has them."""
+    long = F.filter(F.array_distinct(tokens(t) if words is None else words), lambda w: F.length(w) >= MIN_PREFIX_TOKEN)
     return once(long, lambda words: F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.exists(words, lambda w: F.startswith(w, p))))
 
 
-def ad_markers(t: Column, words: tuple[str, ...]) -> Column:
-    """The advertising words among the tokens, and '$' for a price; sorted."""
-    found = F.array_intersect(F.array_distinct(tokens(t)), F.array(*map(F.lit, words)))
+def ad_markers(t: Column, words: tuple[str, ...], own: Column | None = None) -> Column:
+    """The advertising words among the tokens, and '$' for a price; sorted. ``own``: the text's tokens, where a column has them."""
+    found = F.array_intersect(tokens(t) if own is None else own, F.array(*map(F.lit, words)))
     return F.sort_array(F.when(F.regexp_like(F.coalesce(t, F.lit("")), F.lit(PRICE)), F.concat(found, F.array(F.lit("$")))).otherwise(found))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import replies as R
+from folio.functions import text as T
 from folio.operators import decisions, layout, pages, raster, selection
 from folio.plans.slate import _JUDGED_SQL, ORACLES, QUERIES, _judged, query  # noqa: F401
 from folio.sources import archive
@@ -49,8 +50,12 @@ def curled_quotes(spark, sf_dir):
 @query()
 def reply_refusals(spark, sf_dir):
     """No SQL: word boundaries beside accented letters differ between the engines; tests use the named cases."""
-    check = R.check_transcription(F.col("text"), False, 4, ("that", "thin"))
-    return _docs(spark, sf_dir, refusal=check["refusal"], hits=F.array_join(check["hits"], ","), commentary=R.is_commentary(F.col("text")), shape=R.story_shape(F.col("text")), own=R.own_title(F.col("text"), F.lit("The Daily Journal")), review=F.array_join(R.review_words(F.col("text")), ","))
+    # Tokens are a column of their own, or each of these would find them again. Documents are dealt first: a file of one row group is read by one task.
+    t, words = F.col("text"), F.col("words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    docs = docs.select("doc_id", "text", T.tokens(t).alias("words"))
+    check = R.check_transcription(t, False, 4, ("that", "thin"), words)
+    return docs.select("doc_id", check["refusal"].alias("refusal"), F.array_join(check["hits"], ",").alias("hits"), R.is_commentary(t).alias("commentary"), R.story_shape(t, words).alias("shape"), R.own_title(t, F.lit("The Daily Journal"), words).alias("own"), F.array_join(R.review_words(t), ",").alias("review"))
 
 
 @query(r"""with w as (select p_partkey, string_split(p_name || ' of the ' || lower(p_type) || '-' || lower(p_brand) || '.', ' ') as w from part)

@@ -185,3 +185,12 @@ def test_log_stream(spark, tmp_path):
         if not n:
             query.stop()
             kept += "2"
+
+
+def test_refusals_find_tokens_once(spark):
+    """Each column of the query found the text's tokens for itself, some of them twice."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["reply_refusals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("([a-z]+)") == 1
+    assert "RepartitionByExpression" in plan[plan.index("([a-z]+)") :]
