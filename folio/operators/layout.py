@@ -46,6 +46,13 @@ def page_slices(t: pa.Table, *keys: str) -> list[tuple[int, int]]:
     return list(zip([0, *at.tolist()], [*at.tolist(), t.num_rows]))
 
 
+def listed(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each list of structs begins, with the end behind the last, and fields of them all; nulls are NaN."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))).astype(np.int64)
+    flat = lists.flatten()
+    return ends, [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def rows_anchor(words: DataFrame, tenths: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """word to (page_key, wid, row_id) and the columns to ``keep``: a word joins the row while it is within tolerance of the row's *first* word.
 

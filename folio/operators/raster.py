@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.operators.layout import by_page, islands, page_slices, whole_pages
+from folio.operators.layout import by_page, islands, listed, page_slices, whole_pages
 
 
 #: Grid cells that a task spreads out at once.
 GRID = 1 << 25
+#: Pages whose bits a task spreads out at once.
+PAGES = 200
 
 
 def row_dark(cells: DataFrame) -> DataFrame:
@@ -29,12 +31,43 @@ def runs(profile: DataFrame, key: str, test, least: int = 1) -> DataFrame:
     return found.where(F.col("x1") - F.col("x0") + 1 >= least).drop("island")
 
 
+def packed(cells: DataFrame) -> DataFrame:
+    """(page_key, rows): a page's cells in one row, array of (r, k, has, inked), where bit i of two longs stands for column 64 k + i.
+
+    Bits are joined in a hash table, so cells are neither sorted nor spilled; cells without a row or column have no place and go."""
+    c = F.col("c").cast("long")
+    bit = F.expr("shiftleft(1L, cast(pmod(cast(c as long), 64L) as int))")
+    words = cells.where("r is not null and c is not null").groupBy("page_key", F.col("r").cast("long").alias("r"), F.shiftright(c, 6).alias("k")).agg(F.bit_or(bit).alias("has"), F.coalesce(F.bit_or(F.when(F.col("ink") == 1, bit)), F.lit(0)).alias("inked"))
+    return words.groupBy("page_key").agg(F.collect_list(F.struct("r", "k", "has", "inked")).alias("rows"))
+
+
+def bits(words: np.ndarray) -> np.ndarray:
+    """Longs to a row of 64 bits each."""
+    return np.unpackbits(np.ascontiguousarray(words, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+
+
 def row_span(cells: DataFrame, gap: int = 1) -> DataFrame:
     """The longest stroke of each row, gaps of up to ``gap`` bridged and counted."""
-    w = W.partitionBy("page_key", "r").orderBy("c")
-    rows = cells.where("ink = 1").withColumn("_new", F.col("c") - F.lag("c").over(w) - 1 > gap)
-    found = islands(rows, ["page_key", "r"], ["c"], F.col("_new")).groupBy("page_key", "r", "island").agg((F.max("c") - F.min("c") + 1).alias("span"))
-    return found.groupBy("page_key", "r").agg(F.max("span").alias("span"))
+    schema = pa.schema([(k, pa.int64()) for k in ("page_key", "r", "span")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PAGES):
+                part = b.slice(at, PAGES)
+                ends, (r, k, inked) = listed(part.column(1), "r", "k", "inked")
+                number = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                order = np.lexsort((k, r, number))
+                number, r, k = number[order], r[order], k[order]
+                word, bit = np.nonzero(bits(inked[order]))
+                c, line = 64 * k[word] + bit, np.cumsum(np.append(0, (np.diff(number) != 0) | (np.diff(r) != 0)))[word]
+                first = np.flatnonzero(np.append(True, (np.diff(line) != 0) | (np.diff(c) - 1 > gap)))
+                size = c[np.append(first[1:], len(c)) - 1] - c[first] + 1
+                row = np.flatnonzero(np.append(True, np.diff(line[first]) != 0))
+                of = word[first[row]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number[of])), pa.array(r[of]), pa.array(np.maximum.reduceat(size, row))], schema=schema)
+
+    pages = packed(cells.where("ink = 1").withColumn("page_key", F.col("page_key").cast("long")))
+    return pages.mapInArrow(run, "page_key long, r long, span long")
 
 
 def close_cells(cells: DataFrame, least: int = 5) -> DataFrame:
@@ -158,10 +191,47 @@ def clear_share(profile: DataFrame, paper: float = 0.02) -> DataFrame:
 
 
 def row_crossing(cells: DataFrame, stride: int, edge: float = 0.55) -> DataFrame:
-    """(page_key, r, share): columns inked both at a row and ``stride`` below it (at most the last row); columns of film's edge, unless they are over half, do not count."""
-    page, column = W.partitionBy("page_key"), W.partitionBy("page_key", "c")
-    down = column.orderBy("r")
-    last = F.max_by("ink", "r").over(column)
-    rows = cells.withColumns({"_then": F.coalesce(F.lead("ink", stride).over(down), last), "_kept": F.avg("ink").over(column) < edge})
-    rows = rows.withColumn("_few", F.avg(F.col("_kept").cast("double")).over(page) < 0.5).where("_kept or _few")
-    return rows.groupBy("page_key", "r").agg(F.avg(F.col("ink") * F.col("_then")).alias("share"))
+    """(page_key, r, share): columns inked both at a row and ``stride`` below it (at most the last row); columns of film's edge, unless they are over half, do not count.
+
+    A page's cells meet in one row, as bits."""
+    schema = pa.schema([("page_key", pa.int64()), ("r", pa.int64()), ("share", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PAGES):
+                part = b.slice(at, PAGES)
+                ends, fields = listed(part.column(1), "r", "k", "has", "inked")
+                found = [_crossed(*[f[i:j] for f in fields], stride, edge) for i, j in zip(ends[:-1], ends[1:])]
+                page = np.repeat(np.arange(part.num_rows), [len(r) for r, _ in found])
+                r, share = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), pa.array(r), pa.array(share)], schema=schema)
+
+    pages = packed(cells.where("ink is not null").withColumn("page_key", F.col("page_key").cast("long")))
+    return pages.mapInArrow(run, "page_key long, r long, share double")
+
+
+def grid(r: np.ndarray, k: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """A page's rows in order, its first column, and for each kind of bits (rows, columns) of them."""
+    rows, at = np.unique(r, return_inverse=True)
+    low = int(k.min())
+    out = []
+    for w in words:
+        held = np.zeros((len(rows), int(k.max()) - low + 1, 64), bool)
+        held[at, k - low] = bits(w)
+        out.append(held.reshape(len(rows), -1))
+    return rows, 64 * low, out
+
+
+def _crossed(r: np.ndarray, k: np.ndarray, has: np.ndarray, inked: np.ndarray, stride: int, edge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and their shares, see ``row_crossing``: a column's cells are counted, not its row numbers, so one that lacks cells is as they follow each other."""
+    rows, _, (there, ink) = grid(r, k, has, inked)
+    column, row = np.nonzero(there.T)
+    value, many = ink.T[column, row], there.sum(axis=0)
+    last = np.cumsum(many) - 1
+    both = value & value[np.minimum(np.arange(len(value)) + stride, last[column])]
+    kept = (ink.sum(axis=0) / np.maximum(1, many) < edge)[column]
+    if kept.sum() / len(kept) < 0.5:
+        kept[:] = True
+    seen, share = np.bincount(row[kept], minlength=len(rows)), np.bincount(row[kept & both], minlength=len(rows))
+    some = seen > 0
+    return rows[some], share[some] / seen[some]
