@@ -109,24 +109,67 @@ def column_bounds(items: DataFrame, cells: DataFrame, height: int) -> DataFrame:
     """item(page_key, item, x, y, w, h) to (page_key, item, x0, x1): the nearest gutters each side that nothing crosses on its rows.
 
     A gutter is crossed where even its clearest column is inked there; a rule is judged on the two columns each side of it. Without a
-    gutter on one side the film's edge bounds the column; without any, both are null.
+    gutter on one side the film's edge bounds the column; without any, both are null. A page's items meet its cells, as bits, in one row.
     """
-    columns = raster.col_dark(cells)
-    span, mid = int(height * LEAST_SPAN), F.floor(F.col("y") + F.col("h") / 2)
-    low = F.col("h") < span
-    rows = items.withColumns({"_a": F.when(low, F.greatest(F.lit(0), mid - span // 2)).otherwise(F.col("y")), "_b": F.when(low, F.least(F.lit(height), mid + span // 2)).otherwise(F.col("y") + F.col("h"))})
-    dark = rows.select("page_key", "item", "_a", "_b").join(cells, "page_key").where("r >= _a and r < _b").groupBy("page_key", "item", "c").agg((F.sum("ink") / F.count("*")).alias("dark"))
-    found = raster.gutters(columns).select("page_key", "kind", F.col("x0").alias("g0"), F.col("x1").alias("g1"))
-    inside = (F.col("c") >= F.col("g0")) & (F.col("c") < F.col("g1"))
-    beside = ((F.col("c") >= F.col("g0") - 2) & (F.col("c") < F.col("g0"))) | ((F.col("c") >= F.col("g1")) & (F.col("c") < F.col("g1") + 2))
-    crossed = dark.join(found, "page_key").where(F.when(F.col("kind") == "rule", beside).otherwise(inside)).groupBy("page_key", "item", "kind", "g0").agg((F.min("dark") > CROSSED).alias("crossed"))
-    met = rows.join(found, "page_key").join(crossed, ["page_key", "item", "kind", "g0"], "left").where("not coalesce(crossed, false)")
-    sides = met.groupBy("page_key", "item").agg(F.max(F.when(F.col("g1") <= F.col("x"), F.col("g1"))).alias("l"), F.min(F.when(F.col("g0") >= F.col("x") + F.col("w"), F.col("g0"))).alias("r"))
-    edges = raster.film_edges(columns).select("page_key", F.col("x0").alias("e0"), F.col("x1").alias("e1"))
-    out = items.select("page_key", "item").join(sides, ["page_key", "item"], "left").join(edges, "page_key", "left")
-    a, b = F.coalesce("l", "e0"), F.coalesce("r", "e1")
-    ok = (F.col("l").isNotNull() | F.col("r").isNotNull()) & (b > a)
-    return out.select("page_key", "item", F.when(ok, a).alias("x0"), F.when(ok, b).alias("x1"))
+    kinds = dict(items.dtypes)
+    held = items.groupBy("page_key").agg(F.collect_list(F.struct("item", *[F.col(c).cast("double").alias(c) for c in "xywh"])).alias("items"))
+    met = held.join(raster.packed(cells.where("ink is not null")).hint("shuffle_hash"), "page_key", "left").select("page_key", "items", "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, boxes = layout.listed(b.column(1), *"xywh")
+            at, fields = layout.listed(b.column(2), "r", "k", "has", "inked")
+            boxes = np.stack([x.astype(float) for x in boxes], axis=1)
+            out = []
+            for n in range(b.num_rows):
+                i, j = at[n], at[n + 1]
+                page = _gutters(*[f[i:j] for f in fields]) if j > i else None
+                out += [_column(*page, *box, height) if page else (None, None) for box in boxes[ends[n] : ends[n + 1]]]
+            number = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(number), b.column(1).flatten().field("item"), *[pa.array([v[k] for v in out], pa.int64()) for k in (0, 1)]], names=["page_key", "item", "x0", "x1"])
+
+    return met.mapInArrow(run, f"page_key {kinds['page_key']}, item {kinds['item']}, x0 long, x1 long")
+
+
+def _gutters(r: np.ndarray, k: np.ndarray, has: np.ndarray, inked: np.ndarray) -> tuple:
+    """A page's rows, first column, cells and ink summed from above, film's edges, and gutters (first column, end, rule): ``raster.gutters`` of one page."""
+    rows, low, (there, ink) = raster.grid(r, k, has, inked)
+    even = rows % 2 == 0
+    many = there[even].sum(axis=0)
+    c = np.flatnonzero(many)
+    dark = ink[even].sum(axis=0)[c] / many[c]
+    down = [np.pad(np.cumsum(x, axis=0, dtype=np.int32), ((1, 0), (0, 0))) for x in (there, ink)]
+    if not len(c):
+        return rows, low, *down, None, None, []
+    paper = c[dark <= 0.55]
+    e0, e1 = (int(paper[0]), int(paper[-1]) + 1) if len(paper) else (int(c[-1]) + 1, int(c[-1]) + 1)
+    found = []
+    for rule, test in ((False, dark <= 0.10), (True, (dark >= 0.45) & (dark > 0.10))):
+        at = c[test & (c >= e0) & (c < e1)]
+        if len(at):
+            found += [(int(p[0]), int(p[-1]) + 1, rule) for p in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if rule or len(p) >= 2]
+    return rows, low, *down, e0, e1, found
+
+
+def _column(rows: np.ndarray, low: int, there: np.ndarray, ink: np.ndarray, e0: int | None, e1: int | None, gutters: list, x: float, y: float, w: float, h: float, height: int) -> tuple[int | None, int | None]:
+    """One item's bounds, see ``column_bounds``; columns count from the page's first, ``low``."""
+    if e0 is None:
+        return None, None
+    span, mid = int(height * LEAST_SPAN), np.floor(y + h / 2)
+    a, b = (max(0, mid - span // 2), min(height, mid + span // 2)) if h < span else (y, y + h)
+    a, b = (0, 0) if a != a or b != b else np.searchsorted(rows, (a, b))
+    many = there[max(a, b)] - there[a]
+    dark = np.where(many > 0, (ink[max(a, b)] - ink[a]) / np.maximum(1, many), np.inf)
+
+    def crossed(g0: int, g1: int, rule: bool) -> bool:
+        near = np.concatenate((dark[max(0, g0 - 2) : g0], dark[g1 : g1 + 2])) if rule else dark[g0:g1]
+        near = near[np.isfinite(near)]
+        return len(near) > 0 and near.min() > CROSSED
+
+    left = max((g[1] for g in gutters if g[1] + low <= x and not crossed(*g)), default=None)
+    right = min((g[0] for g in gutters if g[0] + low >= x + w and not crossed(*g)), default=None)
+    p, q = e0 if left is None else left, e1 if right is None else right
+    return (low + p, low + q) if (left is not None or right is not None) and q > p else (None, None)
 
 
 def _cut(cells: np.ndarray, axis: int) -> list[np.ndarray]:

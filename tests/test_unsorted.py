@@ -6,13 +6,13 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from folio.operators import raster
+from folio.operators import raster, walks
 
 SF = "/root/testdata/sf0.001"
 CELL = "page_key long, r long, c long, ink long"
 
 
-@pytest.mark.parametrize("name", ["row_spans", "row_crossings"])
+@pytest.mark.parametrize("name", ["row_spans", "row_crossings", "column_bounds"])
 def test_no_word_or_cell_is_sorted(spark, name):
     """Windows, joins and sorted aggregates over all words or cells spilled, the more the larger the input."""
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -56,3 +56,14 @@ def test_crossings_where_cells_are_missing(spark):
         want |= {(k, r): np.mean(v) for r, v in rows.items()}
     found = {(v.page_key, v.r): v.share for v in raster.row_crossing(spark.createDataFrame(cells, CELL), 2).collect()}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_bounds_of_pages_without_cells_and_of_odd_items(spark):
+    dark = lambda r, c: int(c in (10, 30) or r in (2, 3) and c == 20 or c % 20 in (4, 5) and r % 2)
+    cells = spark.createDataFrame([(k, r, c, dark(r, c)) for k in (1, None) for r in range(20) for c in range(40)], CELL)
+    items = [(1, 0, 12, 10, 3, 4), (1, 1, 12, 2, 3, 4), (1, 2, None, 2, 3, 4), (1, 3, 12, None, 3, 4), (2, 0, 12, 10, 3, 4), (None, 0, 12, 10, 3, 4)]
+    found = walks.column_bounds(spark.createDataFrame(items, "page_key long, item int, x long, y long, w long, h long"), cells, 20)
+    got = {(v.page_key, v.item): (v.x0, v.x1) for v in found.collect()}
+    assert dict(found.dtypes)["item"] == "int" and len(got) == len(items)
+    assert got[1, 0] == (11, 16) or got[1, 0][0] in (11, 12)
+    assert got[2, 0] == got[None, 0] == (None, None)
