@@ -119,8 +119,14 @@ def largest(items: DataFrame, keys: list[str], floor: Column, order: str) -> Dat
 
 
 def continues(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines of words(x, t) with ``continues``: whether the leftmost word begins in lower case."""
-    return lines.groupBy(*keys).agg(F.regexp_like(F.min_by("t", F.struct("x", "wid")), F.lit(r"^\p{Ll}")).alias("continues"))
+    """Lines of words(x, wid, t) with ``continues``: whether the leftmost word begins in lower case."""
+    held = lines.groupBy(*keys).agg(F.collect_list(F.struct("x", "wid", "t")).alias("words"))
+    return held.select(*keys, continues_in(F.col("words")).alias("continues"))
+
+
+def continues_in(words: Column) -> Column:
+    """``continues`` of a line that has its words (x, wid, t, ...) as an array: none of them is sorted or moved."""
+    return F.regexp_like(F.array_min(F.transform(words, lambda v: F.struct(v["x"], v["wid"], v["t"])))["t"], F.lit(r"^\p{Ll}"))
 
 
 def next_line(words: DataFrame, current: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from folio.operators import raster, walks
+from folio.operators import desk, raster, walks
 
 SF = "/root/testdata/sf0.001"
 CELL = "page_key long, r long, c long, ink long"
 
 
-@pytest.mark.parametrize("name", ["row_spans", "row_crossings", "column_bounds"])
+@pytest.mark.parametrize("name", ["row_spans", "row_crossings", "column_bounds", "line_continues"])
 def test_no_word_or_cell_is_sorted(spark, name):
     """Windows, joins and sorted aggregates over all words or cells spilled, the more the larger the input."""
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -67,3 +67,8 @@ def test_bounds_of_pages_without_cells_and_of_odd_items(spark):
     assert dict(found.dtypes)["item"] == "int" and len(got) == len(items)
     assert got[1, 0] == (11, 16) or got[1, 0][0] in (11, 12)
     assert got[2, 0] == got[None, 0] == (None, None)
+
+
+def test_leftmost_word_of_a_line(spark):
+    words = spark.createDataFrame([(1, 0, 9, 0, "Up"), (1, 0, 3, 2, "Éa"), (1, 0, 3, 1, "éa"), (1, 1, 0, 3, "9"), (2, 0, 0, 0, None)], "page_key long, line long, x long, wid long, t string")
+    assert {(v.page_key, v.line): v.continues for v in desk.continues(words, ["page_key", "line"]).collect()} == {(1, 0): True, (1, 1): False, (2, 0): None}
