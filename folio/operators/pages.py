@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from folio.operators import layout
 # Body heights, shares of a page, and rows.
 GAP, PARAGRAPH, DISPLAY = 2.2, 1.3, 1.6
 LEAST_ROWS, LEAST_SHARE, MOST_ROWS = 4, 0.015, 80
+#: Why a block ends.
+REASONS = (None, "gap", "rule", "display-boundary", "paragraph-gap", "row-count-cap", "refused", "cap")
 
 
 def reading_order(words: DataFrame) -> DataFrame:
@@ -145,47 +148,90 @@ def nearest_row(rows: DataFrame, at: Column) -> DataFrame:
     return rows.groupBy("page_key", "col").agg(F.min_by("row", F.struct(away.alias("a"), F.col("row").alias("r"))).alias("seed"))
 
 
+def nearest_in(rows: Column, at: Column) -> Column:
+    """``nearest_row`` of a column whose rows are an array of (row, top, tall, ...)."""
+    return F.array_min(F.transform(rows, lambda v: F.struct(F.abs(v["top"] + v["tall"] / 2 - at).alias("a"), v["row"].alias("r"))))["r"]
+
+
 def block_around(rows: DataFrame, display: bool, most: float = 0.25) -> DataFrame:
     """Blocks grown up, then down, from a seed row of a column; why each walk stopped, and by how much.
 
-    rows(page_key, col, row, top, bottom, tall, med, page_h, seed, rule_above). Whether a walk passes a row depends on that
+    rows(page_key, col, row, top, bottom, tall, med, page_h, seed, rule_above), gathered by column for ``blocks_in``.
+    """
+    held = F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("row", "top", "bottom", "tall")], F.col("med").cast("double").alias("med"), "rule_above"))
+    return blocks_in(rows.groupBy("page_key", "col").agg(F.max("page_h").alias("page_h"), F.max("seed").alias("seed"), held.alias("rows")), display, most)
+
+
+def blocks_in(columns: DataFrame, display: bool, most: float = 0.25) -> DataFrame:
+    """column(page_key, col, page_h, seed, rows: array of (row, top, bottom, tall, med, rule_above)) to its block.
+
+    Whether a walk passes a row depends on that
     row and its neighbour, and downwards on where the walk upwards ended: so the first failing row each way
-    is a minimum or maximum over a window. A null reason: the column ends there. The outcome is 'ok', 'too tall' (the
-    walk upwards met the cap) or 'too small'.
+    is a minimum or maximum over the column's rows. A null reason: the column ends there. The outcome is 'ok', 'too tall' (the
+    walk upwards met the cap) or 'too small'. A column's rows are in one row: nothing is sorted, joined or spilled.
     """
-    column = W.partitionBy("page_key", "col")
-    w = column.orderBy("row")
-    shown = F.col("tall") >= DISPLAY * F.col("med")
-    cap = most * F.col("page_h")
+    names = {"top": pa.int64(), "bottom": pa.int64(), "rows": pa.int64(), "top_reason": pa.string(), "top_ratio": pa.float64(), "bottom_reason": pa.string(), "bottom_ratio": pa.float64(), "outcome": pa.string()}
 
-    def reasons(gap: Column, rule: Column, away: Column, grace: Column, beyond: Column, name: str) -> Column:
-        stop = F.when((gap > GAP * F.col("med")) & ~(shown if display else F.lit(False)), "gap").when(F.coalesce(rule, F.lit(False)), "rule")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _blocks(*[b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3)], b.column(4), display, most)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, kind, from_pandas=True) for v, kind in zip(found, names.values())]], names=["page_key", "col", *names])
+
+    kinds = dict(columns.dtypes)
+    given = columns.where(F.size("rows") > 0).select("page_key", "col", "page_h", "seed", "rows")
+    return given.mapInArrow(run, f"page_key {kinds['page_key']}, col {kinds['col']}, top long, bottom long, rows long, top_reason string, top_ratio double, bottom_reason string, bottom_ratio double, outcome string")
+
+
+def _blocks(page_h: np.ndarray, seed: np.ndarray, lists: pa.ListArray, display: bool, most: float) -> tuple[np.ndarray, ...]:
+    """The blocks of many columns at once, see ``blocks_in``; what is missing is NaN or None."""
+    ends, (row, top, bottom, tall, med, rule) = layout.listed(lists, "row", "top", "bottom", "tall", "med", "rule_above")
+    col = np.repeat(np.arange(len(page_h)), np.diff(ends))
+    order = np.lexsort((row, col))
+    row, top, bottom, tall, med = (v[order].astype(float) for v in (row, top, bottom, tall, med))
+    rule, at, tip = np.array(rule[order] == True, bool), ends[:-1], ends[1:] - 1  # noqa: E712  null is no rule
+    seed, cap = seed[col], (most * page_h)[col]
+    shown = tall >= DISPLAY * med
+    ug, dg, ur = np.full(len(row), np.nan), np.full(len(row), np.nan), np.zeros(len(row), bool)
+    same = col[1:] == col[:-1]
+    ug[:-1], dg[1:], ur[:-1] = np.where(same, top[1:] - bottom[:-1], np.nan), np.where(same, top[1:] - bottom[:-1], np.nan), same & rule[1:]
+
+    def reasons(where, gap, rule, away, grace, beyond, name):
+        """The place in ``REASONS`` of the first that holds, in order; 0 for none."""
+        tests = [((gap > GAP * med) & ~(shown & display), "gap"), (rule, "rule")]
         if not display:
-            stop = stop.when(shown, "display-boundary").when((gap > PARAGRAPH * F.col("med")) & grace, "paragraph-gap").when(away > MOST_ROWS, "row-count-cap")
-        return stop.when(beyond, name)
-
-    up_gap, down_gap = F.lead("top").over(w) - F.col("bottom"), F.col("top") - F.lag("bottom").over(w)
-    rows = rows.withColumns({"_ug": up_gap, "_dg": down_gap, "_ur": F.lead("rule_above").over(w), "_sb": F.max(F.when(F.col("row") == F.col("seed"), F.col("bottom"))).over(column)})
-    up = reasons(F.col("_ug"), F.col("_ur"), F.col("seed") - F.col("row"), F.lit(True), F.col("_sb") - F.col("top") > cap, "refused")
-    rows = rows.withColumn("_up", F.when(F.col("row") < F.col("seed"), up))
-    rows = rows.withColumn("_lo", F.coalesce(F.max(F.when(F.col("_up").isNotNull(), F.col("row"))).over(column) + 1, F.min("row").over(column)))
-    rows = rows.withColumn("_top", F.max(F.when(F.col("row") == F.col("_lo"), F.col("top"))).over(column))
-    down = reasons(F.col("_dg"), F.col("rule_above"), F.col("row") - F.col("seed"), F.col("row") - F.col("seed") > 3, F.col("bottom") - F.col("_top") > cap, "cap")
-    rows = rows.withColumn("_down", F.when(F.col("row") > F.col("seed"), down))
-    rows = rows.withColumn("_hi", F.coalesce(F.min(F.when(F.col("_down").isNotNull(), F.col("row"))).over(column) - 1, F.max("row").over(column)))
-
-    def ratio(why: str, gap: str) -> Column:
-        of = lambda k: (F.col(gap) - k * F.col("med")) / (k * F.col("med"))
-        return F.when(F.col(why) == "gap", of(GAP)).when(F.col(why) == "paragraph-gap", of(PARAGRAPH))
-
-    at = lambda where, value: F.max(F.when(where, value))
-    above, below = F.col("row") == F.col("_lo") - 1, F.col("row") == F.col("_hi") + 1
-    out = rows.groupBy("page_key", "col").agg(
-        F.max("_top").alias("top"), at(F.col("row") == F.col("_hi"), F.col("bottom")).alias("bottom"), (F.max("_hi") - F.max("_lo") + 1).alias("rows"), F.max("page_h").alias("page_h"),
-        at(above, F.col("_up")).alias("top_reason"), at(above, ratio("_up", "_ug")).alias("top_ratio"), at(below, F.col("_down")).alias("bottom_reason"), at(below, ratio("_down", "_dg")).alias("bottom_ratio"),
-    )
-    small = (F.col("rows") < LEAST_ROWS) | (F.col("bottom") - F.col("top") < LEAST_SHARE * F.col("page_h"))
-    return out.withColumn("outcome", F.when(F.col("top_reason") == "refused", "too tall").when(small, "too small").otherwise("ok")).drop("page_h")
+            tests += [(shown, "display-boundary"), ((gap > PARAGRAPH * med) & grace, "paragraph-gap"), (away > MOST_ROWS, "row-count-cap")]
+        out = np.zeros(len(row), np.int8)
+        for test, said in reversed([*tests, (beyond, name)]):
+            out[test] = REASONS.index(said)
+        return np.where(where, out, np.int8(0))
+
+    def pick(where, value):
+        """A column's largest value where it holds, NaN for none."""
+        return np.fmax.reduceat(np.where(where, value, np.nan), at)
+
+    up = reasons(row < seed, ug, ur, seed - row, True, pick(row == seed, bottom)[col] - top > cap, "refused")
+    lo = pick(up > 0, row) + 1
+    lo = np.where(np.isnan(lo), row[at], lo)
+    first = pick(row == lo[col], top)
+    down = reasons(row > seed, dg, rule, row - seed, row - seed > 3, bottom - first[col] > cap, "cap")
+    hi = -pick(down > 0, -row) - 1
+    hi = np.where(np.isnan(hi), row[tip], hi)
+    last = pick(row == hi[col], bottom)
+
+    def stop(where, why, gap):
+        """The reason and the ratio at the row behind the block; a row number stands once in a column."""
+        here = np.flatnonzero(where & (why > 0))
+        reason, ratio = np.full(len(page_h), None, object), np.full(len(page_h), np.nan)
+        said = np.array(REASONS, object)[why[here]]
+        k = np.select([said == "gap", said == "paragraph-gap"], [GAP, PARAGRAPH], np.nan) * med[here]
+        reason[col[here]], ratio[col[here]] = said, (gap[here] - k) / k
+        return reason, ratio
+
+    top_reason, top_ratio = stop(row == lo[col] - 1, up, ug)
+    bottom_reason, bottom_ratio = stop(row == hi[col] + 1, down, dg)
+    small = (hi - lo + 1 < LEAST_ROWS) | (last - first < LEAST_SHARE * page_h)
+    outcome = np.where(top_reason == "refused", "too tall", np.where(small, "too small", "ok")).astype(object)
+    return first, last, hi - lo + 1, top_reason, top_ratio, bottom_reason, bottom_ratio, outcome
 
 
 def margins(blocks: DataFrame) -> DataFrame:

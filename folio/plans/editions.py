@@ -9,7 +9,7 @@ from folio.functions import text as T
 from folio.operators import decisions, layout, pages, raster, selection
 from folio.plans.slate import _JUDGED_SQL, ORACLES, QUERIES, _judged, query  # noqa: F401
 from folio.sources import archive
-from folio.sources.bridge import INK_SQL, WORDS_SQL, ink, table, words
+from folio.sources.bridge import INK_SQL, WORDS_SQL, ink, table, word_columns, words
 
 LANES = tuple(p[0] for p in decisions.POLICIES)
 
@@ -116,11 +116,9 @@ def story_starts(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir, display: bool, most: float):
-    rows = words(spark, sf_dir).select("page_key", (F.col("wid") % 8).alias("col"), F.floor(F.col("wid") / 8).alias("row"), F.col("y").alias("top"), (F.col("y") + F.col("h")).alias("bottom"), F.col("h").alias("tall"), F.lit(15.0).alias("med"))
-    page = rows.groupBy("page_key").agg(F.max("bottom").alias("page_h"))
-    rows = rows.join(page, "page_key").withColumn("rule_above", (F.col("row") % 29 == 28))
-    seeds = pages.nearest_row(rows, F.col("page_h") / 2)
-    return pages.block_around(rows.join(seeds, ["page_key", "col"]), display, most)
+    rows = F.transform("rows", lambda v: F.struct(*[v[c].alias(c) for c in ("row", "top", "bottom", "tall")], F.lit(15.0).alias("med"), (v["row"] % 29 == 28).alias("rule_above")))
+    columns = word_columns(spark, sf_dir).withColumn("rows", rows)
+    return pages.blocks_in(columns.withColumn("seed", pages.nearest_in(F.col("rows"), F.col("page_h") / 2)), display, most)
 
 
 def _blocks_sql(display: bool, most: float) -> str:

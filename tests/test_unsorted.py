@@ -6,13 +6,13 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from folio.operators import desk, raster, walks
+from folio.operators import desk, pages, raster, walks
 
 SF = "/root/testdata/sf0.001"
 CELL = "page_key long, r long, c long, ink long"
 
 
-@pytest.mark.parametrize("name", ["row_spans", "row_crossings", "column_bounds", "line_continues"])
+@pytest.mark.parametrize("name", ["row_spans", "row_crossings", "column_bounds", "line_continues", "ad_blocks", "market_blocks", "closure_audit"])
 def test_no_word_or_cell_is_sorted(spark, name):
     """Windows, joins and sorted aggregates over all words or cells spilled, the more the larger the input."""
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -69,6 +69,50 @@ def test_bounds_of_pages_without_cells_and_of_odd_items(spark):
     assert got[2, 0] == got[None, 0] == (None, None)
 
 
+def _walk(rows, seed, page_h, display, most):
+    """Step by step: up from the seed, then down, with the reason and gap that stopped each."""
+    rows = {v[0]: v for v in rows}
+
+    def why(gap, rule, tall, away, grace, beyond, name):
+        shown = tall >= 16
+        for test, said in ((gap > 22 and not (shown and display), "gap"), (rule, "rule"), (not display and shown, "display-boundary"), (not display and gap > 13 and grace, "paragraph-gap"), (not display and away > 80, "row-count-cap"), (beyond, name)):
+            if test:
+                return said
+
+    lo, hi, up, down = seed, seed, None, None
+    while lo - 1 in rows:
+        v = rows[lo - 1]
+        up = why(rows[lo][1] - v[2], rows[lo][5], v[3], seed - v[0], True, rows[seed][2] - v[1] > most * page_h, "refused")
+        if up:
+            break
+        lo -= 1
+    while hi + 1 in rows:
+        v = rows[hi + 1]
+        down = why(v[1] - rows[hi][2], v[5], v[3], v[0] - seed, v[0] - seed > 3, v[2] - rows[lo][1] > most * page_h, "cap")
+        if down:
+            break
+        hi += 1
+    return rows[lo][1], rows[hi][2], hi - lo + 1, up, down
+
+
+@pytest.mark.parametrize("display", [True, False])
+def test_blocks_are_those_of_a_walk(spark, display):
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(60):
+        top, col = 0, []
+        for n in range(rng.randint(1, 30)):
+            top += rng.choice([2, 2, 2, 2, 5, 14, 23])
+            tall = rng.choice([10, 10, 10, 10, 10, 17])
+            col.append((n, top, top + tall, tall, 10.0, rng.random() < 0.05))
+            top += tall
+        seed = rng.randrange(len(col))
+        want[k] = _walk(col, seed, 900, display, 0.2)
+        rows += [(k, k % 3, *v[:5], 900, seed, v[5] or None) for v in col]
+    rng.shuffle(rows)
+    found = pages.block_around(spark.createDataFrame(rows, "page_key long, col long, row long, top long, bottom long, tall long, med double, page_h long, seed long, rule_above boolean"), display, 0.2)
+    assert {v.page_key: (v.top, v.bottom, v.rows, v.top_reason, v.bottom_reason) for v in found.collect()} == want
+
+
 def test_leftmost_word_of_a_line(spark):
     words = spark.createDataFrame([(1, 0, 9, 0, "Up"), (1, 0, 3, 2, "Éa"), (1, 0, 3, 1, "éa"), (1, 1, 0, 3, "9"), (2, 0, 0, 0, None)], "page_key long, line long, x long, wid long, t string")
     assert {(v.page_key, v.line): v.continues for v in desk.continues(words, ["page_key", "line"]).collect()} == {(1, 0): True, (1, 1): False, (2, 0): None}
