@@ -30,6 +30,11 @@ def _int(c: Column) -> Column:
     return c.cast("long")
 
 
+def worded(t: Column) -> Column:
+    """Whether a text has ``LETTERS`` letters at least."""
+    return F.regexp_like(t, F.lit(r"\P{L}*".join([r"\p{L}"] * LETTERS)))
+
+
 def strokes_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", F.inline("strokes"))
 
@@ -39,6 +44,21 @@ def row_dark(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", "w", F.inline("strokes")).groupBy("page_key", "y").agg((F.sum(F.col("x1") - F.col("x0")) / F.first("w")).alias("dark"))
 
 
+def spans(rows: np.ndarray) -> np.ndarray:
+    """(first, end) of the runs of True."""
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    turns = np.empty(len(rows) + 1, bool)
+    turns[0], turns[-1] = rows[0], rows[-1]
+    np.not_equal(rows[1:], rows[:-1], out=turns[1:-1])
+    return turns.nonzero()[0].reshape(-1, 2)
+
+
+def inked(ink: np.ndarray) -> np.ndarray:
+    """Ink by column of rows of a bitmap."""
+    return np.add.reduce(ink.view(np.uint8), axis=0, dtype=np.int32)
+
+
 def _shares(found: np.ndarray, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
     """Where steps of columns begin, with the page's width behind the last, and the steps' shares of ink on every second row."""
     found = found[found[:, 0] % 2 == 0]
@@ -81,7 +101,8 @@ def gutters(steps: DataFrame) -> DataFrame:
 
 def page_gutters(found: np.ndarray, w: int, h: int) -> tuple[int, int, list[tuple[int, int, bool]]]:
     """(first and end column inside the film, gutters as (x0, x1, rule) in order) of one page's strokes: what ``film_edges`` and ``gutters`` find in a table."""
-    at, dark = _shares(found, w, h)
+    even = np.clip(found[found[:, 0] % 2 == 0, 1:], 0, w)
+    at, dark = np.arange(w + 1), np.cumsum(np.bincount(even[:, 0], minlength=w + 1) - np.bincount(even[:, 1], minlength=w + 1))[:-1] / (h / 2.0)
     paper = np.flatnonzero(dark <= EDGE_DARK)
     e0, e1 = (int(at[paper[0]]), int(at[paper[-1] + 1])) if len(paper) else (int(at[-1]), int(at[-1]))
     kind = np.where(dark <= GUTTER_DARK, 1, np.where(dark >= RULE_DARK, 2, 0))
@@ -105,19 +126,34 @@ def stroke_groups(found: np.ndarray, brk: int, length: int) -> np.ndarray:
     return np.stack((found[first, 0], found[first, 1], np.where(length - end <= brk, end, end - 1)), axis=1)
 
 
+def _unbroken(ink: np.ndarray, brk: int, long: int) -> np.ndarray:
+    """Which columns may hold a stroke of ``long`` rows, gaps of up to ``brk`` bridged: it covers a whole block of half as many rows, which holds no wider gap."""
+    h, size = len(ink), long // 2
+    if size <= brk + 1:
+        return np.ones(ink.shape[1], bool)
+    near = ink.copy()  # whether there is ink in a row or in one of the next ``brk``
+    for k in range(1, brk + 1):
+        near[:-k] |= ink[k:]
+    blocks = near[: h // size * size].reshape(-1, size, ink.shape[1])[:, : size - brk]
+    return blocks.all(axis=1).any(axis=0)
+
+
 def column_rules(ink: np.ndarray, least: float = VRULE_LEAST, skip_dark: bool = True) -> list[tuple[int, int, int]]:
     """(x, y0, y1) of a page's column rules: each column's longest stroke of at least a share of the height, those of columns at most two apart merged."""
     h, w = ink.shape
-    dark = ink[::2].sum(axis=0) / (h / 2.0)
+    dark = inked(ink[::2]) / (h / 2.0)
     bright = np.flatnonzero(dark <= EDGE_DARK)
     allowed = dark <= EDGE_DARK
     if not skip_dark:
         allowed = np.zeros(w, bool)
         if len(bright):
             allowed[bright[0] : bright[-1] + 1] = True
-    groups = stroke_groups(strokes(ink.T), max(2, int(h * VRULE_BREAK)), h)
+    brk, long = max(2, int(h * VRULE_BREAK)), int(h * least)
+    allowed = np.flatnonzero(allowed & _unbroken(ink, brk, long))
+    groups = stroke_groups(strokes(ink.T[allowed]), brk, h)
+    groups[:, 0] = allowed[groups[:, 0]]
     size = groups[:, 2] - groups[:, 1]
-    keep = allowed[groups[:, 0]] & (size >= int(h * least)) & (size > 0)
+    keep = (size >= long) & (size > 0)
     groups, size = groups[keep], size[keep]
     order = np.lexsort((groups[:, 1], -size, groups[:, 0]))
     groups = groups[order]
@@ -295,7 +331,7 @@ def column_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
     """item(page_key, item, x, y, w, h) to (page_key, item, x0, x1): the nearest gutters each side that nothing crosses on its rows; the film's edge where a side has none, null where both have none.
 
     A gutter is crossed where even its clearest column is inked on those rows; a rule, which is always dark, is judged by the two columns each side of it.
-    A page's items and strokes meet in one row; its gutters are found there, and sums down the columns of its bitmap answer for any rows.
+    A page's items and strokes meet in one row; its gutters are found there, and sums down its bitmap's columns are taken on an item's rows alone.
     """
     item = ["page_key", "item"]
     boxes = items.groupBy("page_key").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("item", "x", "y", "w", "h")])).alias("items"))
@@ -308,20 +344,20 @@ def column_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
                 key, w, h, row, boxes = (b.column(c)[k] for c in ("page_key", "w", "h", "strokes", "items"))
                 found, w, h = stroke_rows(row), w.as_py(), h.as_py()
                 e0, e1, sides = page_gutters(found, w, h)
-                down = np.pad(np.cumsum(bitmap(found, w, h), axis=0, dtype=np.int32), ((1, 0), (0, 0)))
-                out = [(key.as_py(), v["item"], *_sides(down, v, sides, e0, e1)) for v in boxes.as_py()]
+                ink = bitmap(found, w, h)
+                out = [(key.as_py(), v["item"], *_sides(ink, v, sides, e0, e1)) for v in boxes.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     return items.select(*item).join(rows.mapInArrow(run, "page_key long, item long, x0 long, x1 long"), item, "left")
 
 
-def _sides(down: np.ndarray, item: dict, sides: list[tuple[int, int, bool]], e0: int, e1: int) -> tuple[int | None, int | None]:
-    height, x, x1 = len(down) - 1, item["x"], item["x"] + item["w"]
+def _sides(ink: np.ndarray, item: dict, sides: list[tuple[int, int, bool]], e0: int, e1: int) -> tuple[int | None, int | None]:
+    height, x, x1 = len(ink), item["x"], item["x"] + item["w"]
     top, bottom, span = max(0, item["y"]), min(height, item["y"] + item["h"]), int(height * SPAN_LEAST)
     if bottom - top < span:  # so that the spaces of a few words do not line up
         mid = (top + bottom) // 2
         top, bottom = max(0, mid - span // 2), min(height, mid + span // 2)
-    dark = (down[bottom] - down[top]) / max(1, bottom - top) if bottom > top else np.zeros(down.shape[1])
+    dark = inked(ink[top : max(top, bottom)]) / max(1, bottom - top)
 
     def open_(a: int, b: int, rule: bool) -> bool:
         near = np.concatenate((dark[max(0, a - 2) : a], dark[b : b + 2])) if rule else dark[a:b]
