@@ -134,13 +134,13 @@ bd as (select page_key, k as item, 14 * k + 3 + doc_id % 11 as band, greatest(0,
 """
 
 
-def _bands(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Twelve bands of each page, from row to row of its words, with the rows of the page's top."""
+def _bands(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Twelve bands of each page, from row to row of its words."""
     pages = _pages(spark, sf_dir)
     doc, k = F.floor(F.col("page_key") / 100_000), F.col("item")
     asked = pages.select("page_key", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("item"))
     asked = asked.select("page_key", k.cast("long").alias("item"), (14 * k + 3 + doc % 11).alias("band"), F.greatest(F.lit(0), 14 * k - 9 + doc % 5).alias("cluster"))
-    return asked, written(bands.crossings(pages)), pages
+    return asked, pages
 
 
 @query(f"""with {_TOP_SQL}, q as (select *, greatest(0, least(band, n)) as b, greatest(0, greatest(0, least(band, n)) - stride) as probe from bd),
@@ -153,7 +153,8 @@ fo as (select page_key, item, any_value(b) as b, any_value(n) as n, any_value(ga
 re as (select *, case when b = 0 then 'none' when darkest is null or darkest <= lim then 'clear' when large is not null and (met is null or large <= met) then 'big' when met is null then 'none' else 'walked' end as stop from fo)
 select page_key, item, case stop when 'clear' then b when 'walked' then least(re.n, met - re.gap + 1 + re.stride) end as "end", coalesce(stop, 'none') as stop, case when stop = 'clear' then (re.lim - darkest) / 0.005 end as ratio from bd left join re using (page_key, item)""")
 def band_ends(spark, sf_dir):
-    return bands.ink_bottoms(*_bands(spark, sf_dir))
+    asked, pages = _bands(spark, sf_dir)
+    return bands.ink_bottoms(asked, None, pages)
 
 
 @query(f"""with {_TOP_SQL}, m0 as (select page_key, item, band, n, lim, gap, tall, y, share, least(n, band) as last, coalesce(min(case when share <= 0.8 then y end) over w, least(n, band)) as film from bd join rw using (page_key) where y < band window w as (partition by page_key, item)),
@@ -163,5 +164,5 @@ m3 as (select *, sum(case when fresh then 1 else 0 end) over (partition by page_
 m4 as (select page_key, item, body from m3 group by 1, 2, 3 having count(*) >= any_value(tall) and count(*) filter (share > 0.08) >= 3 and count(*) filter (share <= 0.8) > count(*) // 2)
 select page_key, item, count(body) as bodies from bd left join m4 using (page_key, item) group by 1, 2""")
 def band_bodies(spark, sf_dir):
-    asked, rows, pages = _bands(spark, sf_dir)
-    return bands.large_objects(asked.withColumnRenamed("band", "upto"), rows, pages)
+    asked, pages = _bands(spark, sf_dir)
+    return bands.large_objects(asked.withColumnRenamed("band", "upto"), None, pages)
