@@ -6,7 +6,8 @@ words between two heights, found by search in the words' order, so its cost is t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,16 @@ BANDS = {"headline": (0.0, 0.5), "ad": (0.5, 1.0)}
 
 
 class _Page:
-    """A page's words in order of y, x and wid, as Arrow's columns, and what its image says of their gaps."""
+    """A page's words in order of y, x and wid, and what its image says of their gaps. A walk's windows hold few words, so they are lists, not arrays."""
 
     def __init__(self, words: pa.ListScalar, ink: np.ndarray | None, sides: list[tuple[int, int]]):
         flat, self.ink, self.sides = words.values, ink, np.array(sides, np.int64).reshape(-1, 2)
-        self.x, self.y, self.w, self.h = (flat.field(c).to_numpy() for c in "xywh")  # a null fails
+        x, y, w, h = (flat.field(c).to_numpy() for c in "xywh")  # a null fails
         # Texts become Python's where a walk asks for them.
-        self.wid, self.t, self.real = flat.field("wid").to_pylist(), flat.field("t"), flat.field("real").to_numpy(zero_copy_only=False)
-        self.right, self.under = self.x + self.w, self.y + self.h
-        self.tallest = int(self.h.max(initial=0))
-        inked_ = self.h[self.h > 0]
-        self.median = float(np.median(inked_)) if len(inked_) else 1.0
+        self.wid, self.t, self.real = flat.field("wid").to_pylist(), flat.field("t"), flat.field("real").to_pylist()
+        self.x, self.y, self.w, self.h, self.right, self.under = (c.tolist() for c in (x, y, w, h, x + w, y + h))
+        self.tallest = max([0, *self.h])
+        self.median = float(np.median(h[h > 0])) if (h > 0).any() else 1.0
         self._rules: list[tuple[int, int, int]] | None = None
         self._walls: dict[tuple[int, int], tuple[np.ndarray, list[int]]] = {}
 
@@ -45,25 +45,26 @@ class _Page:
         """The first place of each wid."""
         return {w: n for n, w in reversed(list(enumerate(self.wid)))}
 
-    def between(self, above: float, upto: float) -> np.ndarray:
+    def between(self, above: float, upto: float) -> range:
         """Places of the words whose top is above ``above`` and at most ``upto``."""
-        return np.arange(*np.searchsorted(self.y, (above, max(above, upto)), side="right"))
+        return range(bisect_right(self.y, above), bisect_right(self.y, max(above, upto)))
 
-    def first_row(self, ids: np.ndarray) -> np.ndarray:
+    def first_row(self, ids: list[int]) -> list[int]:
         """The words in order up to the first that is not within tolerance of the first of all."""
-        y, h = self.y[ids], self.h[ids]
-        misses = np.abs(y - y[0]) * 10 > 6 * np.maximum(h, h[0])
-        return ids[: misses.argmax()] if misses.any() else ids
+        y, h = self.y[ids[0]], self.h[ids[0]]
+        for n, k in enumerate(ids):
+            if abs(self.y[k] - y) * 10 > 6 * max(self.h[k], h):
+                return ids[:n]
+        return ids
 
-    def by_x(self, ids: np.ndarray) -> np.ndarray:
-        return ids[np.argsort(self.x[ids], kind="stable")]
+    def by_x(self, ids: Iterable[int]) -> list[int]:
+        return sorted(ids, key=self.x.__getitem__)
 
-    def text(self, ids: np.ndarray) -> str:
-        return " ".join(self.t[int(k)].as_py() or "" for k in self.by_x(ids))
+    def text(self, ids: Iterable[int]) -> str:
+        return " ".join(self.t[k].as_py() or "" for k in self.by_x(ids))
 
-    def tier(self, ids: np.ndarray) -> bool:
-        ids = self.by_x(ids)
-        line = [dict(zip(("x", "y", "w", "h", "real"), v)) for v in zip(*(c[ids].tolist() for c in (self.x, self.y, self.w, self.h, self.real)))]
+    def tier(self, ids: list[int]) -> bool:
+        line = [{"x": self.x[k], "y": self.y[k], "w": self.w[k], "h": self.h[k], "real": self.real[k]} for k in self.by_x(ids)]
         return tiered(line) if self.ink is None else is_tier(line, self.ink, self.sides)
 
     def _parting(self, a: int, b: int) -> tuple[np.ndarray, list[int]]:
@@ -91,71 +92,66 @@ class _Page:
 
         return parted
 
-    def whole_line(self, ids: np.ndarray) -> np.ndarray:
+    def whole_line(self, ids: list[int]) -> list[int]:
         """A part of a printed line with the rest of it on both sides: words of like size with their middle on its rows, each within a word's gap
         of the last and nothing in between. The part itself, where the whole were a tier of several items."""
         ids = self.by_x(ids)
-        top, bottom, tall = int(self.y[ids].min()), int(self.under[ids].max()), int(self.h[ids].max())
-        near = self.between(top - PEER[1] * tall / 100 - 1, bottom)
-        near = near[~np.isin(near, ids)] if len(near) else near
-        middle, size = 2 * self.y[near] + self.h[near], 100 * self.h[near]
-        near = self.by_x(near[(middle >= 2 * top) & (middle <= 2 * bottom) & (size >= PEER[0] * tall) & (size <= PEER[1] * tall)])
-        parted, lo, hi, grown = self.walls(top, bottom), int(self.x[ids[0]]), int(self.right[ids[-1]]), list(ids)
+        x, right, own = self.x, self.right, set(ids)
+        top, bottom, tall = min(self.y[k] for k in ids), max(self.under[k] for k in ids), max(self.h[k] for k in ids)
+        like = lambda k: 2 * top <= 2 * self.y[k] + self.h[k] <= 2 * bottom and PEER[0] * tall <= 100 * self.h[k] <= PEER[1] * tall
+        near = self.by_x(k for k in self.between(top - PEER[1] * tall / 100 - 1, bottom) if k not in own and like(k))
+        parted, lo, hi, grown = self.walls(top, bottom), x[ids[0]], right[ids[-1]], list(ids)
         far = lambda gap, k: gap * 10 > round(SPLIT_GAP * 10) * max(tall, self.h[k])
-        for k in near[self.right[near] <= lo][::-1]:
-            if far(lo - self.right[k], k) or parted(int(self.right[k]), lo):
+        for k in [k for k in near if right[k] <= lo][::-1]:
+            if far(lo - right[k], k) or parted(right[k], lo):
                 break
             grown.insert(0, k)
-            lo = int(self.x[k])
-        for k in near[self.x[near] >= hi]:
-            if far(self.x[k] - hi, k) or parted(hi, int(self.x[k])):
+            lo = x[k]
+        for k in [k for k in near if x[k] >= hi]:
+            if far(x[k] - hi, k) or parted(hi, x[k]):
                 break
             grown.append(k)
-            hi = int(self.right[k])
-        whole = np.array(grown)
-        return ids if len(whole) == len(ids) or self.tier(whole) else whole
+            hi = right[k]
+        return ids if len(grown) == len(ids) or self.tier(grown) else grown
 
-    def deck(self, ids: np.ndarray) -> tuple[tuple[int, int, int, int], int, str, float | None, str | None]:
+    def deck(self, ids: list[int]) -> tuple[tuple[int, int, int, int], int, str, float | None, str | None]:
         """(box, lines, stop, ratio, said) of the item that begins with a segment's words."""
-        x0, x1, y0, end = int(self.x[ids].min()), int(self.right[ids].max()), int(self.y[ids].min()), int(self.under[ids].max())
-        head = int(self.h[ids].max())
+        least, most = lambda c, ids: min(c[k] for k in ids), lambda c, ids: max(c[k] for k in ids)
+        x0, x1, y0, end, head = least(self.x, ids), most(self.right, ids), least(self.y, ids), most(self.under, ids), most(self.h, ids)
         left, right, top, tall = x0, x1, y0, head
-        within = lambda k: k[(self.right[k] > x0) & (self.x[k] < x1)]
+        within = lambda ids: [k for k in ids if self.right[k] > x0 and self.x[k] < x1]
         for n in range(1, LINES + 1):
             met = within(self.between(top + tall / 2, end + 1.5 * head))
-            if not len(met):
+            if not met:
                 return (left, y0, right, end), n, *self._below(within, end, 1.5 * head)
             line = self.first_row(met)
-            size, taken = int(self.h[line].max()), False
+            size, taken = most(self.h, line), False
             if 100 * size > OVER * head:
                 return (left, y0, right, end), n, "other item", None, self.text(line)
             if 100 * size >= SAME * head:
                 line = self.whole_line(line)
-                shared = min(int(self.right[line].max()), x1) - max(int(self.x[line].min()), x0)
+                shared = min(most(self.right, line), x1) - max(least(self.x, line), x0)
                 taken = 100 * shared >= FILLS * (x1 - x0)
             elif 100 * size >= DECK * head and 100 * size >= BODY * self.median:
-                if 100 * size > GROWN * tall and not (self.t[int(self.by_x(line)[0])].as_py() or "")[:1].islower():
+                if 100 * size > GROWN * tall and not (self.t[self.by_x(line)[0]].as_py() or "")[:1].islower():
                     return (left, y0, right, end), n, "deck grew", None, self.text(line)
                 taken = True
             if not taken or self.tier(line):
                 return (left, y0, right, end), n, "tier" if taken else "boundary", None, self.text(line)
             line = self.whole_line(line)
-            left, right = min(left, int(self.x[line].min())), max(right, int(self.right[line].max()))
-            top, tall, end = int(self.y[line].min()), int(self.h[line].max()), int(self.under[line].max())
+            left, right = min(left, least(self.x, line)), max(right, most(self.right, line))
+            top, tall, end = least(self.y, line), most(self.h, line), most(self.under, line)
             if end - y0 > DEEP * head:
                 return (left, y0, right, end), n + 1, "deep", None, None
         return (left, y0, right, end), LINES + 1, "lines", None, None
 
     def _below(self, within: Callable, end: int, reach: float) -> tuple[str, float | None, str | None]:
         """What lies under an item whose window is empty: nothing, or a line and by what share of the window it is too far."""
-        at, last = int(np.searchsorted(self.y, end, side="right")), len(self.y)
-        while at < last:
-            met = within(np.arange(at, min(last, at + 256)))
-            if len(met):
-                row = self.first_row(within(self.between(self.y[met[0]] - 1, self.y[met[0]] + 0.6 * self.tallest)))
-                return "gap", (float(self.y[row].min()) - end - reach) / reach if reach else None, self.text(row)
-            at += 256
-        return "end", None, None
+        first = next((k for at in range(bisect_right(self.y, end), len(self.y), 256) for k in within(range(at, min(len(self.y), at + 256)))), None)
+        if first is None:
+            return "end", None, None
+        row = self.first_row(within(self.between(self.y[first] - 1, self.y[first] + 0.6 * self.tallest)))
+        return "gap", (float(min(self.y[k] for k in row)) - end - reach) / reach if reach else None, self.text(row)
 
 
 def deck_items(words: DataFrame, segments: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -191,10 +187,10 @@ def deck_items(words: DataFrame, segments: DataFrame, pages: DataFrame | None =
                     ink, sides = bitmap(found, *size), [g[:2] for g in page_gutters(found, *size)[2]]
                 page = _Page(said, ink, sides)
                 at = page.places()
-                high = ph.as_py() or int(page.under.max(initial=0))
+                high = ph.as_py() or max([0, *page.under])
                 for s in starts.as_py():
-                    ids = np.array(sorted({at[w] for w in s["wids"] if w in at}), np.int64)
-                    if len(ids):
+                    ids = sorted({at[w] for w in s["wids"] if w in at})
+                    if ids:
                         (x0, y0, x1, y1), *told = page.deck(ids)
                         box = (x0, y0, x1 - x0, y1 - y0) if y1 - y0 <= MOST * high else (None,) * 4
                         out.append((key.as_py(), s["segment"], *box, *told))
