@@ -165,7 +165,7 @@ def deck_items(words: DataFrame, segments: DataFrame, pages: DataFrame | None =
     page, and segments of no known word, have no row; a word twice in a page keeps its first place.
     """
     one = F.struct(*[F.col(c).cast("long").alias(c) for c in ("y", "x", "wid", "w", "h")], F.col("t"), worded(F.coalesce("t", F.lit(""))).alias("real"))
-    rows = words.where("page_key is not null").groupBy("page_key").agg(F.array_sort(F.collect_list(one)).alias("words"))
+    rows = words.where("page_key is not null").groupBy("page_key").agg(F.sort_array(F.collect_list(one)).alias("words"))
     starts = segments.groupBy("page_key", "segment").agg(F.sort_array(F.collect_list(F.col("wid").cast("long"))).alias("wids"))
     rows = rows.join(starts.groupBy("page_key").agg(F.collect_list(F.struct(F.col("segment").cast("long").alias("segment"), "wids")).alias("starts")), "page_key")
     if pages is None:
@@ -219,10 +219,10 @@ def lane_items(words: DataFrame, pages: DataFrame, lane: str = "headline", floor
             rows = rows.join(floors.select("page_key", "floor"), "page_key", "left").where("floor is null or _top > floor")
         kept = gutter_pieces(rows.select("page_key", "segment", "wid", "x", "y", "w", "h", "t"), pages).select("page_key", "segment", "wid", "kept")
         rows = _numbered(rows.join(kept, ["page_key", "segment", "wid"]).withColumnRenamed("segment", "_row"), ["_row", "kept"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "wid", "t"))), lambda s: s["t"]), " ").alias("text")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "wid", "t"))), lambda s: s["t"]), " ").alias("text")
     rows = written(rows.select("page_key", "segment", "wid", "x", "t"))
     found = deck_items(words, rows.select("page_key", "segment", "wid"), pages).where("x is not null")
-    # The walks of a snap read their items several times.
+    # Read for the boxes and again for the texts.
     items = written(found.join(rows.groupBy("page_key", "segment").agg(text), ["page_key", "segment"]).select("page_key", F.col("segment").alias("item"), "x", "y", "w", "h", "text"))
     boxes = items.drop("text")
     cells = written(snap(boxes, pages, mode="paper") if lane == "headline" else snap(boxes, pages, rules_only=True, border=True))

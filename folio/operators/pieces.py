@@ -132,7 +132,7 @@ def gutter_pieces(words: DataFrame, pages: DataFrame) -> DataFrame:
     it is several items side by side, by word gaps or by pieces. Segments of a page without an image, or of an empty one, go uncut.
     """
     one = F.struct(*[F.col(c).cast("long").alias(c) for c in ("segment", "x", "wid", "y", "w", "h")], worded(F.col("t")).alias("real"))
-    held = words.groupBy("page_key").agg(F.array_sort(F.collect_list(one)).alias("words"))
+    held = words.groupBy("page_key").agg(F.sort_array(F.collect_list(one)).alias("words"))
     rows = held.join(pages, "page_key", "left").select("page_key", "w", "h", "strokes", "words")
     names = ["page_key", "segment", "wid", "inside", "straddled", "piece", "kept"]
     schema = pa.schema([(c, pa.int64()) for c in names] + [("tier", pa.bool_())])

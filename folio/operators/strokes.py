@@ -222,8 +222,8 @@ def _walked(dark: np.ndarray, up: int, down: int, need: int, rules_only: bool, k
         return None
     base = np.partition(dark, n // 10)[n // 10]
     clear, ruled = dark <= base + CLEAR, np.flatnonzero(dark >= HRULE_DARK)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], clear.astype(np.int8), [0]))))
-    first, last = edges[::2], edges[1::2] - 1
+    first, last = spans(clear).T
+    last = last - 1
 
     def walk(start: int, back: bool) -> int | None:
         if not 0 <= start < n:
@@ -253,40 +253,37 @@ def vertical_bounds(items: DataFrame, pages: DataFrame, rules_only: bool = False
     Null where a side does not close within ``CELL_DEEP`` of the page. ``rules_only`` walks past clear runs; with ``keep_clear`` an edge in paper stays.
     A page's items meet its strokes in one row, and only the two ends of each leave it.
     """
-    return _cell_ends(items, pages, rules_only, keep_clear).drop("x0", "x1")
-
-
-def _cell_ends(items: DataFrame, pages: DataFrame, rules_only: bool, keep_clear: bool) -> DataFrame:
-    """``vertical_bounds`` with the sides that were given, so that what made them is not worked out again to be joined."""
     names = ["item", "y", "h", "x0", "x1"]
     held = items.groupBy("page_key").agg(F.collect_list(F.struct(*[_int(F.col(c)).alias(c) for c in names])).alias("items"))
     rows = pages.where("w is not null").join(held, "page_key").select("page_key", "h", "strokes", "items")
-    schema = pa.schema([(c, pa.int64()) for c in ("page_key", "item", "x0", "x1", "y0", "y1")])
-
-    def ends(found: np.ndarray, high: int, v: dict) -> tuple[int | None, int | None]:
-        if v["y"] is None or v["h"] is None:
-            return None, None
-        cap = int(high * CELL_DEEP)
-        top = max(0, v["y"] + v["h"] - cap)
-        n = max(0, min(high, v["y"] + cap) - top)
-        dark = np.zeros(n)
-        if n and v["x0"] is not None and v["x1"] is not None:
-            lo, hi = np.searchsorted(found[:, 0], (top, top + n))
-            y, x0, x1 = found[lo:hi].T
-            at = (x0 < v["x1"]) & (x1 > v["x0"])
-            dark = np.bincount(y[at] - top, np.minimum(x1[at], v["x1"]) - np.maximum(x0[at], v["x0"]), n) / max(1, v["x1"] - v["x0"])
-        cell = _walked(dark, max(0, v["y"] - top), min(n - 1, v["y"] + v["h"] - top), max(2, int(high * GAP)), rules_only, keep_clear)
-        return (top + cell[0], top + cell[1] + 1) if cell else (None, None)
+    schema = pa.schema([(c, pa.int64()) for c in ("page_key", "item", "y0", "y1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for k in range(b.num_rows):
                 key, found, high = b.column(0)[k].as_py(), stroke_rows(b.column(2)[k]), b.column(1)[k].as_py()
-                out += [(key, v["item"], v["x0"], v["x1"], *ends(found, high, v)) for v in b.column(3)[k].as_py()]
+                out += [(key, v["item"], *_ends(found, high, v, rules_only, keep_clear)) for v in b.column(3)[k].as_py()]
             yield batch_of(out, schema)
 
-    return rows.mapInArrow(run, "page_key long, item long, x0 long, x1 long, y0 long, y1 long")
+    return rows.mapInArrow(run, "page_key long, item long, y0 long, y1 long")
+
+
+def _ends(found: np.ndarray, high: int, v: dict, rules_only: bool, keep_clear: bool) -> tuple[int | None, int | None]:
+    """The ends of one item, see ``vertical_bounds``."""
+    if v["y"] is None or v["h"] is None:
+        return None, None
+    cap = int(high * CELL_DEEP)
+    top = max(0, v["y"] + v["h"] - cap)
+    n = max(0, min(high, v["y"] + cap) - top)
+    dark = np.zeros(n)
+    if n and v["x0"] is not None and v["x1"] is not None:
+        lo, hi = np.searchsorted(found[:, 0], (top, top + n))
+        y, x0, x1 = found[lo:hi].T
+        at = (x0 < v["x1"]) & (x1 > v["x0"])
+        dark = np.bincount(y[at] - top, np.minimum(x1[at], v["x1"]) - np.maximum(x0[at], v["x0"]), n) / max(1, v["x1"] - v["x0"])
+    cell = _walked(dark, max(0, v["y"] - top), min(n - 1, v["y"] + v["h"] - top), max(2, int(high * GAP)), rules_only, keep_clear)
+    return (top + cell[0], top + cell[1] + 1) if cell else (None, None)
 
 
 def paper_bounds(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -324,8 +321,8 @@ def _paper(found: np.ndarray, wide: int, high: int, v: dict) -> tuple[int | None
     begun, ended = (np.bincount(at, minlength=n + 1) for at in (np.maximum(x0[met], left) - left, np.minimum(x1[met], right) - left))
     dark = np.cumsum(begun - ended)[:n] / max(1, bottom - top)
     clear = dark <= np.partition(dark, n // 10)[n // 10] + CLEAR
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], clear.astype(np.int8), [0]))))
-    first, last = edges[::2], edges[1::2] - 1
+    first, last = spans(clear).T
+    last = last - 1
     near, far = v["x"] - left, v["x"] + v["w"] - 1 - left
     if not (0 <= near < n and 0 <= far < n):
         return None, None
@@ -382,21 +379,34 @@ def _sides(ink: np.ndarray, item: dict, sides: list[tuple[int, int, bool]], e0:
 
 
 def snap(items: DataFrame, pages: DataFrame, mode: str = "column", rules_only: bool = False, border: bool = False, keep_clear: bool | None = None) -> DataFrame:
-    """item(page_key, item, x, y, w, h) to (page_key, item, x0, y0, x1, y1): the cell around a box; nulls where it can't be closed, is a sliver or too deep. With ``border`` its rules stay inside."""
-    item = ["page_key", "item"]
-    sides = (paper_bounds if mode == "paper" else column_bounds)(items, pages)
-    sized = pages.select("page_key", F.col("w").alias("pw"), F.col("h").alias("ph"))
-    cells = items.join(sides, item).join(sized, "page_key")
-    wide = F.col("x1") - F.col("x0") >= F.col("pw") * CELL_NARROW
-    cells = cells.withColumns({"x0": F.when(wide, F.col("x0")), "x1": F.when(wide, F.col("x1"))}).drop("pw", "ph")
-    cells = _cell_ends(cells, pages, rules_only, mode == "paper" if keep_clear is None else keep_clear).join(sized, "page_key")
-    # No filter on what the walks found: it would be worked out again inside the filter.
-    high = F.col("y1") - F.col("y0")
-    ok = F.col("x0").isNotNull() & (high > 0) & (high <= F.col("ph") * CELL_DEEP)
-    m = F.greatest(F.lit(3), _int(F.col("pw") * BORDER_PAD)) if border else F.lit(0)
-    box = {"x0": F.greatest(F.lit(0), F.col("x0") - m), "y0": F.greatest(F.lit(0), F.col("y0") - m), "x1": F.least(F.col("pw"), F.col("x1") + m), "y1": F.least(F.col("ph"), F.col("y1") + m)}
-    cells = cells.select(*item, *[F.when(ok, c).alias(k) for k, c in box.items()])
-    return items.select(*item).join(cells, item, "left")
+    """item(page_key, item, x, y, w, h) to (page_key, item, x0, y0, x1, y1): the cell around a box; nulls where it can't be closed, is a sliver or too deep. With ``border`` its rules stay inside.
+
+    A page's items meet its strokes in one row, where their sides and then their ends are found."""
+    held = items.groupBy("page_key").agg(F.collect_list(F.struct(*[_int(F.col(c)).alias(c) for c in ("item", "x", "y", "w", "h")])).alias("items"))
+    rows = held.join(pages.where("w is not null and strokes is not null"), "page_key", "left").select("page_key", "w", "h", "strokes", "items")
+    schema = pa.schema([(c, pa.int64()) for c in ("page_key", "item", "x0", "y0", "x1", "y1")])
+    keep = mode == "paper" if keep_clear is None else keep_clear
+
+    def cells(found: np.ndarray, w: int, h: int, boxes: list[dict]) -> Iterator[tuple[int | None, ...]]:
+        e0, e1, sides = page_gutters(found, w, h) if mode != "paper" else (0, 0, [])
+        ink, m = bitmap(found, w, h) if mode != "paper" else None, max(3, int(w * BORDER_PAD)) if border else 0
+        for v in boxes:
+            x0, x1 = _paper(found, w, h, v) if mode == "paper" else _sides(ink, v, sides, e0, e1)
+            y0, y1 = _ends(found, h, v | {"x0": x0, "x1": x1}, rules_only, keep) if x0 is not None and x1 - x0 >= w * CELL_NARROW else (None, None)
+            ok = y0 is not None and 0 < y1 - y0 <= h * CELL_DEEP
+            yield (max(0, x0 - m), max(0, y0 - m), min(w, x1 + m), min(h, y1 + m)) if ok else (None,) * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                key, w, h, row, boxes = (b.column(c)[k] for c in ("page_key", "w", "h", "strokes", "items"))
+                boxes = boxes.as_py()
+                found = cells(stroke_rows(row), w.as_py(), h.as_py(), boxes) if w.is_valid else [(None,) * 4] * len(boxes)
+                out += [(key.as_py(), v["item"], *box) for v, box in zip(boxes, found)]
+            yield batch_of(out, schema)
+
+    return rows.mapInArrow(run, "page_key long, item long, x0 long, y0 long, x1 long, y1 long")
 
 
 def rule_rows(windows: DataFrame, pages: DataFrame, words: DataFrame) -> DataFrame:
